@@ -16,8 +16,8 @@ from hushframe.llm.common import clean_text, cut, fresh
 
 #: A document of at least 1 / LARGE of a new shard's capacity is placed on its own; there can be LARGE of them a shard at most.
 LARGE = 1000
-#: Bytes of one block, the unit of the running sums.
-BLOCK_BYTES = 8 << 20
+#: Blocks of an old shard, the units of the running sums: this many, and one more for each BLOCK_BYTES of the largest shard.
+BLOCKS, BLOCK_BYTES = 256, 64 << 20
 #: Rows of one bucket, the unit of slot numbers.
 BUCKET_ROWS = 20_000
 
@@ -151,7 +151,7 @@ def _lookup(named: list[int]) -> Column:
 
 def _deal(small: DataFrame, starts: dict[int, list[tuple[int, int]]], largest: int) -> DataFrame:
     """small with the new shard of each row: its running byte sum within the old shard falls into one stream."""
-    blocks = max(1, -(-largest // BLOCK_BYTES))
+    blocks = BLOCKS + largest // BLOCK_BYTES
     small = small.withColumn("block", F.pmod(F.col("key"), F.lit(blocks)))
     sums = small.groupBy("i", "block").agg(F.sum("size").alias("bytes"))
     ahead = Window.partitionBy("i").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
