@@ -97,8 +97,10 @@ def distance(counts: str, reference: str) -> Column:
     def both(p: Column, q: Column) -> Column:
         return part(p, (p + q) / 2) + part(q, (p + q) / 2)
 
-    shares = [F.transform(c, lambda x, c=c: x / total(c)) for c in (counts, reference)]
-    divergence = F.aggregate(F.zip_with(*shares, both), F.lit(0.0), lambda a, x: a + x) / 2
+    def shares(c: str) -> Column:
+        return F.transform(c, lambda x: x / total(c))
+
+    divergence = F.aggregate(F.zip_with(shares(counts), shares(reference), both), F.lit(0.0), lambda a, x: a + x) / 2
     return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 

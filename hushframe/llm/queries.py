@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import line_dedup, reshard, token_counts
+from hushframe.llm import decontaminate, line_dedup, packing, quality_rules, reshard, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_min_cost_reshard": reshard.op1_min_cost_reshard,
+        "op2_distribution_divergence": quality_rules.op2_distribution_divergence,
         "op4_longest_match_counts": token_counts.op4_longest_match_counts,
+        "op6_dynamic_packing": packing.op6_dynamic_packing,
+        "op9_rare_seed_alignment": decontaminate.op9_rare_seed_alignment,
         "op10_perfect_hash_lines": line_dedup.op10_perfect_hash_lines,
     }
 
