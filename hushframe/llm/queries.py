@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import decontaminate, line_dedup, packing, quality_rules, reshard, token_counts
+from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, reshard, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_min_cost_reshard": reshard.op1_min_cost_reshard,
         "op2_distribution_divergence": quality_rules.op2_distribution_divergence,
         "op4_longest_match_counts": token_counts.op4_longest_match_counts,
+        "op5_order_minhash": near_dedup.op5_order_minhash,
         "op6_dynamic_packing": packing.op6_dynamic_packing,
+        "op8_diagonal_voting": license_scan.op8_diagonal_voting,
         "op9_rare_seed_alignment": decontaminate.op9_rare_seed_alignment,
         "op10_perfect_hash_lines": line_dedup.op10_perfect_hash_lines,
     }
