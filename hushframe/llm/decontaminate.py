@@ -122,7 +122,7 @@ def _verify(batches: Iterator[pa.RecordBatch], seeds: Seeds, copy: float) -> Ite
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > np.maximum(size[item[1:]] // 2, 1))
             firsts = np.flatnonzero(new)
             best: dict[tuple[int, int], list] = {}
-            for a, b in zip(firsts, [*firsts[1:], len(at)], strict=True):
+            for a, b in zip(firsts, np.append(firsts, len(at))[1:], strict=True):
                 d, i = int(doc[a]), int(item[a])
                 slack = size[i] // 2 + 2
                 lo, hi = max(edges[d], start[a] - slack), min(edges[d + 1], start[b - 1] + size[i] + slack)
