@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, reshard, token_counts
+from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, reshard, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_min_cost_reshard": reshard.op1_min_cost_reshard,
         "op2_distribution_divergence": quality_rules.op2_distribution_divergence,
+        "op3_co_training": quality_classifier.op3_co_training,
         "op4_longest_match_counts": token_counts.op4_longest_match_counts,
         "op5_order_minhash": near_dedup.op5_order_minhash,
         "op6_dynamic_packing": packing.op6_dynamic_packing,
