@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, reshard, token_counts
+from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, reshard, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_longest_match_counts": token_counts.op4_longest_match_counts,
         "op5_order_minhash": near_dedup.op5_order_minhash,
         "op6_dynamic_packing": packing.op6_dynamic_packing,
+        "op7_logarithmic_suffix_arrays": suffix_dedup.op7_logarithmic_suffix_arrays,
         "op8_diagonal_voting": license_scan.op8_diagonal_voting,
         "op9_rare_seed_alignment": decontaminate.op9_rare_seed_alignment,
         "op10_perfect_hash_lines": line_dedup.op10_perfect_hash_lines,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_perfect_hash_lines": line_dedup.ORACLE}
+    return {"op7_logarithmic_suffix_arrays": suffix_dedup.ORACLE, "op10_perfect_hash_lines": line_dedup.ORACLE}
