@@ -7,9 +7,11 @@ to the item locally; edited and paraphrased copies keep a high score, chance hit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,69 +102,92 @@ def _count(batches: Iterator[pa.RecordBatch], seeds: Seeds) -> Iterator[pa.Recor
 LEAKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("n_places", T.LongType()), T.StructField("last_word", T.LongType())])
 
 
+def _leaks_of(part: pa.RecordBatch, seeds: Seeds, table: np.ndarray, copy: float) -> dict[tuple[int, int], list]:
+    """[score, places, last word] of each row and item with a passage that scores copy or more."""
+    words, owner = lower_words(part.column("text"))
+    edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
+    grams, at = gram_hashes(words, owner, SEED_WORDS)
+    hit = seeds.hits(grams, table)
+    low, high = np.searchsorted(seeds.grams, grams[hit]), np.searchsorted(seeds.grams, grams[hit], side="right")
+    many = high - low
+    at = np.repeat(at[hit], many)
+    k = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item, start = seeds.item[k], at - seeds.place[k]
+    order = np.lexsort((start, item, owner[at]))
+    at, item, start = at[order], item[order], start[order]
+    doc = owner[at]
+    size = np.array([len(w) for w in seeds.words], np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > np.maximum(size[item[1:]] // 2, 1))
+    firsts = np.flatnonzero(new)
+    best: dict[tuple[int, int], list] = {}
+    for a, b in zip(firsts, np.append(firsts, len(at))[1:], strict=True):
+        d, i = int(doc[a]), int(item[a])
+        slack = size[i] // 2 + 2
+        lo, hi = max(edges[d], start[a] - slack), min(edges[d + 1], start[b - 1] + size[i] + slack)
+        score, end = align(words[lo:hi], seeds.words[i])
+        score = score / max(1, size[i])
+        if score >= copy:
+            entry = best.setdefault((d, i), [0.0, 0, 0])
+            entry[1] += 1
+            if score > entry[0]:
+                entry[0], entry[2] = score, int(lo + end - edges[d])
+    return best
+
+
 def _verify(batches: Iterator[pa.RecordBatch], seeds: Seeds, copy: float) -> Iterator[pa.RecordBatch]:
     table = seeds.table()
     for batch in batches:
         out = []
         for part in slices(batch):
-            words, owner = lower_words(part.column("text"))
-            edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
-            grams, at = gram_hashes(words, owner, SEED_WORDS)
-            hit = seeds.hits(grams, table)
-            low, high = np.searchsorted(seeds.grams, grams[hit]), np.searchsorted(seeds.grams, grams[hit], side="right")
-            many = high - low
-            at = np.repeat(at[hit], many)
-            k = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            item, start = seeds.item[k], at - seeds.place[k]
-            order = np.lexsort((start, item, owner[at]))
-            at, item, start = at[order], item[order], start[order]
-            doc = owner[at]
-            size = np.array([len(w) for w in seeds.words])
-            new = np.ones(len(at), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > np.maximum(size[item[1:]] // 2, 1))
-            firsts = np.flatnonzero(new)
-            best: dict[tuple[int, int], list] = {}
-            for a, b in zip(firsts, np.append(firsts, len(at))[1:], strict=True):
-                d, i = int(doc[a]), int(item[a])
-                slack = size[i] // 2 + 2
-                lo, hi = max(edges[d], start[a] - slack), min(edges[d + 1], start[b - 1] + size[i] + slack)
-                score, end = align(words[lo:hi], seeds.words[i])
-                score = score / max(1, size[i])
-                if score >= copy:
-                    entry = best.setdefault((d, i), [0.0, 0, 0])
-                    entry[1] += 1
-                    if score > entry[0]:
-                        entry[0], entry[2] = score, int(lo + end - edges[d])
             ids = part.column("doc_id")
-            out += [(ids[d].as_py(), seeds.names[i], round(s, 6), n, e) for (d, i), (s, n, e) in best.items()]
+            out += [(ids[d].as_py(), seeds.names[i], round(s, 6), n, e) for (d, i), (s, n, e) in _leaks_of(part, seeds, table, copy).items()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=LEAKS.names)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, copy: float = COPY) -> DataFrame:
-    """(doc_id, item_id, score, n_places, last_word) of each document and item with a passage that scores copy or more.
+def _clean(batches: Iterator[pa.RecordBatch], seeds: Seeds, copy: float) -> Iterator[pa.RecordBatch]:
+    table = seeds.table()
+    for batch in batches:
+        for part in slices(batch):
+            keep = np.ones(part.num_rows, bool)
+            keep[[d for d, _ in _leaks_of(part, seeds, table, copy)]] = False
+            yield part.filter(pa.array(keep))
 
-    score: the best passage's alignment score over the item's number of words, 1 for a verbatim copy. n_places: passages
-    of the item in the document; last_word: where the best ends, in words. Null texts are empty; items of fewer than
-    SEED_WORDS words have no seeds and are never found. Repeated rows of docs give repeated rows. Items of one text are
-    each found. Empty tables give no rows. Extra columns are ignored.
-    """
+
+def seed_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The seeds of the benchmark's items that are rare in docs, block by block."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // (5 * BLOCK_WORDS)))
-    docs = docs.select("doc_id", "text")
-    found = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
         seeds = Seeds([(r.item_id, r.text) for r in block.collect()])  # BLOCK_WORDS words
-        counts = docs.mapInArrow(lambda b, s=spark.sparkContext.broadcast(seeds): _count(b, s.value), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        shared = spark.sparkContext.broadcast(seeds)
+        counts = docs.select("text").mapInArrow(lambda b, s=shared: _count(b, s.value), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         seeds.keep_rare({r.gram: r.n for r in counts.collect()})  # a row for each n-gram of the block
-        found.append(docs.mapInArrow(lambda b, s=spark.sparkContext.broadcast(seeds): _verify(b, s.value, copy), LEAKS))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        yield spark.sparkContext.broadcast(seeds)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, copy: float = COPY) -> DataFrame:
+    """(doc_id, item_id, score, n_places, last_word) of each document and item with a passage that scores copy or more.
+
+    score: the best passage's alignment score over the item's number of words, 1 for a verbatim copy. n_places: passages
+    of the item in the document; last_word: where the best ends, in words. Null texts are empty; items of fewer than
+    SEED_WORDS words have no seeds and are never found. Repeated rows of docs give repeated rows. Items of one text are
+    each found. Empty tables give no rows. Extra columns are ignored.
+    """
+    docs = docs.select("doc_id", "text")
+    found = [docs.mapInArrow(lambda b, s=seeds: _verify(b, s.value, copy), LEAKS) for seeds in seed_blocks(docs, benchmark)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, copy: float = COPY) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no passage which find_leaks would report."""
+    for seeds in list(seed_blocks(docs, benchmark)):
+        docs = docs.mapInArrow(lambda b, s=seeds: _clean(b, s.value, copy), docs.schema)
+    return docs
 
 
 def op9_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
