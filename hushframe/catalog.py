@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+from hushframe.plans import queries_logs, queries_pages, queries_requests, queries_streams, queries_text
 
+Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (queries_text, queries_requests, queries_logs, queries_pages, queries_streams)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+
+def queries() -> dict[str, Query]:
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
