@@ -7,7 +7,7 @@ notice if the template words it covers are enough of the template and lie close
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ TEMPLATES = [
 ]
 #: Words of a k-gram; diagonals this near merge; share of a template's words that a notice covers; its length over the template's.
 K, NEAR, COVERED, STRETCH = 3, 3, 0.7, 1.6
+#: Notices that begin this near are one, named by the template that it covers best.
+TOGETHER = 10
 
 #: All ASCII but digits and small letters, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,7 +102,10 @@ def find_notices(words: DataFrame, templates: list[tuple[str, str]] = TEMPLATES)
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + K - 1)))))
     spans = spans.withColumn("score", F.round(covered / F.col("length"), 6))
     near = F.col("last") - F.col("first") + 1 <= STRETCH * F.col("length")
-    return spans.where((F.col("score") >= COVERED) & near).select("doc_id", "text_key", "label", "first", "last", "score")
+    spans = spans.where((F.col("score") >= COVERED) & near).withColumn("rank", F.struct("score", "length", (-F.col("template")).alias("order")))
+    together = Window.partitionBy("doc_id", "text_key", "row").orderBy("first").rangeBetween(-TOGETHER, TOGETHER)
+    best = spans.withColumn("best", F.max("rank").over(together)).where("rank = best")
+    return best.select("doc_id", "text_key", "label", "first", "last", "score")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
