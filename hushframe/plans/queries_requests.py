@@ -94,7 +94,11 @@ def _diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["j11_detection_diff"] = (_diff, None)
-QUERIES["p4_detector_report"] = (lambda spark, sf: pipelines.detector_report(view(spark, sf, "boxes"), view(spark, sf, "images")), None)
+_SINGLE = _NMS.replace("FROM boxes)", "FROM boxes WHERE lower(label) IN ('person', 'book'))")
+QUERIES["p4_detector_report"] = (lambda spark, sf: pipelines.detector_report(view(spark, sf, "boxes"), view(spark, sf, "images")), f"""{with_views('boxes', 'images').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_SINGLE}, single AS (SELECT b.* FROM (SELECT unnest(kept) AS k FROM last) x JOIN boxes b ON b.box_idx = x.k.i),
+{_CAPPED.replace('FROM boxes b', 'FROM single b')}, cap AS (SELECT image_id, count(*) AS n FROM s WHERE total IS NULL OR running / total <= 0.65 GROUP BY image_id)
+SELECT a.image_id, a.total, a.after_class, coalesce(c.n, 0) AS after_nms, coalesce(d.n, 0) AS after_cap FROM (SELECT image_id, count(*) AS total, count(*) FILTER (WHERE lower(label) IN ('person', 'book')) AS after_class FROM boxes GROUP BY image_id) a
+LEFT JOIN (SELECT image_id, count(*) AS n FROM single GROUP BY image_id) c ON a.image_id = c.image_id LEFT JOIN cap d ON a.image_id = d.image_id""")
 
 _RAW = "text IS NOT NULL AND trim(text) <> ''"
 _LEAKS = f"""rg AS (SELECT *, coalesce(given, CASE WHEN agent_id IS NOT NULL THEN 'dom' ELSE 'vision' END) AS source FROM regions),

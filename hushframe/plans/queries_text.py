@@ -138,7 +138,12 @@ def _messages(df: DataFrame) -> DataFrame:
     return df.select("id", summary.alias("summary"), detail.alias("detail"), actionable.alias("actionable"))
 
 
-add("c26_error_message", answers, _messages, None)
+_BACKEND = "CASE WHEN contains(raw, 'Gemini') THEN 'Gemini' WHEN contains(raw, 'Ollama') THEN 'Ollama' ELSE 'The VLM backend' END"
+add("c26_error_message", answers, _messages, f"""{_SQL_ANSWERS}, t AS (SELECT id, {_CLASS} AS cls, coalesce(message, '') AS raw FROM answers), u AS (SELECT *, {_BACKEND} AS backend FROM t)
+SELECT id, CASE WHEN cls = 'no_response' THEN 'No response came back at all.' WHEN cls = 'network_error' THEN 'Server not reachable at http://localhost:8000.' WHEN cls = 'STOPPED' THEN 'Request was cancelled because you clicked Stop.'
+WHEN cls = 'VLM_BACKEND_CALL_FAILED' THEN CASE WHEN contains(raw, 'RateLimited') THEN backend || '''s API rate-limited the request. Wait a bit and try again, or switch the backend or key on the server.' WHEN contains(raw, 'ConnectionError') THEN 'The server could not reach ' || backend || '''s API.' ELSE backend || ' call failed on the server.' END
+WHEN cls = 'http_422' THEN 'The server rejected the request as malformed (HTTP 422).' WHEN cls LIKE 'http\\_%' ESCAPE '\\' THEN 'Server returned an unexpected error (HTTP ' || substr(cls, 6) || ').' WHEN raw <> '' THEN 'Unrecognized error from the server: ' || raw ELSE 'An unknown error occurred while talking to the server.' END AS summary,
+CASE WHEN cls = 'network_error' AND raw = '' THEN '(no further detail)' ELSE raw END AS detail, cls IN ('network_error', 'VLM_BACKEND_CALL_FAILED') AS actionable FROM u""")
 add("c27_is_retryable", answers, lambda df: df.select("id", X.is_retryable(F.col("status"), F.col("code")).alias("again")), f"{_SQL_ANSWERS} SELECT id, coalesce(status IN (0, 429) OR status BETWEEN 500 AND 599, false) AND coalesce(code, '') <> 'STOPPED' AS again FROM answers")
 
 
