@@ -20,17 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.llm.common import clean_text, cut, mix, read_documents, slices, span_hashes, text_bytes
+from hushframe.llm.common import clean_text, cut, mix, read_documents, release, slices, span_hashes, text_bytes
 
 #: Bytes of a match, and of the head by which suffixes are sorted.
 MATCH, HEAD = 50, 16
 #: Heads in a string of MATCH bytes.
 WIDTH = MATCH - HEAD + 1
 #: Bytes of text in a batch, and in the share of the corpus that one range of heads holds; ranges that there are at least.
-BATCH_BYTES, RANGE_BYTES, RANGES = 32 << 20, 32 << 20, 64
+BATCH_BYTES, RANGE_BYTES, RANGES = 16 << 20, 16 << 20, 64
 
 _B = 0xC6A4A7935BD1E995
-ENTRY = np.dtype([("head", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("last", "<u4")])
+#: A string of MATCH bytes begins REACH bytes or more before its anchor, or ends MATCH - REACH + 1 or more after it. Entries have
+#: a tag of the bytes on either side, so that only those that agree on one with another document are compared further.
+REACH = WIDTH // 2
+ENTRY = np.dtype([("head", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("lead", "u1"), ("more", "u1"), ("left", "u1"), ("right", "u1")])
 
 
 def head_hashes(data: np.ndarray) -> np.ndarray:
@@ -55,7 +58,7 @@ def smallest_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """ENTRY rows of all texts: each anchor with the first and last place, in its text, of the strings that it stands for."""
+    """ENTRY rows of all texts: each anchor with the first string that it stands for, the bytes from there to the anchor, and the number of strings after it."""
     sizes = np.diff(offsets)
     counts = np.maximum(sizes - MATCH + 1, 0)
     if not counts.sum():
@@ -70,9 +73,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> np.ndarr
     last = np.append(first[1:], len(new)) - 1
     out = np.zeros(len(first), ENTRY)
     out["head"] = heads[anchor[first]]
-    out["block"] = span_hashes(data, start[first], start[last] + MATCH)
+    out["block"] = span_hashes(data, start[first], start[last] + MATCH) >> np.uint64(16)
     out["doc"] = docs[text[first]]
-    out["first"], out["last"] = start[first] - offsets[text[first]], start[last] - offsets[text[first]]
+    out["first"], out["lead"], out["more"] = start[first] - offsets[text[first]], anchor[first] - start[first], last - first
+    at = anchor[first].astype(np.int64)
+    out["left"] = span_hashes(data, np.maximum(at - REACH, 0), at + HEAD) & np.uint64(0xFF)
+    out["right"] = span_hashes(data, at, np.minimum(at + MATCH - REACH + 1, len(data))) & np.uint64(0xFF)
     return out
 
 
@@ -107,15 +113,36 @@ class Levels:
             yield later
             self.levels.append(run)
 
-    def open_entries(self) -> np.ndarray:
-        """Entries whose head several documents hold in different blocks."""
-        if not self.levels or not len(rows := self.levels[0]):
-            return np.zeros(0, ENTRY)
-        new = np.concatenate(([True], rows["head"][1:] != rows["head"][:-1]))
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(rows["doc"], first), np.maximum.reduceat(rows["doc"], first)
-        return rows[(low < high)[group]]
+    def open_strings(self) -> np.ndarray:
+        """Strings (doc, first, last) of entries whose head and one side's tag are also another document's, in another block."""
+        out = [np.zeros(0, SPAN)]
+        rows = self.levels[0] if self.levels else np.zeros(0, ENTRY)
+        lead, more = rows["lead"].astype(np.int64), rows["more"].astype(np.int64)
+        for side, low, high in (("left", 0, lead - REACH), ("right", np.maximum(lead - REACH + 1, 0), more)):
+            high = np.minimum(high, more)
+            part = np.flatnonzero(low <= high)
+            part = part[np.lexsort((rows[side][part], rows["head"][part]))]
+            if len(part):
+                head, tag, doc = rows["head"][part], rows[side][part], rows["doc"][part]
+                new = np.concatenate(([True], (head[1:] != head[:-1]) | (tag[1:] != tag[:-1])))
+                first = np.flatnonzero(new)
+                shared = (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first))[np.cumsum(new) - 1]
+                part = part[shared]
+                span = np.zeros(len(part), SPAN)
+                span["doc"], base = rows["doc"][part], rows["first"][part]
+                span["first"], span["last"] = base + np.broadcast_to(low, len(rows))[part], base + high[part]
+                out.append(span)
+        return np.concatenate(out)
+
+
+SPAN = np.dtype([("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
+
+
+def spans_of(rows: np.ndarray) -> np.ndarray:
+    """All strings of the entries."""
+    out = np.zeros(len(rows), SPAN)
+    out["doc"], out["first"], out["last"] = rows["doc"], rows["first"], rows["first"].astype(np.int64) + rows["more"]
+    return out
 
 
 def pack_run(rows: np.ndarray) -> bytes:
@@ -123,8 +150,8 @@ def pack_run(rows: np.ndarray) -> bytes:
     heads = np.diff(rows["head"], prepend=np.uint64(0))
     docs = rows["doc"] - rows["doc"].min()
     kind = np.uint32 if docs.max() < 1 << 32 else np.int64
-    planes = [np.ascontiguousarray(heads).view(np.uint8).reshape(-1, 8).T.tobytes(), rows["block"].tobytes(), docs.astype(kind).view(np.uint8).reshape(len(rows), -1).T.tobytes()]
-    planes += [rows["first"].copy().view(np.uint8).reshape(-1, 4).T.tobytes(), (rows["last"] - rows["first"]).astype(np.uint8).tobytes()]
+    planes = [np.ascontiguousarray(heads).view(np.uint8).reshape(-1, 8).T.tobytes(), np.ascontiguousarray(rows["block"]).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), docs.astype(kind).view(np.uint8).reshape(len(rows), -1).T.tobytes()]
+    planes += [rows["first"].copy().view(np.uint8).reshape(-1, 4).T.tobytes(), *(rows[c].tobytes() for c in ("lead", "more", "left", "right"))]
     head = np.array([len(rows), rows["doc"].min(), kind().itemsize], np.int64).tobytes()
     return head + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
@@ -141,10 +168,13 @@ def unpack_run(blob: bytes) -> np.ndarray:
         return np.ascontiguousarray(part.reshape(width, n).T).ravel() if across else part
 
     out["head"] = np.cumsum(plane(8, True).view(np.uint64))
-    out["block"] = plane(8, False).view(np.uint64)
+    block = np.zeros((n, 8), np.uint8)
+    block[:, :6] = plane(6, True).reshape(n, 6)
+    out["block"] = block.view(np.uint64).ravel()
     out["doc"] = plane(wide, True).view(np.uint32 if wide == 4 else np.int64) + least
     out["first"] = plane(4, True).view(np.uint32)
-    out["last"] = out["first"] + plane(1, False)
+    out["lead"], out["more"] = plane(1, False), plane(1, False)
+    out["left"], out["right"] = plane(1, False), plane(1, False)
     return out
 
 
@@ -157,7 +187,7 @@ def _runs(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=1 << 20):
             data, offsets = text_bytes(part.column("text"))
             held.append(anchors(data, offsets, part.column("doc_id").to_numpy()))
             size += len(data)
@@ -196,8 +226,8 @@ def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
             gone.extend(levels.add(unpack_run(data)))
     gone.extend(levels.close())
     out = []
-    for kind, rows in ((1, np.concatenate([np.zeros(0, ENTRY), *gone])), (2, levels.open_entries())):
-        out.append(pd.DataFrame({"doc_id": rows["doc"], "kind": np.full(len(rows), kind, np.int32), "first": rows["first"].astype(np.int32), "last": rows["last"].astype(np.int32)}))
+    for kind, rows in ((1, spans_of(np.concatenate([np.zeros(0, ENTRY), *gone]))), (2, levels.open_strings())):
+        out.append(pd.DataFrame({"doc_id": rows["doc"], "kind": np.full(len(rows), kind, np.int32), "first": rows["first"], "last": rows["last"]}))
     return pd.concat(out)
 
 
@@ -217,7 +247,7 @@ def _join_spans(pdf: pd.DataFrame) -> pd.DataFrame:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of each string of MATCH bytes that begins in a document's open spans."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=1 << 20):
             data, offsets = text_bytes(part.column("text"))
             ids = part.column("doc_id").to_numpy()
             starts, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -229,7 +259,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = span_hashes(data, start, start + MATCH)
             heads = head_hashes(data) if len(data) >= MATCH else np.zeros(0, np.uint64)
             two = mix(mix(heads[start] * np.uint64(3) + heads[start + 17]) * np.uint64(5) + heads[start + MATCH - HEAD]) if len(start) else one
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[at]), pa.array((start - offsets[at]).astype(np.int32))], names=["one", "two", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(33)).astype(np.int32)), pa.array(ids[at]), pa.array((start - offsets[at]).astype(np.int32))], names=["one", "two", "doc_id", "place"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch], keep_bytes: bool) -> Iterator[pa.RecordBatch]:
@@ -274,9 +304,10 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     slots = RANGES + 4 * total // RANGE_BYTES
     kinds = "doc_id long, kind int, firsts array<int>, lasts array<int>"
     spans = cut(spans.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots))).groupBy("slot").applyInPandas(lambda pdf: _join_spans(pdf.drop(columns="slot")), kinds))
-    gone = spans.where("kind = 1").select("doc_id", "firsts", "lasts").dropDuplicates(["doc_id"])
-    unsure = spans.where("kind = 2").select("doc_id", "firsts", "lasts").dropDuplicates(["doc_id"])
-    strings = known.join(unsure, "doc_id").mapInArrow(_strings, "one long, two long, doc_id long, place int")
+    release(docs.sparkSession)
+    gone = spans.where("kind = 1").select("doc_id", "firsts", "lasts")
+    unsure = spans.where("kind = 2").select("doc_id", "firsts", "lasts")
+    strings = known.join(unsure, "doc_id").mapInArrow(_strings, "one long, two int, doc_id long, place int")
     first = strings.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     more = strings.join(first, ["one", "two"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     edits = gone.join(more, "doc_id", "full")
@@ -289,9 +320,9 @@ def op7_logarithmic_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 ORACLE = """
-WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-starts AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS place FROM texts),
-strings AS (SELECT doc_id, place, sha256(substr(h, 2 * place + 1, 100)) AS s FROM starts),
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS place FROM texts),
+strings AS (SELECT doc_id, place, md5(b[place + 1 : place + 50]) AS s FROM starts),
 firsts AS (SELECT s, min(doc_id) AS low FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hits AS (SELECT t.doc_id, t.place FROM strings t JOIN firsts f ON t.s = f.s WHERE t.doc_id > f.low),
 runs AS (
@@ -300,13 +331,13 @@ runs AS (
 ), numbered AS (SELECT doc_id, place, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM runs),
 spans AS (SELECT doc_id, run, min(place) AS a, max(place) + 50 AS b FROM numbered GROUP BY doc_id, run),
 cuts AS (
-  SELECT doc_id, run, b AS from_byte, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS to_byte FROM spans
-  UNION ALL SELECT doc_id, 0, 0, min(a) FROM spans GROUP BY doc_id
+  SELECT doc_id, b AS from_byte, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS to_byte FROM spans
+  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id
 ), kept AS (
-  SELECT c.doc_id, string_agg(substr(t.h, 2 * c.from_byte + 1, 2 * (coalesce(c.to_byte, len(t.h) // 2) - c.from_byte)), '' ORDER BY c.from_byte) AS h
-  FROM cuts c JOIN texts t ON c.doc_id = t.doc_id GROUP BY c.doc_id
+  SELECT c.doc_id, string_agg(hex(t.b[c.from_byte + 1 : coalesce(c.to_byte, octet_length(t.b))]), '' ORDER BY c.from_byte) AS h
+  FROM cuts c JOIN texts t ON c.doc_id = t.doc_id WHERE coalesce(c.to_byte, octet_length(t.b)) > c.from_byte GROUP BY c.doc_id
 ), sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
-SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(s.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+SELECT t.doc_id, CAST(octet_length(t.b) AS BIGINT) AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(s.n_spans, 0) AS BIGINT) AS n_spans, CASE WHEN s.doc_id IS NULL THEN sha256(t.b) ELSE sha256(unhex(coalesce(k.h, ''))) END AS kept_sha256
 FROM texts t LEFT JOIN sums s ON t.doc_id = s.doc_id LEFT JOIN kept k ON t.doc_id = k.doc_id
 """

@@ -367,7 +367,7 @@ def test_runs_pack_and_unpack():
     rng = np.random.default_rng(8)
     rows = np.zeros(500, suffix_dedup.ENTRY)
     for c in suffix_dedup.ENTRY.names:
-        rows[c] = rng.integers(0, min(np.iinfo(rows[c].dtype).max, 1 << 62), 500)
+        rows[c] = rng.integers(0, min(np.iinfo(rows[c].dtype).max, 1 << 48), 500)
     rows = np.sort(rows, order=["head", "block", "doc"])
     assert (suffix_dedup.unpack_run(suffix_dedup.pack_run(rows)) == rows).all()
 
