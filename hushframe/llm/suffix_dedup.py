@@ -27,7 +27,7 @@ MATCH, HEAD = 50, 16
 #: Heads in a string of MATCH bytes.
 WIDTH = MATCH - HEAD + 1
 #: Bytes of text in a batch, and in the share of the corpus that one range of heads holds; ranges that there are at least.
-BATCH_BYTES, RANGE_BYTES, RANGES = 16 << 20, 16 << 20, 64
+BATCH_BYTES, RANGE_BYTES, RANGES = 4 << 20, 16 << 20, 64
 
 _B = 0xC6A4A7935BD1E995
 #: A string of MATCH bytes begins REACH bytes or more before its anchor, or ends MATCH - REACH + 1 or more after it. Entries have
@@ -72,7 +72,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> np.ndarr
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(new)) - 1
     out = np.zeros(len(first), ENTRY)
-    out["head"] = heads[anchor[first]]
+    out["head"] = mix(heads[anchor[first]])  # anchors are the small ones among the hashes; mixed again, they fill all ranges alike
     out["block"] = span_hashes(data, start[first], start[last] + MATCH) >> np.uint64(16)
     out["doc"] = docs[text[first]]
     out["first"], out["lead"], out["more"] = start[first] - offsets[text[first]], anchor[first] - start[first], last - first
@@ -187,7 +187,7 @@ def _runs(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        for part in slices(batch, limit=1 << 20):
+        for part in slices(batch, limit=1 << 19):
             data, offsets = text_bytes(part.column("text"))
             held.append(anchors(data, offsets, part.column("doc_id").to_numpy()))
             size += len(data)
@@ -247,7 +247,7 @@ def _join_spans(pdf: pd.DataFrame) -> pd.DataFrame:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of each string of MATCH bytes that begins in a document's open spans."""
     for batch in batches:
-        for part in slices(batch, limit=1 << 20):
+        for part in slices(batch, limit=1 << 19):
             data, offsets = text_bytes(part.column("text"))
             ids = part.column("doc_id").to_numpy()
             starts, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
