@@ -454,6 +454,55 @@ def test_leaks_odd_rows(spark, odd, none):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.drop_leaks(odd, bench.limit(0)).count() == len(ODD)
 
 
+def edited(words, rng, every):
+    return [f"edit{rng.randrange(9999)}" if k % every == every // 2 else w for k, w in enumerate(words)]
+
+
+def test_leaks_only_in_edited_or_partial_copies(spark):
+    rng = random.Random(91)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(n))) for k, n in enumerate((20, 21, 28, 35, 40, 12, 3))]
+    filler = " ".join(f"w{k}" for k in range(60))
+    rows, want = [], set()
+    for every in (3, 4, 5, 6, 7):
+        for item, text in items[:5]:
+            rows.append((len(rows), f"{filler} {' '.join(edited(text.split(), rng, every))} {filler}"))
+            code = {w: k for k, w in enumerate(text.split())}
+            if decontaminate.align(np.array([code.get(w, -1) for w in rows[-1][1].split()]), np.arange(len(code)))[0] >= decontaminate.COPY * len(code):
+                want.add((rows[-1][0], item))
+    many = " ".join(edited(items[0][1].split(), rng, 6))
+    for _ in range(500):  # one edited passage in many documents
+        rows.append((len(rows), f"{filler} {many} {filler}"))
+        want.add((rows[-1][0], 0))
+    for item, text in (items[5], (5, " x ".join(items[5][1].split())), (4, " ".join(items[4][1].split()[:24])), items[6]):  # whole, a word put in everywhere, a part, a short item
+        rows.append((len(rows), f"{filler} {text} {filler} {text}"))
+        want.add((rows[-1][0], item))
+    rows.append((len(rows), f"{filler} i6x0 i6x1 {filler}"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert {r.n_places for r in found if r.doc_id >= 525} == {2} and {r.n_places for r in found if r.doc_id < 525} == {1}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_leaks_are_those_of_full_alignment(spark):
+    rng = random.Random(92)
+    items = [[f"v{rng.randrange(40)}" for _ in range(n)] for n in (4, 5, 6, 9, 14, 25)]
+    docs = []
+    for _ in range(150):
+        words = [f"v{rng.randrange(60)}" for _ in range(rng.randrange(0, 30))]
+        for w in rng.choice(items):
+            if (kind := rng.randrange(8)) > 1:
+                words.append(w)
+            if kind in (1, 2):
+                words.append(f"v{rng.randrange(60)}")
+        docs.append(words + [f"v{rng.randrange(60)}" for _ in range(rng.randrange(0, 30))])
+    code = {f"v{k}": k for k in range(60)}
+    number = [[np.array([code[w] for w in x]) for x in y] for y in (docs, items)]
+    want = {(d, i): round(s / len(b), 6) for d, a in enumerate(number[0]) for i, b in enumerate(number[1]) if (s := decontaminate.align(a, b)[0]) / len(b) >= decontaminate.COPY}
+    frames = [spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(y)], f"{c} long, text string") for y, c in ((docs, "doc_id"), (items, "item_id"))]
+    assert len(want) > 50 and {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(*frames).collect()} == want
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
