@@ -109,8 +109,7 @@ def load_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
 @lru_cache(2)
 def automaton(path: str) -> LongestMatch:
     initial, inner = load_vocabulary(path)
-    heads = {p[:1] for p in initial}
-    return LongestMatch([*initial, *(p for p in inner if len(p) == 1 and p not in heads)], inner)  # a rare first byte may stand alone
+    return LongestMatch([*initial, *(p for p in inner if len(p) == 1)], inner)  # any first byte may stand alone
 
 
 class _Counts(dict):

@@ -200,6 +200,19 @@ def test_token_counts_odd_rows(odd, none):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_token_counts_of_rare_scripts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    initial, inner = map(set, token_counts.load_vocabulary(path))
+    first = initial | {p for p in inner if len(p) == 1}
+    assert len({p for p in inner if len(p) == 1}) == 256
+    words = ["สวัสดีชาวโลกทั้งหลาย", "வணக்கம்", "ನಮಸ್ಕಾರ", "\u3231", "\U0001d4b3yz", "über", "नमस्ते", "plain"]
+    rows = token_counts.count_tokens(spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.n_pieces for r in rows} == {k: greedy(w.encode(), first, inner) for k, w in enumerate(words)}
+    assert all(r.n_pieces > 1 for r in rows if r.doc_id < 5)
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
