@@ -2,8 +2,8 @@
 
 Each repetition samples the ORDER smallest occurrence-labelled word shingles of a document under its own hash and keeps them
 in text order, so that documents meet if they share shingles in the same order. Documents that meet are compared to a few
-hubs of their bucket, never to each other in all pairs, by a banded alignment of their shingle sequences. Large buckets that
-still hold several classes get finer sketches.
+hubs of their bucket by a banded alignment of their shingle sequences. Large buckets that still hold several classes get
+finer sketches. In buckets that hold several classes even then, all pairs of different classes are settled, in salted blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ SIMILARITY = 0.8
 LEVELS = [(3, 12), (6, 40)]
 #: Hubs of a bucket. Buckets of more than HUBS + 1 documents that still hold several classes go to the next level.
 HUBS = 2
+#: Members of a bucket that are compared in all pairs by one task.
+BLOCK_MEMBERS = 2048
+
+#: Edges that a task contracts in memory.
+FOREST_EDGES = 500_000
 
 #: One-bit minima of a document's signature, and how many may differ before a pair is aligned. At similarity 0.8 one in ten
 #: differs; more than ALIKE do with chance 3e-7.
@@ -197,6 +202,29 @@ def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long, similarity double").select("a", "b").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    tops = [(find(x), x) for x in list(root)]
+    tops = np.array([t for t in tops if t[0] != t[1]], np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(tops[:, 0]), pa.array(tops[:, 1])], names=["a", "b"])
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: of each FOREST_EDGES or so, one from each node to the smallest node it is linked to."""
+    edges = edges.select("a", "b")
+    return cut(edges.coalesce(max(1, -(-edges.count() // FOREST_EDGES))).mapInArrow(_forest, "a long, b long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of the edges (a, b): label is the smallest node that paths lead to.
 
@@ -222,6 +250,24 @@ def impure_buckets(buckets: DataFrame) -> DataFrame:
     return every.where("low < high").select("rep", "key", "size")
 
 
+def _may_link(other: str):
+    """Whether two bucket members, the second's columns named with a prefix, are of different classes and within the bounds of a link."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}"))) for c in ("s1", "s2")), F.lit(0))
+    return (F.col("label") != F.col(f"{other}label")) & (F.least("n", f"{other}n") >= SIMILARITY * F.greatest("n", f"{other}n")) & (differ <= ALIKE)
+
+
+def _open_pairs(buckets: DataFrame) -> DataFrame:
+    """All pairs of different classes within each bucket that may be links; a bucket's blocks meet each other once."""
+    rest = ["node", "n", "s1", "s2", "label"]
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    rows = cut(buckets.join(impure_buckets(buckets), ["rep", "key"]).select("rep", "key", *rest, blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = rows.select("rep", "key", F.col("block").alias("i"), every.alias("j"), *rest)
+    second = rows.select("rep", "key", every.alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"other_{c}") for c in rest])
+    met = first.join(second, ["rep", "key", "i", "j"]).where((F.col("node") < F.col("other_node")) & _may_link("other_"))
+    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
     """Pairs of each bucket's members with its hubs that are of other classes and near in length.
 
@@ -233,8 +279,7 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     hubs = buckets.groupBy("rep", "key").agg(*[v.alias(k) for k, v in ranked.items()], F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     each = F.explode(F.array(*[F.struct(*[F.col(k)[c].alias(f"hub_{c}") for c in rest]) for k in ranked]))
     hubs = hubs.select("rep", "key", each.alias("h")).select("rep", "key", "h.*").distinct()
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub_{c}"))) for c in ("s1", "s2")), F.lit(0))
-    met = buckets.join(hubs, ["rep", "key"]).where((F.col("label") != F.col("hub_label")) & (F.least("n", "hub_n") >= SIMILARITY * F.greatest("n", "hub_n")) & (differ <= ALIKE))
+    met = buckets.join(hubs, ["rep", "key"]).where(_may_link("hub_"))
     return met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
 
 
@@ -253,7 +298,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     nodes = cut(rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")]))
     texts = texts.where("doc_id is not null").select("doc_id", "text")
     buckets = nodes.select("node", "n", "s1", "s2", F.posexplode("keys").alias("rep", "key"))
-    edges, labels, tested = None, None, None
+    edges, labels, tested, levels = None, None, None, []
     for level in range(len(LEVELS)):
         if level:
             order, repetitions = LEVELS[level]
@@ -268,12 +313,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
         buckets = cut(buckets)
         pairs = _hub_pairs(_labelled(buckets, labels))
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs
-        found = cut(links(texts, pairs))
-        release(docs.sparkSession)
-        if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges)
+        tested = pairs if tested is None else tested.union(pairs)
+        levels.append(buckets)
+        edges, labels = _linked(texts, pairs, edges, labels)
+    for buckets in levels:
+        pairs = cut(_open_pairs(_labelled(buckets, labels)).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tested = tested.union(pairs)
+            edges, labels = _linked(texts, pairs, edges, labels)
+    levels.clear()
     members = rows.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left")
     if labels is None:
         return members.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("class_id"), F.col("n").alias("n_shingles"))
@@ -281,6 +329,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return members.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")).alias("class_id"), F.col("n").alias("n_shingles"))
 
 
+def _linked(texts: DataFrame, pairs: DataFrame, edges: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The edges with the links among pairs, and the labels that come of them."""
+    found = cut(links(texts, pairs))
+    release(texts.sparkSession)
+    if found.isEmpty():
+        return edges, labels
+    edges = contracted(found if edges is None else edges.union(found))
+    return edges, components(edges)
+
+
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return buckets.withColumn("label", F.col("node"))

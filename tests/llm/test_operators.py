@@ -283,6 +283,34 @@ def test_near_odd_rows(odd, none):
     assert kept.count(7) == 1 and 6 not in kept and None in kept and near_dedup.near_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("members", [2, 2048])
+def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, members):
+    monkeypatch.setattr(near_dedup, "LEVELS", [(1, 1)])
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members, raising=False)
+    rng, texts = random.Random(51), []
+    for family in range(60):
+        base = [f"f{family}w{k}" for k in range(120)]
+        far, first, second = list(base[:-4]), list(base), list(base)
+        for words, places in ((far, (20, 60, 90)), (first, (40,)), (second, (75,))):
+            for k in places:
+                words[k] = f"x{rng.randrange(10**9)}"
+        texts += [(3 * family + k, " ".join(w)) for k, w in enumerate((far, first, second))]
+    keys = near_dedup.sketches(*near_dedup.shingles(near_dedup.pa.array([t for _, t in texts])), 1, 1)[:, 0].tolist()
+    want = {}
+    for key in set(keys):
+        want |= classes_by_pairs([t for t, k in zip(texts, keys, strict=True) if k == key], near_dedup.SIMILARITY)
+    assert sum(keys[k] == keys[k + 1] == keys[k + 2] and want[k + 1] == want[k + 2] != want[k] for k in range(0, 180, 3)) > 10
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == want
+
+
+def test_contracted_edges_keep_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FOREST_EDGES", 10)
+    rng = random.Random(52)
+    edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)], "a long, b long").where("a <> b")
+    assert sorted(near_dedup.components(near_dedup.contracted(edges)).collect()) == sorted(near_dedup.components(edges).collect())
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
