@@ -114,7 +114,7 @@ def _rows(page_id: int, html: str | None) -> list[tuple]:
     out = []
     for n in tree.nodes:
         values, selected = _values(n)
-        out.append((page_id, "element", n.idx, n.parent.idx if n.parent else None, n.tag, n.attrs, n.visible, _selector(n), values, selected, _content(n).strip()[:2000], n.attrs.get("data-agent-id"), None))
+        out.append((page_id, "element", n.idx, n.parent.idx if n.parent else None, n.tag, n.attrs, n.visible, _selector(n), values, selected, _content(n).strip(), n.attrs.get("data-agent-id"), None))
     kept = [(n, t) for n, t in tree.text if n.tag not in UNREAD]
     for k, (n, t) in enumerate(kept):
         out.append((page_id, "text", k, n.idx, n.tag, {}, n.visible, _selector(n), [], None, t.strip(), n.attrs.get("data-agent-id"), None))

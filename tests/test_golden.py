@@ -180,3 +180,9 @@ def test_egress_finds_escaped_values(spark):
     payloads = spark.createDataFrame([(1, json.dumps({"t": raw}))], "request_id long, payload string")
     values = spark.createDataFrame([(1, "a", raw, None), (1, "b", "zz", None), (1, "c", None, "absent")], "request_id long, agent_id string, value string, text string")
     assert [r.agent_id for r in Q.egress_check(payloads, values).collect()] == ["a"]
+
+
+def test_long_element_keeps_its_whole_text(spark):
+    text = " ".join(f"word{k}" for k in range(900))
+    parsed = H.parse_pages(spark.createDataFrame([(1, f"<html><body><main><p> {text} </p></main></body></html>")], "page_id long, html string"))
+    assert {r.tag: r.text for r in H.extract_elements(parsed).collect() if r.tag in ("body", "main", "p")} == dict.fromkeys(("body", "main", "p"), text)
