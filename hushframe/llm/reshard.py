@@ -181,15 +181,30 @@ def number_slots(rows: DataFrame, buckets: int) -> DataFrame:
 def rewrite(source: str, target: str, plan: DataFrame, key: str = "doc_id") -> list[int]:
     """Write to target the shard folders that lose or gain rows under plan (key, old_shard, shard); the others stay as they are.
 
-    source has folders old_shard=K of Parquet files. Returns the new shards that were written.
+    source has folders old_shard=K of Parquet files. Each row is written once: nulls match nulls, repeated rows are counted
+    off against the plan's. A second run replaces the folders of the first. Returns the new shards that were written.
     """
     spark = plan.sparkSession
     touched = plan.where(~F.col("old_shard").eqNullSafe(F.col("shard"))).select(F.explode(F.array("old_shard", "shard")).alias("k")).distinct()
     shards = sorted(r.k for r in touched.collect() if r.k is not None)  # shard numbers
     docs = spark.read.parquet(source)
-    name = fresh(docs, "shard")["shard"]
-    moves = plan.select(F.col(key), F.col("old_shard"), F.col("shard").alias(name)).where(F.col("shard").isin(shards))
-    docs.join(moves, [key, "old_shard"]).drop("old_shard").repartition(name, F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy(name).mode("append").parquet(target)
+    names = fresh(docs, "shard", "n", "size", "crc", "row_hash")
+    name = names["shard"]
+    same, known = [key, "old_shard"], [F.col(key), F.col("old_shard")]
+    if "text" in docs.columns and {"size", "text_crc32"} <= set(plan.columns):  # tells rows of one key with different texts apart
+        docs = docs.withColumns({names["size"]: (F.octet_length(clean_text()) + 1).cast("long"), names["crc"]: F.crc32(clean_text())})
+        same, known = [*same, names["size"], names["crc"]], [*known, F.col("size"), F.col("text_crc32")]
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    docs = docs.withColumn(names["row_hash"], F.xxhash64(*plain))
+    docs = docs.withColumn(names["n"], F.row_number().over(Window.partitionBy(*same).orderBy(names["row_hash"])))
+    moves = plan.select(*[c.alias(f"plan_{k}") for k, c in enumerate(known)], F.col("shard").alias(name))
+    ids = [f"plan_{k}" for k in range(len(known))]
+    moves = moves.withColumn("plan_n", F.row_number().over(Window.partitionBy(*ids).orderBy(name))).where(F.col(name).isin(shards))
+    match = docs[names["n"]] == moves["plan_n"]
+    for c, i in zip(same, ids, strict=True):
+        match = match & docs[c].eqNullSafe(moves[i])
+    out = docs.join(moves, match).drop("old_shard", "plan_n", *ids, *[v for k, v in names.items() if k != "shard"])
+    out.repartition(name, F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy(name).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
     return shards
 
 

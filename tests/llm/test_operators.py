@@ -89,6 +89,18 @@ def test_rewrite_leaves_other_shards(spark, tmp_path):
     assert new.select("shard").distinct().count() == 2 and new.count() == plan.where("shard < 2").count()
 
 
+def test_rewrite_writes_each_row_once(spark, tmp_path):
+    rows = [(k % 20 if k % 7 else None, f"text {k % 3}", k % 3 if k % 5 else None) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old_shard int")
+    docs.write.partitionBy("old_shard").parquet(f"{tmp_path}/old")
+    plan = reshard.reshard(docs, F.col("old_shard"), shards=3).localCheckpoint()
+    for _ in range(2):
+        assert reshard.rewrite(f"{tmp_path}/old", f"{tmp_path}/new", plan) == [0, 1, 2]
+        new = spark.read.parquet(f"{tmp_path}/new").collect()
+        assert collections.Counter((r.doc_id, r.text) for r in new) == collections.Counter(r[:2] for r in rows)
+        assert collections.Counter((r.doc_id, r.shard) for r in new) == collections.Counter((r.doc_id, r.shard) for r in plan.collect())
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
