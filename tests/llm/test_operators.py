@@ -409,20 +409,64 @@ def test_levels_grow_geometrically():
     levels, sizes = suffix_dedup.Levels(), []
     rng = np.random.default_rng(7)
     for d in range(64):
-        run = np.zeros(100, suffix_dedup.ENTRY)
-        run["head"], run["block"], run["doc"] = rng.integers(0, 1 << 60, 100), rng.integers(0, 1 << 60, 100), d
-        list(levels.add(run))
+        run = np.zeros(100, suffix_dedup.SUFFIX)
+        run["string"] = np.frombuffer(rng.bytes(5000), "S50")
+        run["doc"] = d
+        list(levels.add(np.sort(run, order="string")))
         sizes.append(len(levels.levels))
     assert max(sizes) <= 7 and sum(map(len, levels.levels)) == 6400
+    assert not sum(map(len, levels.close())) and len(levels.levels) == 1
 
 
-def test_runs_pack_and_unpack():
+def test_family_reports_what_a_smaller_document_holds():
+    rng, levels, seen, gone = np.random.default_rng(70), suffix_dedup.Levels(), [], []
+    strings = np.frombuffer(rng.bytes(50 * 40), "S50")
+    for batch in range(20):
+        run = np.zeros(30, suffix_dedup.SUFFIX)
+        run["string"], run["doc"], run["batch"], run["place"] = strings[rng.integers(0, 40, 30)], rng.integers(0, 50, 30), batch, np.arange(30)
+        seen.append(run)
+        gone += levels.add(np.sort(run, order="string"))
+    gone += levels.close()
+    rows = np.concatenate(seen)
+    low = {s: min(r["doc"] for r in rows if r["string"] == s) for s in set(rows["string"])}
+    assert {(r["batch"], r["place"]) for part in gone for r in part} == {(r["batch"], r["place"]) for r in rows if r["doc"] > low[r["string"]]}
+
+
+def repeats_by_strings(rows):
+    firsts = {}
+    for d, t in rows:
+        raw = (t or "").encode()
+        for k in range(len(raw) - 49 if d is not None else 0):
+            firsts[raw[k : k + 50]] = min(d, firsts.get(raw[k : k + 50], d))
+    out = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - 49 if d is not None else 0):
+            if firsts[raw[k : k + 50]] < d:
+                gone[k : k + 50] = True
+        out.append((d, bytes(np.frombuffer(raw, np.uint8)[~gone]), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum())))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_repeats_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(71)
+    pool = ["".join(rng.choice("ab é𝒳\0\xff") for _ in range(rng.randrange(20, 120))) for _ in range(25)]
+    rows = [(rng.randrange(30), "".join(rng.choice(pool)[rng.randrange(9) : rng.randrange(40, 130)] for _ in range(rng.randrange(6)))) for _ in range(60)]
+    common = "a passage of more than fifty bytes that every other one of these texts holds"
+    rows += [(100 + k, f"{rng.random()} {common} {rng.random()}") for k in range(40)] + [(7, "one text " * 20), (7, "one text " * 20), (3, "one text " * 20), (7, "x" * 300), (2, "x" * 40 + "y")]
+    rows += [(1, "A" * 10 + pool[0] * 3), (2, "A" * 10 + pool[0] * 3), (2, "another text of the same document, which shares nothing with the first one"), (500, "z" * 1_200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert sorted(got, key=str) == repeats_by_strings(rows)
+
+
+def test_columns_pack_and_unpack():
     rng = np.random.default_rng(8)
-    rows = np.zeros(500, suffix_dedup.ENTRY)
-    for c in suffix_dedup.ENTRY.names:
-        rows[c] = rng.integers(0, min(np.iinfo(rows[c].dtype).max, 1 << 48), 500)
-    rows = np.sort(rows, order=["head", "block", "doc"])
-    assert (suffix_dedup.unpack_run(suffix_dedup.pack_run(rows)) == rows).all()
+    columns = [rng.integers(0, 100, 500).astype(k) for k in ("<u8", "u1", "<i4")]
+    assert all((a == b).all() for a, b in zip(columns, suffix_dedup._unpack(suffix_dedup._pack(*columns), 500, "<u8", "u1", "<i4"), strict=True))
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
