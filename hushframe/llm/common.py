@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +26,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more.
-
-    Its cleaner acts when the driver collects garbage, which an idle driver may not do for long. The Python side hands its
-    references over on another thread, hence the short waits.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The folder named in spark.checkpoint.dir holds; one of our own is set only where there is none, as in tests."""
     sc = spark.sparkContext

@@ -1,9 +1,10 @@
 """Near-duplicate classes by Order MinHash.
 
-Each repetition samples the ORDER smallest occurrence-labelled word shingles of a document under its own hash and keeps them
-in text order, so that documents meet if they share shingles in the same order. Documents that meet are compared to a few
-hubs of their bucket by a banded alignment of their shingle sequences. Large buckets that still hold several classes get
-finer sketches. In buckets that hold several classes even then, all pairs of different classes are settled, in salted blocks.
+Each repetition samples the ORDER smallest occurrence-labelled word shingles of a text under its own hash and keeps them in
+text order, so that texts meet if they share shingles in the same order. Texts that meet are compared to two hubs of their
+bucket by a banded alignment of their shingle sequences. Where a bucket still holds several classes, its texts also meet on
+their rarest shingles: two texts similar enough share one of those (prefix filter), so that no link among them is lost, and
+texts that have only a common passage in common do not meet.
 """
 
 from __future__ import annotations
@@ -12,25 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hushframe.llm.common import LOWER_TABLE, clean_text, cut, gram_hashes, mix, read_documents, release, slices, span_hashes, text_bytes, word_bounds
+from hushframe.llm.common import LOWER_TABLE, clean_text, cut, fresh, gram_hashes, mix, read_documents, slices, span_hashes, text_bytes, word_bounds
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: (shingles of a sketch, repetitions) of each level. At similarity 0.8 a pair meets nowhere with chance 2e-4 and 5e-6.
-LEVELS = [(3, 12), (6, 40)]
-#: Hubs of a bucket. Buckets of more than HUBS + 1 documents that still hold several classes go to the next level.
-HUBS = 2
-#: Members of a bucket that are compared in all pairs by one task.
-BLOCK_MEMBERS = 2048
-
+#: Shingles of a sketch, and repetitions. At similarity 0.8 a pair meets in no bucket with chance 2e-4.
+ORDER, REPETITIONS = 3, 12
+#: Rows of one hub or one shingle that are joined in one piece; more are dealt to several.
+PIECE = 2048
 #: Edges that a task contracts in memory.
 FOREST_EDGES = 500_000
-
-#: One-bit minima of a document's signature, and how many may differ before a pair is aligned. At similarity 0.8 one in ten
+#: Bins in which shingles are counted to tell rare from frequent ones; any order of shingles gives the same links.
+BINS = 1 << 18
+#: One-bit minima of a text's signature, and how many may differ before a pair is aligned. At similarity 0.8 one in ten
 #: differs; more than ALIKE do with chance 3e-7.
 SIGNS, ALIKE = 128, 30
 
@@ -148,58 +146,72 @@ def ordered_overlap(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) ->
 
 
 def banded_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence whose matched places differ by band at most."""
+    """Length of the longest common subsequence whose matched places differ by band at most.
+
+    The alignment's rows are bit vectors over the places of b within the band, one for each place of a: a zero marks a place
+    at which the length grows. A row takes time in proportion to band / 64.
+    """
     m = len(b)
-    row = np.zeros(m + 1, np.int64)
-    for i, x in enumerate(a):
-        lo, hi = max(0, i - band), min(m, i + band + 1)
-        if lo >= m:
-            break
-        if lo:
-            row[lo] = max(row[lo], row[lo - 1])
-        step = np.maximum(row[lo + 1 : hi + 1], row[lo:hi] + (b[lo:hi] == x))
-        row[lo + 1 : hi + 1] = np.maximum.accumulate(np.maximum(step, row[lo]))
-        row[hi + 1 :] = row[hi]
-    return int(row[-1])
-
-
-def _sketch_rows(batches: Iterator[pa.RecordBatch], names: list[str], order: int, repetitions: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            grams, begins = shingles(part.column("text"))
-            keys = sketches(grams, begins, order, repetitions).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, repetitions), pa.int32()), pa.array(keys.ravel()))
-            signs = signatures(grams, begins).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(np.diff(begins)), pa.array(signs[:, 0]), pa.array(signs[:, 1]), lists], names=[*names, "n", "s1", "s2", "keys"])
+    names, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(codes[len(a) :], kind="stable")
+    edges = np.searchsorted(codes[len(a) :][order], np.arange(len(names) + 1))
+    often: dict[int, int] = {}  # all places of the few names that stand at many, as bits
+    for c in np.flatnonzero(np.diff(edges) > max(8, m // 1000)).tolist():
+        bits = np.zeros(m, bool)
+        bits[order[edges[c] : edges[c + 1]]] = True
+        often[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    row, lo, hi, length = 0, 0, 0, 0
+    for i, c in enumerate(codes[: len(a)].tolist()):
+        if (low := min(max(0, i - band), m)) > lo:
+            length += low - lo - (row & ((1 << (low - lo)) - 1)).bit_count()
+            row >>= low - lo
+            lo = low
+        if (high := min(m, i + band + 1)) > hi:
+            row |= ((1 << (high - hi)) - 1) << (hi - lo)
+            hi = high
+        if lo >= hi:
+            continue
+        inside = (1 << (hi - lo)) - 1
+        if c in often:
+            match = often[c] >> lo & inside
+        else:
+            match = 0
+            for j in order[edges[c] : edges[c + 1]].tolist():
+                if lo <= j < hi:
+                    match |= 1 << (j - lo)
+        row = (row + (row & match) | row & ~match) & inside
+    return length + hi - lo - row.bit_count()
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             grams, begins = shingles(part.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "grams"])
+            keys = sketches(grams, begins, ORDER, REPETITIONS).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, REPETITIONS), pa.int32()), pa.array(keys.ravel()))
+            signs = signatures(grams, begins).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(np.diff(begins)), pa.array(signs[:, 0]), pa.array(signs[:, 1]), lists], names=["doc_id", "node", "n", "s1", "s2", "keys"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sides = []
-        for name in ("grams_a", "grams_b"):
-            column = batch.column(name)
-            sides.append((column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()))
-        (a, at), (b, bt) = sides
-        likeness = np.array([ordered_overlap(a[at[k] : at[k + 1]], b[bt[k] : bt[k + 1]]) for k in range(batch.num_rows)], float)
-        good = np.flatnonzero(likeness > 0)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good)), batch.column("b").take(pa.array(good)), pa.array(likeness[good])], names=["a", "b", "similarity"])
+        for half in slices(batch, "text_a"):
+            for part in slices(half, "text_b"):
+                (a, at), (b, bt) = shingles(part.column("text_a")), shingles(part.column("text_b"))
+                good = [k for k in range(part.num_rows) if ordered_overlap(a[at[k] : at[k + 1]], b[bt[k] : bt[k + 1]])]
+                yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of doc_id whose similarity is SIMILARITY or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = docs.select(F.col("doc_id").alias("node"), "text").join(ends, "node", "left_semi")
-    grams = cut(wanted.mapInArrow(_gram_rows, "node long, grams array<long>"))
-    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return both.mapInArrow(_verify, "a long, b long, similarity double").select("a", "b").distinct()
+def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose similarity is SIMILARITY or more; texts has node and text.
+
+    b may be one node in very many pairs: its text is repeated for each PIECE of them, so that they are dealt to several tasks.
+    """
+    pieces = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(pieces, "b").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    first = pairs.join(pieces, "b").withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces")).cast("int")).drop("pieces")
+    first = first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return first.join(second, ["b", "piece"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +233,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges with the same components: of each FOREST_EDGES or so, one from each node to the smallest node it is linked to."""
-    edges = edges.select("a", "b")
+    edges = cut(edges.select("a", "b"))
     return cut(edges.coalesce(max(1, -(-edges.count() // FOREST_EDGES))).mapInArrow(_forest, "a long, b long"))
 
 
@@ -244,43 +256,107 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def impure_buckets(buckets: DataFrame) -> DataFrame:
-    """(rep, key, size) of the buckets that hold several classes."""
-    every = buckets.groupBy("rep", "key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return every.where("low < high").select("rep", "key", "size")
-
-
-def _may_link(other: str):
-    """Whether two bucket members, the second's columns named with a prefix, are of different classes and within the bounds of a link."""
+def _may_link(other: str) -> Column:
+    """Whether two rows, the second's columns named with a prefix, are of different nodes and within the bounds of a link."""
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}"))) for c in ("s1", "s2")), F.lit(0))
-    return (F.col("label") != F.col(f"{other}label")) & (F.least("n", f"{other}n") >= SIMILARITY * F.greatest("n", f"{other}n")) & (differ <= ALIKE)
-
-
-def _open_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs of different classes within each bucket that may be links; a bucket's blocks meet each other once."""
-    rest = ["node", "n", "s1", "s2", "label"]
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    rows = cut(buckets.join(impure_buckets(buckets), ["rep", "key"]).select("rep", "key", *rest, blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    first = rows.select("rep", "key", F.col("block").alias("i"), every.alias("j"), *rest)
-    second = rows.select("rep", "key", every.alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"other_{c}") for c in rest])
-    met = first.join(second, ["rep", "key", "i", "j"]).where((F.col("node") < F.col("other_node")) & _may_link("other_"))
-    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+    return (F.col("node") != F.col(f"{other}node")) & (F.least("n", f"{other}n") >= SIMILARITY * F.greatest("n", f"{other}n")) & (differ <= ALIKE)
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its hubs that are of other classes and near in length.
+    """Pairs (a, hub b) of each bucket's members with its hubs that may be links.
 
     The first hub is the member that meets most others in all repetitions, as the original of many copies does: each copy
     shares more with it than with the other copies. The second is the shortest.
     """
-    spread, rest = F.xxhash64("node", "rep"), ["node", "n", "s1", "s2", "label"]
-    ranked = {"x": F.max(F.struct("weight", spread, *rest)), "y": F.min(F.struct(F.col("n").alias("size"), spread, *rest))}
-    hubs = buckets.groupBy("rep", "key").agg(*[v.alias(k) for k, v in ranked.items()], F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rest = ["node", "n", "s1", "s2"]
+    ranked = {"x": F.max(F.struct("weight", *rest)), "y": F.min(F.struct(F.col("n").alias("size"), *rest))}
+    hubs = buckets.groupBy("rep", "key").agg(*[v.alias(k) for k, v in ranked.items()])
     each = F.explode(F.array(*[F.struct(*[F.col(k)[c].alias(f"hub_{c}") for c in rest]) for k in ranked]))
     hubs = hubs.select("rep", "key", each.alias("h")).select("rep", "key", "h.*").distinct()
     met = buckets.join(hubs, ["rep", "key"]).where(_may_link("hub_"))
-    return met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+    return met.select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct()
+
+
+def _bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BINS, np.int64)
+    for batch in batches:
+        for part in slices(batch):
+            grams, begins = shingles(part.column("text"))
+            labelled = occurrence_labelled(grams, np.repeat(np.arange(part.num_rows), np.diff(begins)))
+            counts += np.bincount((labelled & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bin", "n"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each text, as many as a link needs to be found by, with their rank from 1."""
+    rest = ["node", "label", "n", "s1", "s2"]
+    for batch in batches:
+        for part in slices(batch):
+            grams, begins = shingles(part.column("text"))
+            size = np.diff(begins)
+            owner = np.repeat(np.arange(part.num_rows), size)
+            labelled = occurrence_labelled(grams, owner)
+            order = np.lexsort((labelled, counts[(labelled & np.uint64(BINS - 1)).astype(np.int64)], owner))
+            rank = np.arange(len(order)) - begins[owner] + 1
+            keep = rank <= (size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1)[owner]
+            rows = part.select(rest).take(pa.array(owner[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(labelled[order][keep].view(np.int64)), pa.array(rank[keep].astype(np.int32)), *rows.columns], names=["shingle", "rank", *rest])
+
+
+def _rare_pairs(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all nodes (node, label, n, s1, s2) of different labels that may be links.
+
+    A link's shingle multisets share need = 0.8 / 1.8 * (n + m) or more, so that the n - need + 1 and m - need + 1 rarest of
+    the two have one in common. At a shingle only those that are not of its most frequent label look for others.
+    """
+    counts = np.zeros(BINS, np.int64)
+    bins = texts.mapInArrow(_bin_counts, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BINS rows
+    counts[bins["bin"]] = bins["n"]
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    kind = "shingle long, rank int, node long, label long, n long, s1 long, s2 long"
+    rows = cut(texts.join(nodes, "node").select("node", "label", "n", "s1", "s2", "text").mapInArrow(lambda b: _rarest(b, shared.value), kind))
+    often = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("rows"), F.max_by("label", F.struct("k", "label")).alias("major"))
+    often = often.where("labels > 1").select("shingle", "major", F.ceil(F.col("rows") / PIECE).cast("int").alias("pieces"))
+    met = cut(rows.join(often, "shingle"))
+    first = met.where("label <> major").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces", "major")
+    second = met.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    second = second.select("shingle", "piece", *[F.col(c).alias(f"other_{c}") for c in ("rank", "node", "label", "n", "s1", "s2", "major")])
+    need = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("other_n")) - 1e-9)
+    once = (F.col("other_label") == F.col("other_major")) | (F.col("node") < F.col("other_node"))
+    near = (F.col("label") != F.col("other_label")) & (F.col("rank") <= F.col("n") - need + 1) & (F.col("other_rank") <= F.col("other_n") - need + 1)
+    met = first.join(second, ["shingle", "piece"]).where(once & near & _may_link("other_"))
+    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, node (hash of the text), n, class (node's, null without doc_id)."""
+    texts = docs.select("doc_id", clean_text().alias("text")).withColumn("node", F.xxhash64("text"))
+    rows = cut(texts.mapInArrow(_sketch_rows, "doc_id long, node long, n long, s1 long, s2 long, keys array<long>"))
+    known = rows.where("doc_id is not null")
+    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")]))
+    buckets = nodes.select("node", F.posexplode("keys").alias("rep", "key"))
+    shared = buckets.groupBy("rep", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = cut(buckets.join(shared, ["rep", "key"]))
+    met = cut(buckets.groupBy("node").agg(F.sum("size").alias("weight")).join(nodes.drop("keys"), "node"))
+    wanted = texts.join(met.select("node", "doc_id"), ["node", "doc_id"], "left_semi")
+    wanted = cut(wanted.dropDuplicates(["node", "doc_id"]).select("node", "text"))
+    pairs = cut(_hub_pairs(buckets.join(met, "node")))
+    edges = contracted(links(wanted, pairs))
+    labels = _labels(met, edges)
+    mixed = buckets.select("rep", "key", "node").join(labels, "node").groupBy("rep", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    unsure = buckets.join(mixed, ["rep", "key"], "left_semi").select("node").distinct()
+    more = cut(_rare_pairs(wanted, met.join(labels, "node").join(unsure, "node", "left_semi").select("node", "label", "n", "s1", "s2")))
+    if not more.isEmpty():
+        labels = _labels(met, contracted(edges.union(links(wanted, more))))
+    members = rows.select("doc_id", "node", "n").join(labels, "node", "left")
+    return members.select("doc_id", "node", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")).alias("class"))
+
+
+def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes."""
+    found = components(edges).withColumnRenamed("label", "to")
+    return cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("to", "node").alias("label")))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -288,70 +364,29 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     Documents are linked if the longest common subsequence L of their 5-word shingles gives L / (n + m - L) of 0.8 or more;
     classes are the connected components, equal texts included. A null text is an empty one; all empty texts are equal.
-    Rows without doc_id have a null class and link nothing; rows of one doc_id are one document, repeated rows stay rows.
-    An empty table gives no rows. Extra columns are ignored.
+    Rows without doc_id have a null class and link nothing. Rows of one doc_id belong to the class of their own text;
+    repeated rows stay rows. An empty table gives no rows. Extra columns are ignored.
     """
-    texts = docs.select("doc_id", clean_text().alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
-    order, repetitions = LEVELS[0]
-    kind = "doc_id long, k1 long, k2 long, n long, s1 long, s2 long, keys array<long>"
-    rows = cut(texts.mapInArrow(lambda b: _sketch_rows(b, ["doc_id", "k1", "k2"], order, repetitions), kind))
-    nodes = cut(rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")]))
-    texts = texts.where("doc_id is not null").select("doc_id", "text")
-    buckets = nodes.select("node", "n", "s1", "s2", F.posexplode("keys").alias("rep", "key"))
-    edges, labels, tested, levels = None, None, None, []
-    for level in range(len(LEVELS)):
-        if level:
-            order, repetitions = LEVELS[level]
-            mixed = impure_buckets(_labelled(buckets, labels)).where(F.col("size") > HUBS + 1).select("rep", "key")
-            again = cut(buckets.join(mixed, ["rep", "key"], "left_semi").select("node").distinct())
-            if again.isEmpty():
-                break
-            fine = texts.join(again, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(lambda b, o=order, r=repetitions: _sketch_rows(b, ["doc_id"], o, r), "doc_id long, n long, s1 long, s2 long, keys array<long>")
-            buckets = fine.select(F.col("doc_id").alias("node"), "n", "s1", "s2", F.posexplode("keys").alias("rep", "key"))
-        shared = buckets.groupBy("rep", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        buckets = buckets.join(shared, ["rep", "key"]).withColumn("weight", F.sum("size").over(Window.partitionBy("node"))).drop("size")
-        buckets = cut(buckets)
-        pairs = _hub_pairs(_labelled(buckets, labels))
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        levels.append(buckets)
-        edges, labels = _linked(texts, pairs, edges, labels)
-    for buckets in levels:
-        pairs = cut(_open_pairs(_labelled(buckets, labels)).join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tested = tested.union(pairs)
-            edges, labels = _linked(texts, pairs, edges, labels)
-    levels.clear()
-    members = rows.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left")
-    if labels is None:
-        return members.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("class_id"), F.col("n").alias("n_shingles"))
-    members = members.join(labels, "node", "left")
-    return members.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")).alias("class_id"), F.col("n").alias("n_shingles"))
-
-
-def _linked(texts: DataFrame, pairs: DataFrame, edges: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """The edges with the links among pairs, and the labels that come of them."""
-    found = cut(links(texts, pairs))
-    release(texts.sparkSession)
-    if found.isEmpty():
-        return edges, labels
-    edges = contracted(found if edges is None else edges.union(found))
-    return edges, components(edges)
-
-
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("label", F.col("node"))
-    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = cut(_classes(docs))
+    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "class", "left").select("doc_id", "class_id", F.col("n").alias("n_shingles"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not the smallest doc_id of their class; rows without doc_id stay, of repeated rows one does."""
-    classes = near_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    one = docs.join(classes, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return one
-    return one.where("doc_id is null").unionByName(one.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """docs with one row of each class: that of the smallest doc_id, of several texts with that doc_id the one of smallest
+    hash, of repeated rows one. Rows without doc_id stay."""
+    rows = cut(_classes(docs).where("doc_id is not null").select("doc_id", "node", "class"))
+    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    gone = rows.join(first, "class").where(F.struct("doc_id", "node") != F.col("first")).select("doc_id", "node").distinct()
+    twice = rows.groupBy("doc_id", "node").count().where("count > 1").isEmpty()
+    key = fresh(docs, "near_node", "gone_id", "gone_node")
+    node, gone_id, gone_node = key["near_node"], key["gone_id"], key["gone_node"]
+    left = docs.withColumn(node, F.xxhash64(clean_text()))
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node))
+    left = left.join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left_anti")
+    if not twice:
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", node]))
+    return left.select(docs.columns)
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,10 +295,11 @@ def test_near_odd_rows(odd, none):
     assert kept.count(7) == 1 and 6 not in kept and None in kept and near_dedup.near_classes(none).count() == 0
 
 
-@pytest.mark.parametrize("members", [2, 2048])
-def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, members):
-    monkeypatch.setattr(near_dedup, "LEVELS", [(1, 1)])
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members, raising=False)
+@pytest.mark.parametrize("piece", [2, 2048])
+def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, piece):
+    monkeypatch.setattr(near_dedup, "ORDER", 1)
+    monkeypatch.setattr(near_dedup, "REPETITIONS", 1)
+    monkeypatch.setattr(near_dedup, "PIECE", piece)
     rng, texts = random.Random(51), []
     for family in range(60):
         base = [f"f{family}w{k}" for k in range(120)]
@@ -313,7 +314,44 @@ def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, members):
         want |= classes_by_pairs([t for t, k in zip(texts, keys, strict=True) if k == key], near_dedup.SIMILARITY)
     assert sum(keys[k] == keys[k + 1] == keys[k + 2] and want[k + 1] == want[k + 2] != want[k] for k in range(0, 180, 3)) > 10
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == want
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    every = classes_by_pairs(texts, near_dedup.SIMILARITY)  # impure buckets may also find links that no bucket holds
+    assert all(got[a] == got[b] for a in want for b in want if want[a] == want[b]) and all(every[a] == every[b] for a in got for b in got if got[a] == got[b])
+
+
+def test_rare_pairs_are_all_links(spark):
+    rng, texts = random.Random(53), []
+    words = [f"w{k}" for k in range(300)]
+    for k in range(120):  # a frequent passage, families, near misses and repeated words
+        base = random.Random(k // 6).choices(words, k=60)
+        for _ in range(rng.randrange(0, 5)):
+            base[rng.randrange(60)] = rng.choice(words)
+        texts.append((k, " ".join(base + ([f"common{j}" for j in range(40)] if k % 3 else ["the", "of"] * rng.randrange(5, 30)))))
+    docs = spark.createDataFrame(texts, "node long, text string")
+    pa_texts = near_dedup.pa.array([t for _, t in texts])
+    grams, begins = near_dedup.shingles(pa_texts)
+    signs = near_dedup.signatures(grams, begins).view(np.int64)
+    nodes = spark.createDataFrame([(k, k, int(begins[k + 1] - begins[k]), int(signs[k, 0]), int(signs[k, 1])) for k in range(len(texts))], "node long, label long, n long, s1 long, s2 long")
+    pairs = {tuple(sorted((r.a, r.b))) for r in near_dedup._rare_pairs(docs, nodes).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if near_dedup.ordered_overlap(grams[begins[i] : begins[i + 1]], grams[begins[j] : begins[j + 1]])}
+    assert len(want) > 20 and want <= pairs and len(pairs) < 20 * len(want)
+    found = {tuple(sorted((r.a, r.b))) for r in near_dedup.links(docs, near_dedup._rare_pairs(docs, nodes)).collect()}
+    assert found == want
+
+
+def test_long_texts_are_aligned():
+    rng = np.random.default_rng(54)
+    a = rng.integers(0, 1 << 60, 60_000).astype(np.uint64)
+    b = np.delete(a, [9, 500, 30_000])
+    b[100], b[101] = b[101], b[100]
+    assert abs(near_dedup.ordered_overlap(a, b) - 59_996 / (60_000 + 59_997 - 59_996)) < 1e-9
+
+
+def test_texts_of_one_doc_id_have_classes_of_their_own(spark):
+    one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, one), (1, two), (1, two), (2, two), (3, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_classes(docs).collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()) == [(1, one), (1, two)]
 
 
 def test_contracted_edges_keep_components(spark, monkeypatch):
