@@ -1,28 +1,29 @@
 """Line deduplication through a sharded minimal perfect hash.
 
 Distinct keys of repeated lines are dealt to shards; each shard holds a minimal perfect hash with compact arrays of
-fingerprints, counts and last documents. Line references probe the arrays of their shard; no line text is joined.
+fingerprints, counts and last documents. Line references probe the arrays of their shard, in parts of bounded size; no line
+text is joined.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.llm.common import SPACES, clean_text, cut, mix, read_documents
+from hushframe.llm.common import SPACES, clean_text, cut, fresh, mix, read_documents
 
 #: Distinct keys in one shard's arrays.
 SHARD_KEYS = 50_000
-#: Copies of each shard's arrays over which the references to its lines are spread, so that one very common line has no task of its own.
-SPREAD = 16
+#: References that probe one copy of a shard's arrays; a shard has as many copies as its references need, so that neither a
+#: large corpus nor one very common line makes a large group.
+PART_ROWS = 200_000
 
 _STRIP = SPACES.encode()
 REFERENCES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
@@ -123,10 +124,10 @@ def _probe(references: pd.DataFrame, arrays: pd.DataFrame, min_docs: int) -> pd.
     return references.loc[known & ~kept, ["doc_id", "text_key", "line_no"]]
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], gone_lines: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, lines, dropped = [], [], []
-        for text, gone in zip(batch.column("text"), batch.column("gone"), strict=True):
+        for text, gone in zip(batch.column("text"), batch.column(gone_lines), strict=True):
             text, gone = text.as_py(), gone.as_py()
             lines.append(text.count("\n") + 1 if text else 1)
             if gone:
@@ -136,8 +137,31 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 dropped.append(0)
             kept.append(text)
-        columns = [pa.array(kept, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "gone"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[n for n in batch.schema.names if n != "gone"] + ["n_lines", "n_dropped"])
+        names = [n for n in batch.schema.names if n != gone_lines]
+        columns = [pa.array(kept, pa.string()) if n == "text" else batch.column(n) for n in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+
+
+def frequent_arrays(references: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    """ARRAYS of the keys that stand in min_docs documents, a row a shard, and the number of shards."""
+    frequent = references.groupBy("lo", "hi").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
+    frequent = cut(frequent)
+    shards = max(1, -(-frequent.count() // SHARD_KEYS))
+    return frequent.withColumn("shard", _shard_of(shards)).groupBy("shard").applyInPandas(_shard, ARRAYS), shards
+
+
+def _shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("lo", "hi"), F.lit(shards)).cast("int")
+
+
+def repeated_lines(references: DataFrame, min_docs: int) -> DataFrame:
+    """(doc_id, text_key, line_no) of the references whose line goes."""
+    arrays, shards = frequent_arrays(references, min_docs)
+    probes = references.withColumn("shard", _shard_of(shards))
+    load = cut(probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")))  # a row a shard
+    arrays = arrays.join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    probes = probes.join(load, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "line_no"), F.col("parts")).cast("int")).drop("parts")
+    return probes.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInPandas(lambda a, b: _probe(a, b, min_docs), "doc_id long, text_key long, line_no int")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -149,20 +173,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     empty table gives no rows. Columns of docs named n_lines or n_dropped are replaced; all others are kept.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    schema = docs.schema
-    key = F.xxhash64(clean_text())
+    names, key = fresh(docs, "gone_id", "gone_key", "row_key", "gone_lines"), F.xxhash64(clean_text())
+    gone_id, gone_key, row_key, gone_lines = names.values()
     references = cut(docs.select("doc_id", key.alias("text_key"), clean_text().alias("text")).mapInArrow(lambda b: _references(b, min_chars), REFERENCES))
-    frequent = references.groupBy("lo", "hi").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
-    frequent = cut(frequent)
-    shards = max(1, -(-frequent.count() // SHARD_KEYS))
-    shard = F.pmod(F.xxhash64("lo", "hi"), F.lit(shards)).cast("int")
-    arrays = frequent.withColumn("shard", shard).groupBy("shard").applyInPandas(_shard, ARRAYS).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    probes = references.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SPREAD)).cast("int"))
-    gone = probes.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInPandas(lambda a, b: _probe(a, b, min_docs), "doc_id long, text_key long, line_no int")
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("gone"))
-    joined = docs.withColumn("_row_key", key).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left").drop("_id", "_key", "_row_key")
-    out = T.StructType([*schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_rewrite, out)
+    gone = repeated_lines(references, min_docs)
+    gone = gone.groupBy(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).agg(F.collect_set("line_no").alias(gone_lines))
+    joined = docs.withColumn(row_key, key).join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(row_key) == F.col(gone_key)), "left").drop(gone_id, gone_key, row_key)
+    out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return joined.mapInArrow(lambda b: _rewrite(b, gone_lines), out)
 
 
 def op10_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
