@@ -7,7 +7,7 @@ start of a window is a sliding-window minimum, kept in a monotone queue: the pro
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -15,32 +15,92 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from hushframe.llm.common import clean_text, read_documents
+from hushframe.llm.common import clean_text, read_documents, slices
 
 #: Penalties, in padding tokens: a window that ends inside a document at a sentence's end, or inside a sentence.
 SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
 #: A sentence longer than this may be cut at multiples of it.
 LONG_SENTENCE = 128
 #: Tokens that are packed at a time; the last window is carried over to the next ones.
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 24
 END_ID = 1
+#: Words whose ids a worker keeps, and their longest; longer ones are encoded each time.
+KEPT_WORDS, KEPT_CHARS = 500_000, 48
+#: Words that are encoded as one text.
+JOINED_WORDS = 2000
+
+_ODD_SPACE = re.compile(r"\s ")
+_WORD_START = re.compile(r"(?<=\S) ")
+
+
+class Words:
+    """Ids of texts by a byte-level tokenizers file, word by word, with the ids of words seen before kept.
+
+    Such a tokenizer never joins a space and the character before it unless that is white space too. A text's ids are thus
+    those of its parts from each such space to the next. In front of a word, a space is its first id's first byte, so that
+    many new words are encoded as one text and told apart by it. Texts with special tokens are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.starts, self.ends = np.zeros(max(pieces.values()) + 1, bool), np.zeros(max(pieces.values()) + 1, bool)
+        for piece, k in pieces.items():
+            self.starts[k] = piece.startswith("\u0120")  # a byte-level vocabulary's sign for the byte 0x20
+            self.ends[k] = piece.rstrip("\"')\u0120").endswith((".", "!", "?", "\u010a"))
+        self.kept: dict[str, bytes] = {}
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Keep the ids of words that follow a space, that space included; returns those of words that are not kept."""
+        plain = [w for w in words if w and len(w) <= KEPT_CHARS and not w[-1].isspace() and " " not in w]
+        odd = list(words.difference(plain))
+        found = dict(zip(odd, self._raw([f" {w}" for w in odd]), strict=True)) if odd else {}
+        groups = [plain[k : k + JOINED_WORDS] for k in range(0, len(plain), JOINED_WORDS)]
+        new = {}
+        for group, raw in zip(groups, self._raw(["".join(f" {w}" for w in g) for g in groups]), strict=True):
+            at = np.append(4 * np.flatnonzero(self.starts[np.frombuffer(raw, np.uint32)]), len(raw)).tolist()
+            if len(at) != len(group) + 1:  # never seen; holds for any byte-level file
+                new |= dict(zip(group, self._raw([f" {w}" for w in group]), strict=True))
+            else:
+                new |= {w: raw[a:b] for w, a, b in zip(group, at[:-1], at[1:], strict=True)}
+        self.kept |= new
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.special)]
+        done = dict(zip(whole, self._raw([texts[k] for k in whole]), strict=True))
+        split = [[""] if k in done else (_WORD_START.split(t) if _ODD_SPACE.search(t) else t.split(" ")) for k, t in enumerate(texts)]
+        if len(self.kept) > KEPT_WORDS:
+            self.kept = {}
+        rare = self._learn({w for words in split for w in words[1:] if w not in self.kept})
+        first = self._raw([words[0] for words in split])
+        known = self.kept
+        out = []
+        for k, words in enumerate(split):
+            if k in done:
+                raw = done[k]
+            elif rare and not rare.keys().isdisjoint(words):
+                raw = first[k] + b"".join([rare[w] if w in rare else known[w] for w in words[1:]])
+            else:
+                raw = first[k] + b"".join(map(known.__getitem__, words[1:]))
+            out.append(np.frombuffer(raw, np.uint32))
+        return out
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoding of a rank file, and for each id whether its text ends a sentence."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    ends = np.zeros(max(ranks.values()) + 2, bool)
-    for piece, k in ranks.items():
-        ends[k] = piece.rstrip(b"\"') ")[-1:] in (b".", b"!", b"?", b"\n")
-    return tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ends
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
 def cut_places(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,23 +192,26 @@ class _Packer:
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, limit: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of sequences of at most limit tokens.
 
     A document is its text's ids and END_ID; a null or empty text has END_ID alone. Documents follow each other by doc_id
     (null first) and text; repeated rows are packed each. Each range of doc_id is packed by itself, which leaves one short
-    sequence a range. sequence_id is the range's number times 2 ** 32 plus the window's. An empty table gives no rows.
-    Extra columns are ignored. ranks: path of a rank file that every executor can read.
+    sequence a range. In a range, padding and penalties are least for each CHUNK_TOKENS tokens, whose last window is left
+    to the next ones: at most one window in CHUNK_TOKENS / limit is not the best. sequence_id is the range's number times 2 ** 32 plus
+    the window's. An empty table gives no rows. Extra columns are ignored. tokenizer: path of a byte-level tokenizers file
+    that every executor can read; its special tokens in a text are special tokens.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ends = encoder(ranks, pattern)
-        packer = _Packer(limit, ends, TaskContext.get().partitionId() << 32)
+        words = words_of(tokenizer)
+        packer = _Packer(limit, words.ends, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=())
-                packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
-                if packer.held >= CHUNK_TOKENS:
-                    yield packer.pack(last=False)
+            for part in slices(batch):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(texts), strict=True):
+                    packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
+                    if packer.held >= CHUNK_TOKENS:
+                        yield packer.pack(last=False)
         if packer.held:
             yield packer.pack(last=True)
 
@@ -159,4 +222,4 @@ def pack(docs: DataFrame, ranks: str, pattern: str, limit: int = 2048) -> DataFr
 def op6_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(read_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(read_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -415,9 +415,30 @@ def test_packing(spark, sf_dir, texts):
 def test_packing_odd_rows(odd, none):
     import public_tokenizers
 
-    rules = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    pieces_hold(packing.pack(odd.dropDuplicates(["doc_id"]), *rules).collect(), token_ids({d: t for d, t, *_ in ODD}.items()))
-    assert packing.pack(none, *rules).count() == 0
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces_hold(packing.pack(odd.dropDuplicates(["doc_id"]), path).collect(), token_ids({d: t for d, t, *_ in ODD}.items()))
+    assert packing.pack(none, path).count() == 0
+
+
+def test_packing_of_special_tokens_and_long_texts(spark):
+    import public_tokenizers
+
+    rows = [(1, "a<|endoftext|>b <|endoftext|>"), (2, " " * 1_000_000), (3, "word " * 70_000), (4, "x" * 3000 + "  " + "\n" * 500), (5, "<|endoftext"), (6, "")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    pieces_hold(out, token_ids(rows))
+
+
+def test_words_have_the_tokenizer_s_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEPT_WORDS", 300)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, whole, rng = packing.Words(path), Tokenizer.from_file(path), random.Random(61)
+    parts = ["the", "of", "'s", "don't", " ", "  ", "   ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u180e", "\x1c", "\x85", "\x00", "é", "e\u0301", "中文", "𝒳", "🙂", "12", "3.5", "<|endoftext|>", "<|end", "ĠĊ", "!?", "...", "%%%", "a" * 60, "\ufeff", "\u200b"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(0, 40))) for _ in range(40)]
+        assert [x.tolist() for x in words.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # 7 -------------------------------------------------------------------------------------------------------------------
@@ -656,6 +677,22 @@ def test_lines_odd_rows(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_with_every_working_name_taken(spark):
+    names = "gone_id gone_key row_key gone_lines shard part parts lo hi line_no text_key n_docs last_doc _id _key _row_key n_lines n_dropped".split()
+    docs = spark.createDataFrame([(k, f"{k}\n{LINE}", *names) for k in range(6)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows} == {*((k, str(k), 2, 1) for k in range(5)), (5, f"5\n{LINE}", 2, 0)}
+    assert all(r[n] == n for r in rows for n in names[:-2])
+
+
+def test_one_frequent_line_is_probed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 100)
+    docs = spark.createDataFrame([(k, f"{LINE}\n{k}\n{'y' * 50}{k % 400}") for k in range(2000)], "doc_id long, text string")
+    references = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(lambda b: line_dedup._references(b, 40), line_dedup.REFERENCES)
+    gone = line_dedup.repeated_lines(references, 5)
+    assert {r.line_no: r["count"] for r in gone.groupBy("line_no").count().collect()} == {0: 1999, 2: 1600}
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
