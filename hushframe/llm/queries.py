@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_logarithmic_suffix_arrays": suffix_dedup.ORACLE, "op10_perfect_hash_lines": line_dedup.ORACLE}
+    return {"op2_distribution_divergence": quality_rules.ORACLE, "op7_logarithmic_suffix_arrays": suffix_dedup.ORACLE, "op10_perfect_hash_lines": line_dedup.ORACLE}

@@ -132,10 +132,30 @@ def test_sound_documents_stay(spark, sf_dir):
     assert out.where("not base_failed and not kept").count() == 0
 
 
-def test_judge_odd_rows(odd, none):
-    rows = [(r.doc_id, r.kept) for r in quality_rules.judge(odd).collect()]
+def test_judge_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(5, 1), (None, 1), (9, None), (9, 0)], "doc_id long, quality int")
+    rows = [(r.doc_id, r.kept) for r in quality_rules.judge(odd, labels).collect()]
     assert len(rows) == len(ODD) and not any(k for d, k in rows if d in (1, 2, 3, 4, 5))
-    assert quality_rules.judge(none).count() == 0 and quality_rules.keep_sound(odd).columns == odd.columns
+    assert quality_rules.judge(none, labels).count() == 0 and quality_rules.keep_sound(odd, labels).columns == odd.columns
+    assert quality_rules.judge(odd, labels.limit(0)).where("char_distance is not null").count() == 0
+
+
+def test_junk_in_the_corpus_is_not_the_reference(spark):
+    rng = random.Random(21)
+    prose = [" ".join(rng.choice(["the", "of", "and", "river", "stone", "walked", "Evening,", "slowly."]) + rng.choice("abcdefgh") for _ in range(80)) for _ in range(10)]
+    junk = [" ".join(f"#{rng.randrange(10**6)}%$" for _ in range(80)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(prose + junk)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality_rules.judge(docs, spark.createDataFrame([(k, 1) for k in range(5)], "doc_id long, quality int")).where("kept").collect()}
+    assert kept == set(range(10))
+
+
+def test_long_white_space_is_linear(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "x" * 1_000_000)], "doc_id long, text string")
+    began = time.time()
+    assert sorted((r.doc_id, r.n_words, r.word_chars) for r in quality_rules.base_counts(docs).select("doc_id", "n_words", "word_chars").collect()) == [(1, 2, 2), (2, 0, 0), (3, 1, 1_000_000)]
+    assert time.time() - began < 30
 
 
 def test_distance_is_jensen_shannon(spark):
