@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their divergence from their language reject go."""
-    return quality_rules.keep_sound(docs).select(docs.columns)
+    return quality_rules.keep_sound(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
