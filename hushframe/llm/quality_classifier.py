@@ -1,8 +1,8 @@
 """Quality classifier by co-training.
 
 Two logistic models see a document from two sides: its words and characters, and its page metadata. In rounds each one
-labels the pool documents it is surest of for the other's training set. Both are then calibrated on held-out labels and
-their log-odds are added to score all documents.
+scores all documents and labels those it is surest of for the other's training set. Both are then calibrated on held-out
+labels and their log-odds are added to score all documents.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.llm.common import LOWER_TABLE, byte_class, mix, read_documents, slices, span_hashes, text_bytes, word_bounds
 
-#: Bounds of the samples the models are fitted on: labelled documents, of which every HELD_OUT-th calibrates, and unlabelled ones.
-LABELLED, POOL, HELD_OUT = 4000, 4000, 4
-#: Rounds of exchange, and pseudo-labels that a model gives in each, split between the classes as the labels are.
-ROUNDS, GIVEN = 5, 200
+#: Bound of the labelled documents that the models are fitted on, of which every HELD_OUT-th calibrates.
+LABELLED, HELD_OUT = 4000, 4
+#: Rounds of exchange, and pseudo-labels that a model gives in each, split between the classes as the labels are; of SPARE
+#: times as many, those without a label of their own are taken.
+ROUNDS, GIVEN, SPARE = 3, 200, 4
 #: A pseudo-label must be at least this sure.
 SURE = 0.9
 #: Hashed words, languages and sources.
@@ -117,27 +118,25 @@ class Model:
         return sigmoid(sum(self.scores(views)) - self.prior)
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], held: np.ndarray) -> Model:
-    """Fit both views on labelled (but for held) and exchanged pseudo-labels of pool; calibrate on held."""
-    share = np.clip(y.mean(), 0.02, 0.98)
-    if held.any() and len({*y[~held]}) < 2:
-        held = np.zeros(len(y), bool)
-    train = [[x[~held]] for x in labelled], [[y[~held]], [y[~held]]]
-    free = [np.ones(len(pool[0]), bool) for _ in range(2)]
-    weights = [fit_logistic(np.concatenate(train[0][v]), np.concatenate(train[1][v])) for v in range(2)]
-    for _ in range(ROUNDS):
-        for v in range(2):
-            other = 1 - v
-            p = sigmoid(log_odds(pool[v], weights[v]))
-            for label, n in ((1, round(GIVEN * share)), (0, round(GIVEN * (1 - share)))):
-                sure = p if label else 1 - p
-                best = np.lexsort((np.arange(len(p)), -sure))
-                best = best[(sure[best] >= SURE) & free[other][best]][: max(n, 1)]
-                free[other][best] = False
-                train[0][other].append(pool[other][best])
-                train[1][other].append(np.full(len(best), label, float))
-        weights = [fit_logistic(np.concatenate(train[0][v]), np.concatenate(train[1][v])) for v in range(2)]
-    calibration = []
+@dataclass
+class Training:
+    """The growing training sets of both views."""
+
+    x: list[list[np.ndarray]]
+    y: list[list[np.ndarray]]
+
+    def fit(self) -> list[np.ndarray]:
+        return [fit_logistic(np.concatenate(self.x[v]), np.concatenate(self.y[v])) for v in range(2)]
+
+    def give(self, view: int, x: np.ndarray, label: int) -> None:
+        if len(x):
+            self.x[view].append(x)
+            self.y[view].append(np.full(len(x), label, float))
+
+
+def calibrated(weights: list[np.ndarray], labelled: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> Model:
+    """The views' model, calibrated on the held-out labels."""
+    share, calibration = np.clip(y.mean(), 0.02, 0.98), []
     for v in range(2):
         if len({*y[held]}) < 2:  # too few labels to hold any out
             calibration.append((1.0, 0.0))
@@ -161,29 +160,77 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("quality"), part.column("doc_id"), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())], names=["quality", "doc_id", "a", "b"])
 
 
+SUREST = "view int, label int, sure double, doc_id long, x binary"
+
+
+def _surest(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray], used: list[set[int]], many: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's documents those that each view is surest of, with the other view's features; many of each label at most."""
+    best: dict[tuple[int, int], list[tuple[float, int, bytes]]] = {(v, label): [] for v in range(2) for label in (0, 1)}
+    for batch in batches:
+        for part in slices(batch):
+            views, ids = _views(part), part.column("doc_id").to_pylist()
+            for (v, label), rows in best.items():
+                p = sigmoid(log_odds(views[v], weights[v]))
+                sure = p if label else 1 - p
+                floor = rows[-1][0] if len(rows) >= many[label] else SURE
+                rows += [(float(sure[k]), ids[k], views[1 - v][k].tobytes()) for k in np.flatnonzero(sure >= floor).tolist() if ids[k] is not None and ids[k] not in used[1 - v]]
+                rows.sort(key=lambda r: (-r[0], r[1], r[2]))
+                del rows[many[label] :]
+    out = [(v, label, *r) for (v, label), rows in best.items() for r in rows]
+    columns = list(zip(*out, strict=True)) if out else [[]] * 5
+    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["view", "label", "sure", "doc_id", "x"])
+
+
+def exchange(docs: DataFrame, known: DataFrame, weights: list[np.ndarray], used: list[set[int]], share: float) -> list[tuple[int, int, int, np.ndarray]]:
+    """(view, label, doc_id, features in that view) of the documents that the other view is surest of among all without a label."""
+    wanted = [max(round(GIVEN * (1 - share)), 1), max(round(GIVEN * share), 1)]
+    many = (SPARE * wanted[0], SPARE * wanted[1])
+    rows = docs.select(*COLUMNS).mapInArrow(lambda b: _surest(b, weights, used, many), SUREST)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    for key in (["view", "label", "part"], ["view", "label"]):  # the parts' best before the best of all
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("sure").desc(), "doc_id", "x"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= max(many))
+    rows = rows.join(known.select("doc_id"), "doc_id", "left_anti").collect()  # 4 * SPARE * GIVEN rows at most
+    taken: dict[tuple[int, int], dict[int, np.ndarray]] = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        mine = taken.setdefault((1 - r.view, r.label), {})
+        if len(mine) < wanted[r.label]:
+            mine.setdefault(r.doc_id, np.frombuffer(r.x, np.float32))
+    return [(v, label, doc_id, x) for (v, label), mine in sorted(taken.items()) for doc_id, x in mine.items()]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model fitted on LABELLED labelled and POOL other documents, those of smallest hashed doc_id; None without labels of both kinds."""
+    """A model fitted on LABELLED labelled documents, those of smallest hashed doc_id, and on the pseudo-labels that the views
+    exchange over all documents; None without labels of both kinds. Of several texts with one doc_id the one of smallest
+    features counts."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(3))
     chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(LABELLED)
-    rest = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL).withColumn("quality", F.lit(-1))
-    picked = [(r.doc_id, r.quality) for r in chosen.unionByName(rest).collect()]  # LABELLED + POOL rows
-    picked = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int") if picked else None
-    if picked is None:
+    picked = [(r.doc_id, r.quality) for r in chosen.collect()]  # LABELLED rows
+    if len({q for _, q in picked}) < 2:
         return None
+    picked = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int")
     sample = docs.select(*COLUMNS).join(F.broadcast(picked), "doc_id")
-    rows = sample.mapInArrow(_sample_rows, "quality int, doc_id long, a binary, b binary").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.a), bytes(r.b)))}.values(), key=lambda r: r.doc_id)
+    rows = sample.mapInArrow(_sample_rows, "quality int, doc_id long, a binary, b binary").groupBy("doc_id", "quality").agg(F.min(F.struct("a", "b")).alias("x"))
+    rows = rows.orderBy("doc_id").collect()  # LABELLED rows, however often a document is repeated
     y = np.array([r.quality for r in rows], float)
-    if len({*y} & {0.0, 1.0}) < 2:
-        return None
-    views = [np.stack([np.frombuffer(getattr(r, c), np.float32) for r in rows]) for c in "ab"]
-    labelled, pool = y >= 0, y < 0
-    y = y[labelled]
+    views = [np.stack([np.frombuffer(r.x[c], np.float32) for r in rows]) for c in "ab"]
     held = np.zeros(len(y), bool)
     for label in (0, 1):  # every HELD_OUT-th of each class
         held[np.flatnonzero(y == label)[HELD_OUT - 1 :: HELD_OUT]] = True
-    return co_train([x[labelled] for x in views], y, [x[pool] for x in views], held)
+    if len({*y[~held]}) < 2:
+        held[:] = False
+    training = Training([[x[~held]] for x in views], [[y[~held]] for _ in views])
+    weights, used, share = training.fit(), [set(), set()], float(np.clip(y.mean(), 0.02, 0.98))
+    for _ in range(ROUNDS):
+        given = exchange(docs, known, weights, used, share)
+        for v in range(2):
+            for label in (0, 1):
+                training.give(v, np.array([x for w, k, _, x in given if (w, k) == (v, label)]), label)
+            used[v] |= {d for w, _, d, _ in given if w == v}
+        weights = training.fit()
+    return calibrated(weights, views, y, held)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
