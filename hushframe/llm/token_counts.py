@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from hushframe.llm.common import SPACES, read_documents
 
-#: Distinct words whose counts a worker keeps.
-KEPT_WORDS = 400_000
+#: Distinct words whose counts a worker keeps, and their longest; scripts without spaces have very long ones.
+KEPT_WORDS, KEPT_CHARS = 400_000, 48
 #: What a word counts for if it can't be cut into pieces.
 UNKNOWN_PIECES = 1
 
@@ -122,7 +122,9 @@ class _Counts(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        n = self[word] = self.matcher.count(word.encode("utf-8", "surrogatepass"))
+        n = self.matcher.count(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= KEPT_CHARS:
+            self[word] = n
         return n
 
 
@@ -142,11 +144,10 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _counts(vocabulary).__getitem__
-        odd = str.maketrans("\x1c\x1d\x1e\x1f\x85\xa0", "......")
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                words = _split(text.as_py() or "", odd)
+                words = _split(text.as_py() or "")
                 counts = list(map(known, words))
                 out.append((len(words), sum(counts), max(counts, default=0)))
             table = np.array(out, np.int64).reshape(-1, 3)
@@ -155,7 +156,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _split(text: str, odd: dict[int, str]) -> list[str]:
+def _split(text: str) -> list[str]:
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return text.split()
     for c in SPACES[1:]:  # str.split() without an argument also splits at characters that are no white space here
