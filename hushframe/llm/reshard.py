@@ -16,8 +16,8 @@ from hushframe.llm.common import clean_text, cut, fresh
 
 #: A document of at least 1 / LARGE of a new shard's capacity is placed on its own; there can be LARGE of them a shard at most.
 LARGE = 1000
-#: Blocks of an old shard, the units of the running sums: this many, and one more for each BLOCK_BYTES of the largest shard.
-BLOCKS, BLOCK_BYTES = 256, 64 << 20
+#: Blocks of an old shard, the units of the running sums: this many, and one more for each BLOCK_BYTES or BLOCK_ROWS of the largest shard.
+BLOCKS, BLOCK_BYTES, BLOCK_ROWS = 256, 64 << 20, 200_000
 #: Rows of one bucket, the unit of slot numbers.
 BUCKET_ROWS = 20_000
 
@@ -109,7 +109,8 @@ def reshard(docs: DataFrame, old_shard: Column, capacities: Sequence[int] | None
     rows = cut(docs.select(
         F.col("doc_id"), (F.octet_length(clean_text()) + 1).cast("long").alias("size"), F.crc32(clean_text()).alias("text_crc32"), old_shard.cast("int").alias("old_shard"),
     ).withColumn("key", F.xxhash64("doc_id", "text_crc32", "size")))
-    totals = {r[0]: r[1] for r in rows.groupBy("old_shard").agg(F.sum("size")).collect()}  # one row per old shard
+    counted = rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # one row per old shard
+    totals = {r.old_shard: r.bytes for r in counted}
     named = sorted(x for x in totals if x is not None)
     place = {x: k for k, x in enumerate(named)} | {None: len(named)}
     supply = [totals[x] for x in named] + [totals.get(None, 0)]
@@ -134,7 +135,7 @@ def reshard(docs: DataFrame, old_shard: Column, capacities: Sequence[int] | None
                 streams.append((i, at, j))
                 at += row[j]
     starts = {i: [(a, j) for k, a, j in streams if k == i] for i in range(len(flow))}
-    dealt = _deal(small, starts, max(supply))
+    dealt = _deal(small, starts, BLOCKS + max(supply) // BLOCK_BYTES + max([r.n for r in counted], default=0) // BLOCK_ROWS)
     out = dealt.select("doc_id", "size", "text_crc32", "old_shard", "key", "shard").unionByName(
         rows.where(F.col("size") > floor).join(F.broadcast(big), "key").select("doc_id", "size", "text_crc32", "old_shard", "key", "shard")
     )
@@ -149,9 +150,8 @@ def _lookup(named: list[int]) -> Column:
     return F.create_map(*[F.lit(x) for pair in ((v, k) for k, v in enumerate(named)) for x in pair])
 
 
-def _deal(small: DataFrame, starts: dict[int, list[tuple[int, int]]], largest: int) -> DataFrame:
+def _deal(small: DataFrame, starts: dict[int, list[tuple[int, int]]], blocks: int) -> DataFrame:
     """small with the new shard of each row: its running byte sum within the old shard falls into one stream."""
-    blocks = BLOCKS + largest // BLOCK_BYTES
     small = small.withColumn("block", F.pmod(F.col("key"), F.lit(blocks)))
     sums = small.groupBy("i", "block").agg(F.sum("size").alias("bytes"))
     ahead = Window.partitionBy("i").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
