@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.llm.common import clean_text, read_documents
+from hushframe.llm.common import clean_text, cut, read_documents
 
 #: Base phrases and their labels; fixed values.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -30,6 +30,14 @@ TEMPLATES = [
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 #: Words of a k-gram; diagonals this near merge; share of a template's words that a notice covers; its length over the template's.
@@ -79,23 +87,19 @@ def _gram(*hashes: Column) -> Column:
     return F.xxhash64(*hashes)
 
 
-def find_notices(words: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(doc_id, text_key, label, first, last, score) of the notices in documents given as (doc_id, text_key, words)."""
-    spark = words.sparkSession
-    places = template_places(spark, templates)
-    known = [r.gram for r in places.select("gram").distinct().collect()]  # the templates' own grams
-    # The row number also keeps the optimiser from moving the filter below to where it would hash all words again for each one.
-    grams = words.select("doc_id", "text_key", F.monotonically_increasing_id().alias("row"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    grams = grams.withColumn("grams", F.transform("hashes", lambda x, i: _gram(x, *[F.get("hashes", i + k) for k in range(1, K)]))).drop("hashes")
-    # The join's semi-join part is done inside the row: only grams that some template has are exploded.
-    meets = F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda s: s["gram"].isin(known))
-    hits = grams.where(F.exists("grams", lambda g: g.isin(known))).select("doc_id", "text_key", "row", F.explode(meets).alias("hit")).select("doc_id", "text_key", "row", "hit.gram", "hit.at")
-    votes = hits.join(F.broadcast(places), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
-    runs = votes.groupBy("doc_id", "text_key", "row", "template", "label", "length", "diagonal").agg(F.collect_set("place").alias("places"))
-    parts = "doc_id, text_key, row, template"
+def gram_hits(known: list[int]) -> Column:
+    """(gram, at) of the k-grams over word hashes that are among the known hashes; the join's semi-join part, done inside the row."""
+    return F.filter(F.transform("hashes", lambda x, i: F.struct(_gram(x, *[F.get("hashes", i + k) for k in range(1, K)]).alias("gram"), i.alias("at"))), lambda s: s["gram"].isin(known))
+
+
+def find_notices(hits: DataFrame, places: DataFrame) -> DataFrame:
+    """(row, label, first, last, score) of the notices, from the k-grams (row, gram, at) of documents and of templates."""
+    votes = hits.join(F.broadcast(places), "gram").withColumn("diagonal", F.col("at") - F.col("place"))  # places: the templates' words
+    runs = votes.groupBy("row", "template", "label", "length", "diagonal").agg(F.collect_set("place").alias("places"))
+    parts = "row, template"
     runs = runs.withColumn("opens", F.expr(f"coalesce(diagonal - lag(diagonal) OVER (PARTITION BY {parts} ORDER BY diagonal) > {NEAR}, true)"))
     runs = runs.withColumn("run", F.expr(f"sum(int(opens)) OVER (PARTITION BY {parts} ORDER BY diagonal)"))
-    spans = runs.groupBy("doc_id", "text_key", "row", "template", "label", "length", "run").agg(
+    spans = runs.groupBy("row", "template", "label", "length", "run").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.min(F.col("diagonal") + F.array_min("places")).alias("first"), F.max(F.col("diagonal") + F.array_max("places") + K - 1).alias("last"),
     )
@@ -103,33 +107,32 @@ def find_notices(words: DataFrame, templates: list[tuple[str, str]] = TEMPLATES)
     spans = spans.withColumn("score", F.round(covered / F.col("length"), 6))
     near = F.col("last") - F.col("first") + 1 <= STRETCH * F.col("length")
     spans = spans.where((F.col("score") >= COVERED) & near).withColumn("rank", F.struct("score", "length", (-F.col("template")).alias("order")))
-    together = Window.partitionBy("doc_id", "text_key", "row").orderBy("first").rangeBetween(-TOGETHER, TOGETHER)
-    best = spans.withColumn("best", F.max("rank").over(together)).where("rank = best")
-    return best.select("doc_id", "text_key", "label", "first", "last", "score")
+    together = Window.partitionBy("row").orderBy("first").rangeBetween(-TOGETHER, TOGETHER)
+    return spans.withColumn("best", F.max("rank").over(together)).where("rank = best").select("row", "label", "first", "last", "score")
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base columns count the PHRASES at all places; labels adds those of notices found by diagonal voting. score is 1 where a
     base phrase stands, else the best notice's covered share, else 0. A null text has no words; without a phrase, first_word
     and last_word are null and base_labels is empty. Repeated rows are scanned each, alike. An empty table gives no rows.
-    Extra columns are ignored.
+    Extra columns are ignored. Each text is split once; what is kept of it are places and the templates' k-grams.
     """
-    rows = docs.select("doc_id", F.xxhash64(clean_text()).alias("text_key"), lowered(clean_text()).alias("low"))
-    rows = rows.withColumn("words", F.filter(F.split("low", SEPARATORS), lambda w: w != ""))
-    notices = find_notices(rows.select("doc_id", "text_key", "words"))
-    notices = notices.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    places = template_places(docs.sparkSession, templates)
+    known = [r.gram for r in places.select("gram").distinct().collect()]  # the templates' own grams
     names = [f"p{k}" for k in range(len(PHRASES))]
-    rows = rows.withColumns({n: _places(p) for n, p in zip(names, PHRASES, strict=True)})
+    rows = docs.select("doc_id", lowered(clean_text()).alias("low")).withColumn("words", F.filter(F.split("low", SEPARATORS), lambda w: w != ""))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumns({n: _places(p) for n, p in zip(names, PHRASES, strict=True)})
     base = F.array_compact(F.array(*[F.when(F.size(n) > 0, F.lit(label)) for n, label in zip(names, PHRASES.values(), strict=True)]))
-    rows = rows.withColumn("places", F.concat(*names)).select(
-        "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
-        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), base.alias("base"),
-    )
-    rows = rows.join(notices, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    rows = cut(rows.withColumn("places", F.concat(*names)).select(
+        "doc_id", F.monotonically_increasing_id().alias("row"), F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), base.alias("base"), gram_hits(known).alias("hits"),
+    ))
+    notices = find_notices(rows.select("row", F.explode("hits").alias("hit")).select("row", "hit.gram", "hit.at"), places)
+    notices = notices.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
     every = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
-    return rows.select(
+    return rows.join(notices, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(every), ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )

@@ -73,6 +73,28 @@ def test_reshard(spark, sf_dir):
     assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
 
 
+def test_reshard_moves_the_fewest_bytes(spark, sf_dir, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = reshard.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(5)), shards=7).collect()
+    raw = {d: (t or "").encode() for d, t in texts}
+    assert all((r["size"], r.text_crc32) == (len(raw[r.doc_id]) + 1, zlib.crc32(raw[r.doc_id])) for r in rows) and len(rows) == len(raw)
+    old, new = collections.Counter(), collections.Counter()
+    for r in rows:
+        old[r.old_shard] += r["size"]
+        new[r.shard] += r["size"]
+    capacity = reshard.even_capacities(sum(old.values()), 7)
+    least = sum(max(0, old[k] - (capacity[k] if k < 7 else 0)) for k in old)  # what does not fit where it is
+    largest = max(r["size"] for r in rows)
+    assert sum(r["size"] for r in rows if r.moved) <= least + 7 * largest and all(abs(new[k] - capacity[k]) <= 2 * largest for k in range(7))
+    assert all(r.moved == (r.old_shard != r.shard) for r in rows)
+
+
+def test_many_empty_texts_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(reshard, "BLOCK_ROWS", 50)
+    rows = reshard.reshard(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")), F.lit(0), shards=4).collect()
+    assert collections.Counter(r.shard for r in rows) == {k: 1250 for k in range(4)}
+
+
 def test_reshard_odd_rows(odd, none):
     out = reshard.reshard(odd, F.pmod(F.col("doc_id"), F.lit(3)), shards=4).collect()
     assert len(out) == len(ODD) and sorted(r["size"] for r in out) == sorted(len((t or "").encode()) + 1 for _, t, *_ in ODD)
@@ -180,6 +202,18 @@ def test_classifier_on_held_out_labels(spark):
     assert len(both) > 50 and np.mean([r.kept == bool(r.quality) for r in both]) > 0.95
 
 
+def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    monkeypatch.setattr(quality_classifier, "GIVEN", 20)
+    seen = []
+    real = quality_classifier.exchange
+    monkeypatch.setattr(quality_classifier, "exchange", lambda *a: seen.append(real(*a)) or seen[-1])
+    known = {r.doc_id for r in labels.collect()}
+    assert quality_classifier.fit(docs.unionByName(docs), labels) is not None
+    given = [(v, d) for part in seen for v, _, d, _ in part]
+    assert len(given) == len(set(given)) > 20 and not known & {d for _, d in given} and len(seen) == quality_classifier.ROUNDS
+
+
 def test_classifier_without_labels(odd, none, spark):
     labels = spark.createDataFrame([(3, 1, 0), (None, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality_classifier.score(odd, labels).collect()
@@ -232,6 +266,11 @@ def test_token_counts_odd_rows(odd, none):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_long_words_are_not_kept():
+    counts = token_counts._Counts(token_counts.LongestMatch([b"a"], [b"a"]))
+    assert (counts["a" * 40], counts["a" * 4000]) == (40, 4000) and set(counts) == {"a" * 40}
+
+
 def test_token_counts_of_rare_scripts(spark):
     import public_tokenizers
 
@@ -582,6 +621,47 @@ def test_notices(spark, text, labels):
     assert [r.labels for r in rows] == [labels] * 2 and all((r.score > 0) == bool(labels) for r in rows)
 
 
+def notices_by_brute_force(text):
+    words, spans = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), []
+    at = collections.defaultdict(list)
+    for k in range(len(words) - 2):
+        at[tuple(words[k : k + 3])].append(k)
+    for t, (label, template) in enumerate(license_scan.TEMPLATES):
+        own, lines = template.split(), collections.defaultdict(set)
+        for p in range(len(own) - 2):
+            for k in at.get(tuple(own[p : p + 3]), ()):
+                lines[k - p].add(p)
+        runs = []
+        for d in sorted(lines):
+            if not runs or d - runs[-1][-1] > license_scan.NEAR:
+                runs.append([])
+            runs[-1].append(d)
+        for run in runs:
+            covered = {p + j for d in run for p in lines[d] for j in range(3)}
+            first, last = min(d + min(lines[d]) for d in run), max(d + max(lines[d]) + 2 for d in run)
+            score = round(len(covered) / len(own), 6)
+            if score >= license_scan.COVERED and last - first + 1 <= license_scan.STRETCH * len(own):
+                spans.append((first, (score, len(own), -t), label))
+    best = [s for s in spans if s[1] == max(o[1] for o in spans if abs(o[0] - s[0]) <= license_scan.TOGETHER)]
+    return {label for _, _, label in best}, max((r[0] for _, r, _ in best), default=0.0)
+
+
+def test_licenses_by_brute_force(spark, sf_dir, texts):
+    rng = random.Random(81)
+    made = []
+    for k in range(60):  # edited notices between other words
+        words = rng.choice(license_scan.TEMPLATES)[1].split() + rng.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = "other"
+        made.append((10**6 + k, " ".join(["text"] * rng.randrange(9) + words + ["more"] * 5)))
+    docs = spark.createDataFrame(texts + made, "doc_id long, text string")
+    for r in license_scan.scan_licenses(docs).collect():
+        text = dict(texts + made)[r.doc_id]
+        labels, score = notices_by_brute_force(text)
+        base = set(filter(None, base_licenses(text)[4].split(",")))
+        assert (r.labels, r.score) == (",".join(sorted(base | labels)), 1.0 if base else score)
+
+
 def test_license_odd_rows(odd, none):
     rows = license_scan.scan_licenses(odd).collect()
     assert sorted((r.n_words, r.n_base) for r in rows) == sorted(base_licenses(t)[:2] for _, t, *_ in ODD) and license_scan.scan_licenses(none).count() == 0
