@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each one's rows are written to the shared checkpoint folder and read again."""
+    """All stages on documents; each one's rows are written to the shared checkpoint folder and read again. A stage's folder goes once the next one is written."""
     common.ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.ROWS_PER_BATCH)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
@@ -64,4 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+                done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
