@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from hushframe.llm.common import clean_text, read_documents, slices
+from hushframe.llm.token_counts import byte_alphabet
 
 #: Penalties, in padding tokens: a window that ends inside a document at a sentence's end, or inside a sentence.
 SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
@@ -30,77 +32,50 @@ LONG_SENTENCE = 128
 #: Tokens that are packed at a time; the last window is carried over to the next ones.
 CHUNK_TOKENS = 1 << 24
 END_ID = 1
-#: Words whose ids a worker keeps, and their longest; longer ones are encoded each time.
-KEPT_WORDS, KEPT_CHARS = 500_000, 48
-#: Words that are encoded as one text.
-JOINED_WORDS = 2000
 
-_ODD_SPACE = re.compile(r"\s ")
-_WORD_START = re.compile(r"(?<=\S) ")
+#: Fixed value: how byte-level files part a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters on whose kinds (letter, number, sign) all versions of Unicode agree: Latin, Greek, Cyrillic, common signs, kana and Han.
+_USUAL = "!-~¡-ɏΑ-ΡΣ-ώЀ-ѿ‐-‧‰-⁞€™ぁ-ゖァ-ヺ一-龥"
+_RARE = re.compile(rf"[^{_USUAL}\t\n\r ]")
+_LONG_SPACE = re.compile(r"[\t\n\r ]{401}")
+#: Characters of a plain text's longest word.
+LONGEST_WORD = 400
 
 
-class Words:
-    """Ids of texts by a byte-level tokenizers file, word by word, with the ids of words seen before kept.
+class Encoder:
+    """Ids of texts by a byte-level tokenizers file.
 
-    Such a tokenizer never joins a space and the character before it unless that is white space too. A text's ids are thus
-    those of its parts from each such space to the next. In front of a word, a space is its first id's first byte, so that
-    many new words are encoded as one text and told apart by it. Texts with special tokens are encoded whole.
+    Plain texts are encoded by the file's vocabulary as ranks, which gives the same ids four times faster; texts with special
+    tokens, rare characters or very long words or white space by the file's own tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.starts, self.ends = np.zeros(max(pieces.values()) + 1, bool), np.zeros(max(pieces.values()) + 1, bool)
-        for piece, k in pieces.items():
-            self.starts[k] = piece.startswith("\u0120")  # a byte-level vocabulary's sign for the byte 0x20
-            self.ends[k] = piece.rstrip("\"')\u0120").endswith((".", "!", "?", "\u010a"))
-        self.kept: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Keep the ids of words that follow a space, that space included; returns those of words that are not kept."""
-        plain = [w for w in words if w and len(w) <= KEPT_CHARS and not w[-1].isspace() and " " not in w]
-        odd = list(words.difference(plain))
-        found = dict(zip(odd, self._raw([f" {w}" for w in odd]), strict=True)) if odd else {}
-        groups = [plain[k : k + JOINED_WORDS] for k in range(0, len(plain), JOINED_WORDS)]
-        new = {}
-        for group, raw in zip(groups, self._raw(["".join(f" {w}" for w in g) for g in groups]), strict=True):
-            at = np.append(4 * np.flatnonzero(self.starts[np.frombuffer(raw, np.uint32)]), len(raw)).tolist()
-            if len(at) != len(group) + 1:  # never seen; holds for any byte-level file
-                new |= dict(zip(group, self._raw([f" {w}" for w in group]), strict=True))
-            else:
-                new |= {w: raw[a:b] for w, a, b in zip(group, at[:-1], at[1:], strict=True)}
-        self.kept |= new
-        return found
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        pieces, alphabet = self.tokenizer.get_vocab(with_added_tokens=True), byte_alphabet()
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        ranks = {bytes(alphabet[c] for c in piece): k for piece, k in pieces.items() if k not in added}
+        for raw, k in ranks.items():
+            self.ends[k] = raw.rstrip(b"\"') ")[-1:] in (b".", b"!", b"?", b"\n")
+        self.quick = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        if any(x in text for x in self.special) or _RARE.search(text) or _LONG_SPACE.search(text):
+            return False
+        return len(text) <= LONGEST_WORD or max(map(len, text.split()), default=0) <= LONGEST_WORD
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.special)]
-        done = dict(zip(whole, self._raw([texts[k] for k in whole]), strict=True))
-        split = [[""] if k in done else (_WORD_START.split(t) if _ODD_SPACE.search(t) else t.split(" ")) for k, t in enumerate(texts)]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        rare = self._learn({w for words in split for w in words[1:] if w not in self.kept})
-        first = self._raw([words[0] for words in split])
-        known = self.kept
-        out = []
-        for k, words in enumerate(split):
-            if k in done:
-                raw = done[k]
-            elif rare and not rare.keys().isdisjoint(words):
-                raw = first[k] + b"".join([rare[w] if w in rare else known[w] for w in words[1:]])
-            else:
-                raw = first[k] + b"".join(map(known.__getitem__, words[1:]))
-            out.append(np.frombuffer(raw, np.uint32))
-        return out
+        odd = [k for k, t in enumerate(texts) if not self.plain(t)]
+        whole = dict(zip(odd, self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False), strict=True))
+        return [np.array(whole[k].ids, np.uint32) if k in whole else self.quick.encode_to_numpy(t, disallowed_special=()) for k, t in enumerate(texts)]
 
 
 @lru_cache(2)
-def words_of(path: str) -> Words:
-    return Words(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cut_places(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +178,12 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     that every executor can read; its special tokens in a text are special tokens.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(tokenizer)
-        packer = _Packer(limit, words.ends, TaskContext.get().partitionId() << 32)
+        encoding = encoder(tokenizer)
+        packer = _Packer(limit, encoding.ends, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(texts), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoding.encode(texts), strict=True):
                     packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
                     if packer.held >= CHUNK_TOKENS:
                         yield packer.pack(last=False)

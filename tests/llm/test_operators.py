@@ -487,17 +487,21 @@ def test_packing_of_special_tokens_and_long_texts(spark):
     pieces_hold(out, token_ids(rows))
 
 
-def test_words_have_the_tokenizer_s_ids(monkeypatch):
+def test_texts_have_the_tokenizer_s_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "KEPT_WORDS", 300)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    words, whole, rng = packing.Words(path), Tokenizer.from_file(path), random.Random(61)
+    encoder, whole, rng = packing.Encoder(path), Tokenizer.from_file(path), random.Random(61)
+    usual = [c for c in map(chr, range(0x11000)) if encoder.plain(c) and not c.isspace()]
+    assert len(usual) > 20_000
+    texts = ["".join(f"{c}a {c}1 .{c} {c}" for c in usual[k : k + 50]) for k in range(0, len(usual), 50)]
+    assert all(map(encoder.plain, texts))
     parts = ["the", "of", "'s", "don't", " ", "  ", "   ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u180e", "\x1c", "\x85", "\x00", "é", "e\u0301", "中文", "𝒳", "🙂", "12", "3.5", "<|endoftext|>", "<|end", "ĠĊ", "!?", "...", "%%%", "a" * 60, "\ufeff", "\u200b"]
-    for _ in range(60):
-        texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(0, 40))) for _ in range(40)]
-        assert [x.tolist() for x in words.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for every in (parts, [p for p in parts if encoder.plain(p)], [*usual[:600], " ", "\n"]):
+        texts += ["".join(rng.choice(every) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(0, 60))) for _ in range(800)]
+    assert [x.tolist() for x in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not encoder.plain("x" * 401) and not encoder.plain(" " * 401) and encoder.plain("x" * 400 + " " * 400)
 
 
 # 7 -------------------------------------------------------------------------------------------------------------------
