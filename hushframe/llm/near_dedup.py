@@ -31,6 +31,10 @@ BINS = 1 << 18
 #: One-bit minima of a text's signature, and how many may differ before a pair is aligned. At similarity 0.8 one in ten
 #: differs; more than ALIKE do with chance 3e-7.
 SIGNS, ALIKE = 128, 30
+#: Words of 64 bits of a text's parity map: each shingle flips one bit, so that two maps differ in no more bits than their texts in shingles.
+PARITY = 8
+#: What is known of a text besides its hash: its number of shingles, its signature and its parity map.
+MARKS = ["n", "s1", "s2", *(f"q{k}" for k in range(PARITY))]
 
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -87,6 +91,15 @@ def signatures(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The parity map of each text, as PARITY 64-bit columns."""
+    n, bits = len(begins) - 1, 64 * PARITY
+    owner = np.repeat(np.arange(n), np.diff(begins))
+    spot = (occurrence_labelled(grams, owner) >> np.uint64(40)).astype(np.int64) % bits
+    odd = np.bincount(owner * bits + spot, minlength=n * bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(n, PARITY)
+
+
 def sketches(grams: np.ndarray, begins: np.ndarray, order: int, repetitions: int) -> np.ndarray:
     """Order MinHash keys, one row a text and one column a repetition."""
     n = len(begins) - 1
@@ -190,7 +203,8 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = sketches(grams, begins, ORDER, REPETITIONS).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, REPETITIONS), pa.int32()), pa.array(keys.ravel()))
             signs = signatures(grams, begins).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(np.diff(begins)), pa.array(signs[:, 0]), pa.array(signs[:, 1]), lists], names=["doc_id", "node", "n", "s1", "s2", "keys"])
+            marks = [np.diff(begins), *signs.T, *parities(grams, begins).T]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), *(pa.array(np.ascontiguousarray(m)) for m in marks), lists], names=["doc_id", "node", *MARKS, "keys"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +270,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _need(other: str) -> Column:
+    """Shingles that two rows, the second's columns named with a prefix, share at least if they are linked."""
+    return F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col(f"{other}n")) - 1e-9)
+
+
 def _may_link(other: str) -> Column:
     """Whether two rows, the second's columns named with a prefix, are of different nodes and within the bounds of a link."""
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}"))) for c in ("s1", "s2")), F.lit(0))
-    return (F.col("node") != F.col(f"{other}node")) & (F.least("n", f"{other}n") >= SIMILARITY * F.greatest("n", f"{other}n")) & (differ <= ALIKE)
+    def differ(columns: list[str]) -> Column:
+        return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}"))) for c in columns), F.lit(0))
+
+    near = (F.least("n", f"{other}n") >= SIMILARITY * F.greatest("n", f"{other}n")) & (differ(MARKS[1:3]) <= ALIKE)
+    return (F.col("node") != F.col(f"{other}node")) & near & (differ(MARKS[3:]) <= F.col("n") + F.col(f"{other}n") - 2 * _need(other))
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -268,7 +290,7 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     The first hub is the member that meets most others in all repetitions, as the original of many copies does: each copy
     shares more with it than with the other copies. The second is the shortest.
     """
-    rest = ["node", "n", "s1", "s2"]
+    rest = ["node", *MARKS]
     ranked = {"x": F.max(F.struct("weight", *rest)), "y": F.min(F.struct(F.col("n").alias("size"), *rest))}
     hubs = buckets.groupBy("rep", "key").agg(*[v.alias(k) for k, v in ranked.items()])
     each = F.explode(F.array(*[F.struct(*[F.col(k)[c].alias(f"hub_{c}") for c in rest]) for k in ranked]))
@@ -290,7 +312,7 @@ def _bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rarest shingles of each text, as many as a link needs to be found by, with their rank from 1."""
-    rest = ["node", "label", "n", "s1", "s2"]
+    rest = ["node", "label", *MARKS]
     for batch in batches:
         for part in slices(batch):
             grams, begins = shingles(part.column("text"))
@@ -305,7 +327,7 @@ def _rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[p
 
 
 def _rare_pairs(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of all nodes (node, label, n, s1, s2) of different labels that may be links.
+    """Pairs (a, b) of all nodes (node, label, MARKS) of different labels that may be links.
 
     A link's shingle multisets share need = 0.8 / 1.8 * (n + m) or more, so that the n - need + 1 and m - need + 1 rarest of
     the two have one in common. At a shingle only those that are not of its most frequent label look for others.
@@ -314,15 +336,15 @@ def _rare_pairs(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     bins = texts.mapInArrow(_bin_counts, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BINS rows
     counts[bins["bin"]] = bins["n"]
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    kind = "shingle long, rank int, node long, label long, n long, s1 long, s2 long"
-    rows = cut(texts.join(nodes, "node").select("node", "label", "n", "s1", "s2", "text").mapInArrow(lambda b: _rarest(b, shared.value), kind))
+    kind = f"shingle long, rank int, node long, label long, {', '.join(f'{c} long' for c in MARKS)}"
+    rows = cut(texts.join(nodes, "node").select("node", "label", *MARKS, "text").mapInArrow(lambda b: _rarest(b, shared.value), kind))
     often = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("rows"), F.max_by("label", F.struct("k", "label")).alias("major"))
     often = often.where("labels > 1").select("shingle", "major", F.ceil(F.col("rows") / PIECE).cast("int").alias("pieces"))
     met = cut(rows.join(often, "shingle"))
     first = met.where("label <> major").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces", "major")
     second = met.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    second = second.select("shingle", "piece", *[F.col(c).alias(f"other_{c}") for c in ("rank", "node", "label", "n", "s1", "s2", "major")])
-    need = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("other_n")) - 1e-9)
+    second = second.select("shingle", "piece", *[F.col(c).alias(f"other_{c}") for c in ("rank", "node", "label", *MARKS, "major")])
+    need = _need("other_")
     once = (F.col("other_label") == F.col("other_major")) | (F.col("node") < F.col("other_node"))
     near = (F.col("label") != F.col("other_label")) & (F.col("rank") <= F.col("n") - need + 1) & (F.col("other_rank") <= F.col("other_n") - need + 1)
     met = first.join(second, ["shingle", "piece"]).where(once & near & _may_link("other_"))
@@ -332,9 +354,9 @@ def _rare_pairs(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, node (hash of the text), n, class (node's, null without doc_id)."""
     texts = docs.select("doc_id", clean_text().alias("text")).withColumn("node", F.xxhash64("text"))
-    rows = cut(texts.mapInArrow(_sketch_rows, "doc_id long, node long, n long, s1 long, s2 long, keys array<long>"))
+    rows = cut(texts.mapInArrow(_sketch_rows, f"doc_id long, node long, {', '.join(f'{c} long' for c in MARKS)}, keys array<long>"))
     known = rows.where("doc_id is not null")
-    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")]))
+    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*MARKS, "keys")]))
     buckets = nodes.select("node", F.posexplode("keys").alias("rep", "key"))
     shared = buckets.groupBy("rep", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(buckets.join(shared, ["rep", "key"]))
@@ -346,7 +368,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     labels = _labels(met, edges)
     mixed = buckets.select("rep", "key", "node").join(labels, "node").groupBy("rep", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     unsure = buckets.join(mixed, ["rep", "key"], "left_semi").select("node").distinct()
-    more = cut(_rare_pairs(wanted, met.join(labels, "node").join(unsure, "node", "left_semi").select("node", "label", "n", "s1", "s2")))
+    more = cut(_rare_pairs(wanted, met.join(labels, "node").join(unsure, "node", "left_semi").select("node", "label", *MARKS)))
     if not more.isEmpty():
         labels = _labels(met, contracted(edges.union(links(wanted, more))))
     members = rows.select("doc_id", "node", "n").join(labels, "node", "left")

@@ -390,14 +390,26 @@ def test_rare_pairs_are_all_links(spark):
     pa_texts = near_dedup.pa.array([t for _, t in texts])
     grams, begins = near_dedup.shingles(pa_texts)
     signs = near_dedup.signatures(grams, begins).view(np.int64)
-    nodes = spark.createDataFrame([(k, k, int(begins[k + 1] - begins[k]), int(signs[k, 0]), int(signs[k, 1])) for k in range(len(texts))], "node long, label long, n long, s1 long, s2 long")
+    marks = np.column_stack([np.diff(begins), signs, near_dedup.parities(grams, begins)])
+    nodes = spark.createDataFrame([(k, k, *map(int, marks[k])) for k in range(len(texts))], f"node long, label long, {', '.join(f'{c} long' for c in near_dedup.MARKS)}")
     pairs = {tuple(sorted((r.a, r.b))) for r in near_dedup._rare_pairs(docs, nodes).collect()}
     want = {(i, j) for j in range(len(texts)) for i in range(j) if near_dedup.ordered_overlap(grams[begins[i] : begins[i + 1]], grams[begins[j] : begins[j + 1]])}
-    assert len(want) > 20 and want <= pairs and len(pairs) < 20 * len(want)
+    assert len(want) > 20 and want <= pairs and len(pairs) < 4 * len(want)
     found = {tuple(sorted((r.a, r.b))) for r in near_dedup.links(docs, near_dedup._rare_pairs(docs, nodes)).collect()}
     assert found == want
 
 
+def test_parity_maps_differ_no_more_than_texts():
+    rng = random.Random(55)
+    for _ in range(40):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(5, 300))]
+        b = [x if rng.random() > 0.1 else rng.choice("abcdefgh") for x in a] + ["z"] * rng.randrange(3)
+        grams, begins = near_dedup.shingles(near_dedup.pa.array([" ".join(a), " ".join(b)]))
+        one, two = (collections.Counter(grams[x:y].tolist()) for x, y in zip(begins[:-1], begins[1:], strict=True))
+        maps = near_dedup.parities(grams, begins).view(np.uint64)
+        assert sum(int(x).bit_count() for x in maps[0] ^ maps[1]) <= sum(((one - two) + (two - one)).values())
+
+
 def test_long_texts_are_aligned():
     rng = np.random.default_rng(54)
     a = rng.integers(0, 1 << 60, 60_000).astype(np.uint64)
