@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.plans import queries_logs, queries_pages, queries_requests, queries_streams, queries_text
+from hushframe.plans import queries_admission, queries_logs, queries_pages, queries_requests, queries_streams, queries_text
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (queries_text, queries_requests, queries_logs, queries_pages, queries_streams)
+_MODULES = (queries_text, queries_admission, queries_requests, queries_logs, queries_pages, queries_streams)
 
 
 def queries() -> dict[str, Query]:

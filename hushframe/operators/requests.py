@@ -71,51 +71,117 @@ def sanitize_nodes(nodes: DataFrame, pii_type: str | None = None) -> DataFrame:
 BBOX = "struct<x:double,y:double,w:double,h:double>"
 NODE = f"struct<agentId:string,tag:string,role:string,type:string,text:string,bbox:{BBOX},sensitive:boolean>"
 REGION = f"struct<type:string,rawType:string,bbox:{BBOX},agentId:string,source:string>"
-REQUEST = f"struct<image:string,domSnapshot:array<{NODE}>,redactedRegions:array<{REGION}>,taskGoal:string>"
 KEYS = {"request": ["image", "domSnapshot", "redactedRegions", "taskGoal"], "node": ["agentId", "tag", "role", "type", "text", "bbox", "sensitive"], "region": ["type", "rawType", "bbox", "agentId", "source"]}
+LISTS = {"domSnapshot": "_nodes", "redactedRegions": "_regions"}
+#: Texts and numbers that stand for a flag.
+TRUE, FALSE = ["true", "t", "yes", "y", "on", "1"], ["false", "f", "no", "n", "off", "0"]
+
+
+def _kind(value: Column) -> Column:
+    """JSON kind of a variant: STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, OBJECT or ARRAY; null if there is none."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
+
+
+def _given(value: Column) -> Column:
+    """Whether a value is there and not null."""
+    return F.coalesce(_kind(value) != "VOID", F.lit(False))
+
+
+def _is_text(value: Column) -> Column:
+    return F.coalesce(_kind(value) == "STRING", F.lit(False))
+
+
+def _filled(value: Column) -> Column:
+    return _is_text(value) & (F.coalesce(_as(value, "string"), F.lit("")) != "")
+
+
+def _extra(keys: Column, known: list[str]) -> Column:
+    return F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0
+
+
+def _is_number(value: Column) -> Column:
+    return F.coalesce(_kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN") | (_is_text(value) & _as(value, "double").isNotNull()), F.lit(False))
+
+
+def _is_box(value: Column) -> Column:
+    """An object of x, y, w and h alone, each a number or a number's text."""
+    box = _as(value, "map<string,variant>")
+    sides = _is_number(box["x"]) & _is_number(box["y"]) & _is_number(box["w"]) & _is_number(box["h"])
+    return F.coalesce(sides & (F.size(F.map_keys(box)) == 4), F.lit(False))
+
+
+def _flag(value: Column) -> Column:
+    """Lower-cased text of a value that may stand for a flag."""
+    return F.regexp_replace(F.lower(_as(value, "string")), r"^([01])\.0*$", "$1")
+
+
+def _node(m: Column) -> Column:
+    texts = [_as(m[k], "string").alias(k) for k in KEYS["node"][:5]]
+    return F.struct(*texts, _as(m["bbox"], BBOX).alias("bbox"), F.coalesce(_flag(m["sensitive"]).isin(TRUE), F.lit(False)).alias("sensitive"))
+
+
+def _region(m: Column) -> Column:
+    return F.struct(*[_as(m[k], BBOX if k == "bbox" else "string").alias(k) for k in KEYS["region"]])
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """requests (request_id, body) with parsed (null if malformed) and errors, an array of "place: rule" that names no value."""
-    df = requests.withColumn("parsed", F.from_json("body", REQUEST, {"mode": "PERMISSIVE"})).withColumn("_keys", F.json_object_keys("body"))
-    raw = {k: F.from_json(F.get_json_object("body", f"$.{k}"), "array<string>") for k in ("domSnapshot", "redactedRegions")}
-    df = df.withColumns({f"_{k}": v for k, v in raw.items()})
+    """requests (request_id, body) with parsed (null if malformed) and errors, an array of "place: rule" that names no value.
+
+    image and taskGoal are texts of one character at least; absent lists are empty ones, null ones are errors; no object has
+    other keys than those named; a box has x, y, w and h and nothing else; numbers may be written as texts, flags as 0, 1 or
+    yes and no. A region's type may be any text. parsed holds domSnapshot, redactedRegions and taskGoal; the body is read once.
+    """
+    df = requests.withColumn("_root", _as(F.try_parse_json("body"), "map<string,variant>"))
+    root = F.col("_root")
+    df = df.withColumns({name: F.transform(_as(root[key], "array<variant>"), lambda v: _as(v, "map<string,variant>")) for key, name in LISTS.items()})
 
-    def missing(c: Column) -> Column:
-        return F.coalesce(c, F.lit("")) == ""
+    def some(name: str, test) -> Column:
+        return F.coalesce(F.exists(name, lambda m: F.coalesce(test(m), F.lit(False))), F.lit(False))
 
-    def extra(items: str, known: list[str]) -> Column:
-        allowed = F.array(*[F.lit(k) for k in known])
-        return F.exists(F.coalesce(items, F.array().cast("array<string>")), lambda j: F.size(F.array_except(F.coalesce(F.json_object_keys(j), F.array().cast("array<string>")), allowed)) > 0)
+    def not_text(m: Column, *keys: str) -> Column:
+        out = F.lit(False)
+        for k in keys:
+            out = out | (_given(m[k]) & ~_is_text(m[k]))
+        return out
 
-    def some(c: str, test) -> Column:
-        return F.coalesce(F.exists(c, test), F.lit(False))
+    def text_rules(key: str) -> list[tuple[str, Column]]:
+        there = _given(root[key]) & (F.coalesce(_as(root[key], "string"), F.lit("x")) != "")
+        return [(f"{key}: required", ~there), (f"{key}: not text", there & ~_is_text(root[key]))]
 
-    known = F.array(*[F.lit(k) for k in KEYS["request"]])
     rules = [
-        ("body: not an object", F.col("_keys").isNull()),
-        ("image: required", missing(F.col("parsed.image"))),
-        ("domSnapshot: required", F.col("parsed.domSnapshot").isNull()),
-        ("redactedRegions: required", F.col("parsed.redactedRegions").isNull()),
-        ("taskGoal: required", missing(F.col("parsed.taskGoal"))),
-        ("body: extra key", F.size(F.array_except(F.coalesce("_keys", F.array().cast("array<string>")), known)) > 0),
-        ("domSnapshot: extra key", extra("_domSnapshot", KEYS["node"])),
-        ("redactedRegions: extra key", extra("_redactedRegions", KEYS["region"])),
-        ("domSnapshot.agentId: required", some("parsed.domSnapshot", lambda n: missing(n["agentId"]))),
-        ("domSnapshot.tag: required", some("parsed.domSnapshot", lambda n: missing(n["tag"]))),
-        ("redactedRegions.type: required", some("parsed.redactedRegions", lambda r: r["type"].isNull())),
-        ("redactedRegions.bbox: required", some("parsed.redactedRegions", lambda r: r["bbox"].isNull())),
-        ("redactedRegions.source: not a source", some("parsed.redactedRegions", lambda r: r["source"].isNotNull() & ~r["source"].isin("dom", "vision"))),
+        *text_rules("image"), *text_rules("taskGoal"),
+        *[(f"{key}: not a list", F.coalesce(_kind(root[key]) != "ARRAY", F.lit(False))) for key in LISTS],
+        ("body: extra key", _extra(F.map_keys(root), KEYS["request"])),
+        ("domSnapshot: not an object", some("_nodes", lambda m: m.isNull())),
+        ("domSnapshot: extra key", some("_nodes", lambda m: _extra(F.map_keys(m), KEYS["node"]))),
+        ("domSnapshot.agentId: required", some("_nodes", lambda m: m.isNotNull() & ~_filled(m["agentId"]))),
+        ("domSnapshot.tag: required", some("_nodes", lambda m: m.isNotNull() & ~_filled(m["tag"]))),
+        ("domSnapshot: not text", some("_nodes", lambda m: not_text(m, "role", "type", "text"))),
+        ("domSnapshot.bbox: not a box", some("_nodes", lambda m: _given(m["bbox"]) & ~_is_box(m["bbox"]))),
+        ("domSnapshot.sensitive: not a flag", some("_nodes", lambda m: _kind(m["sensitive"]).isNotNull() & ~F.coalesce(_flag(m["sensitive"]).isin(TRUE + FALSE), F.lit(False)))),
+        ("redactedRegions: not an object", some("_regions", lambda m: m.isNull())),
+        ("redactedRegions: extra key", some("_regions", lambda m: _extra(F.map_keys(m), KEYS["region"]))),
+        ("redactedRegions.type: required", some("_regions", lambda m: m.isNotNull() & ~_is_text(m["type"]))),
+        ("redactedRegions: not text", some("_regions", lambda m: not_text(m, "rawType", "agentId"))),
+        ("redactedRegions.bbox: not a box", some("_regions", lambda m: m.isNotNull() & ~_is_box(m["bbox"]))),
+        ("redactedRegions.source: not a source", some("_regions", lambda m: _given(m["source"]) & ~F.coalesce(_is_text(m["source"]) & _as(m["source"], "string").isin("dom", "vision"), F.lit(False)))),
     ]
-    errors = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
-    return df.withColumn("errors", errors).drop("_keys", "_domSnapshot", "_redactedRegions")
+    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
+    errors = F.when(root.isNull(), F.array(F.lit("body: not an object"))).otherwise(found)
+    lists = [F.coalesce(F.transform(name, build), F.array().cast(f"array<{kind}>")).alias(key) for (key, name), build, kind in zip(LISTS.items(), (_node, _region), (NODE, REGION), strict=True)]
+    parsed = F.when(root.isNotNull(), F.struct(*lists, _as(root["taskGoal"], "string").alias("taskGoal")))
+    return df.withColumn("errors", errors).withColumn("parsed", parsed).drop("_root", *LISTS.values())
 
 
 def request_nodes(parsed: DataFrame) -> DataFrame:
     """Node rows of parsed requests."""
     n = parsed.select("request_id", F.posexplode("parsed.domSnapshot").alias("node_idx", "n"))
     box = [F.col("n.bbox")[c].alias(c) for c in "xywh"]
-    return n.select("request_id", "node_idx", F.col("n.agentId").alias("agent_id"), "n.tag", "n.role", "n.type", "n.text", *box, F.coalesce("n.sensitive", F.lit(False)).alias("sensitive"))
+    return n.select("request_id", "node_idx", F.col("n.agentId").alias("agent_id"), "n.tag", "n.role", "n.type", "n.text", *box, "n.sensitive")
 
 
 def request_regions(parsed: DataFrame) -> DataFrame:
@@ -125,22 +191,14 @@ def request_regions(parsed: DataFrame) -> DataFrame:
     return r.select("request_id", "region_idx", kind.alias("type"), F.coalesce("r.rawType", raw).alias("raw_type"), *box, F.col("r.agentId").alias("agent_id"), infer_source(F.col("r.source"), F.col("r.agentId")).alias("source"))
 
 
-def admit(requests: DataFrame) -> DataFrame:
-    """(request_id, status, error_code, errors, leaked): 422 for malformed requests, 400 for leaking ones, else 200."""
-    checked = validate_requests(requests)
-    good = checked.where(F.size("errors") == 0)
-    leaks = find_leaks(request_nodes(good), request_regions(good)).groupBy("request_id").agg(F.array_sort(F.collect_list("agent_id")).alias("leaked"))
-    df = checked.select("request_id", "errors").join(leaks, "request_id", "left")
-    status = F.when(F.size("errors") > 0, 422).when(F.col("leaked").isNotNull(), 400).otherwise(200)
-    code = F.when(F.size("errors") > 0, "REQUEST_INVALID").when(F.col("leaked").isNotNull(), "PII_LEAK_DETECTED")
-    return df.select("request_id", status.alias("status"), code.alias("error_code"), "errors", F.coalesce("leaked", F.array().cast("array<string>")).alias("leaked"))
+def admit(requests: DataFrame, keep_body: bool = False) -> DataFrame:
+    """(request_id, status, error_code, errors, leaked), and body if it is kept: 422 for malformed requests, 400 for leaking ones, else 200.
 
-
-def admit_in_row(requests: DataFrame) -> DataFrame:
-    """As admit, without a shuffle: a request's arrays are searched inside its row. (request_id, status, error_code, n_leaks)."""
+    leaked names the agent ids that find_leaks would, in order. A request's arrays are searched inside its row, without a shuffle.
+    """
     df = validate_requests(requests)
-    regions = F.transform(F.coalesce("parsed.redactedRegions", F.array().cast(f"array<{REGION}>")), lambda r: F.struct(r["agentId"].alias("id"), infer_source(r["source"], r["agentId"]).alias("source"), r["bbox"].alias("b")))
-    df = df.withColumn("_regions", regions).withColumn("_nodes", F.coalesce("parsed.domSnapshot", F.array().cast(f"array<{NODE}>")))
+    regions = F.transform("parsed.redactedRegions", lambda r: F.struct(r["agentId"].alias("id"), infer_source(r["source"], r["agentId"]).alias("source"), r["bbox"].alias("b")))
+    df = df.withColumn("_regions", regions).withColumn("_nodes", F.col("parsed.domSnapshot"))
 
     def box(b: Column) -> G.Box:
         return b["x"], b["y"], b["w"], b["h"]
@@ -151,10 +209,12 @@ def admit_in_row(requests: DataFrame) -> DataFrame:
         bad = F.coalesce(named, F.lit(False)) | F.coalesce(covered, F.lit(False)) | F.coalesce(n["sensitive"], F.lit(False))
         return F.when(has_text(n["text"]) & bad, n["agentId"])
 
-    n_leaks = F.size(F.array_distinct(F.array_compact(F.transform("_nodes", leaks))))
-    df = df.withColumn("n_leaks", F.when(F.size("errors") > 0, 0).otherwise(n_leaks))
-    status = F.when(F.size("errors") > 0, 422).when(F.col("n_leaks") > 0, 400).otherwise(200)
-    return df.select("request_id", status.alias("status"), F.when(status == 422, "REQUEST_INVALID").when(status == 400, "PII_LEAK_DETECTED").alias("error_code"), "n_leaks")
+    none = F.array().cast("array<string>")
+    leaked = F.array_sort(F.array_distinct(F.array_compact(F.transform("_nodes", leaks))))
+    df = df.withColumn("leaked", F.when(F.size("errors") > 0, none).otherwise(leaked))
+    status = F.when(F.size("errors") > 0, 422).when(F.size("leaked") > 0, 400).otherwise(200)
+    code = F.when(F.size("errors") > 0, "REQUEST_INVALID").when(F.size("leaked") > 0, "PII_LEAK_DETECTED")
+    return df.select("request_id", status.alias("status"), code.alias("error_code"), "errors", "leaked", *["body"] * keep_body)
 
 
 def validate_actions(actions: DataFrame) -> DataFrame:
@@ -187,27 +247,53 @@ def first_safe_target(requests: DataFrame, nodes: DataFrame, regions: DataFrame)
     return df.select("request_id", action.alias("action"), F.coalesce("target_id", F.lit(vocab.PAGE_TARGET)).alias("target_id"), F.when(F.col("rule") == 1, F.col("profile_field")).alias("profile_field"))
 
 
+def quoted(text: Column) -> Column:
+    """The text in quotes on one line: quotes, backslashes and characters that do not print are escaped, so that no text can
+    end its quotes or begin a line."""
+    plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(raw), F.lit(shown))
+    double = text.contains("'") & ~text.contains('"')
+    plain = F.when(double, plain).otherwise(F.replace(plain, F.lit("'"), F.lit("\\'")))
+    odd = r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\p{Co}\p{Cn}\p{Zs}&&[^ ]]"
+
+    def escaped(c: Column) -> Column:
+        code = F.lower(F.hex(F.ascii(c)))
+        wide = F.when(F.length(code) <= 2, F.concat(F.lit("\\x"), F.lpad(code, 2, "0"))).when(F.length(code) <= 4, F.concat(F.lit("\\u"), F.lpad(code, 4, "0")))
+        return F.when(c.rlike(odd), wide.otherwise(F.concat(F.lit("\\U"), F.lpad(code, 8, "0")))).otherwise(c)
+
+    plain = F.when(plain.rlike(odd), F.array_join(F.transform(F.split(plain, ""), escaped), "")).otherwise(plain)
+    mark = F.when(double, '"').otherwise("'")
+    return F.concat(mark, plain, mark)
+
+
+# Labels of a prompt's parts.
+LABELS = {
+    "goal": "TASK GOAL: ", "regions": "REDACTED REGIONS (", "regions_end": " total, do not guess their contents):", "no_regions": "No regions were redacted in this screenshot.",
+    "nodes": "DOM SNAPSHOT (", "nodes_end": " nodes):", "no_nodes": "  (empty)", "type": "  - type=", "raw": " (rawType=", "agent": ", agentId=", "node": "  - agentId=", "tag": ", tag=", "role": ", role=", "kind": ", type=", "text": ", text=", "sensitive": ", sensitive=true",
+}
+
+
 def build_prompts(parsed: DataFrame, opening: str, privacy_notice: str, closing: str) -> DataFrame:
     """(request_id, prompt) from parsed requests: goal, privacy notice and regions if any, nodes in order, instructions."""
     def part(label: str, value: Column) -> Column:
-        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value)).otherwise("")
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(LABELS[label]), value)).otherwise("")
 
     def region_line(r: Column) -> Column:
         kind, raw = X.normal_pii_type(r["type"])
-        raw = F.coalesce(r["rawType"], raw)
-        b = r["bbox"]
-        return F.concat(
-            F.lit("  - type="), kind, F.when(raw.isNotNull(), F.concat(F.lit(" (rawType="), raw, F.lit(")"))).otherwise(""), part(", agentId=", r["agentId"]),
-            F.lit(", bbox=(x="), b["x"], F.lit(", y="), b["y"], F.lit(", w="), b["w"], F.lit(", h="), b["h"], F.lit(")"),
-        )
+        raw, b = F.coalesce(r["rawType"], raw), r["bbox"]
+        sides = [x for c in "xywh" for x in (F.lit(f"{', ' * (c != 'x')}{c}="), b[c])]
+        raw = F.when(F.coalesce(raw, F.lit("")) != "", F.concat(F.lit(LABELS["raw"]), raw, F.lit(")"))).otherwise("")
+        return F.concat(F.lit(LABELS["type"]), kind, raw, part("agent", r["agentId"]), F.lit(", bbox=("), *sides, F.lit(")"))
 
     def node_line(n: Column) -> Column:
-        return F.concat(F.lit("  - agentId="), n["agentId"], F.lit(", tag="), n["tag"], part(", role=", n["role"]), part(", type=", n["type"]), F.when(F.coalesce(n["text"], F.lit("")) != "", F.concat(F.lit(", text='"), n["text"], F.lit("'"))).otherwise(""), F.when(n["sensitive"], ", sensitive=true").otherwise(""))
+        shown = F.when(F.coalesce(n["text"], F.lit("")) != "", F.concat(F.lit(LABELS["text"]), quoted(n["text"]))).otherwise("")
+        return F.concat(F.lit(LABELS["node"]), n["agentId"], F.lit(LABELS["tag"]), n["tag"], part("role", n["role"]), part("kind", n["type"]), shown, F.when(n["sensitive"], LABELS["sensitive"]).otherwise(""))
 
     n, m = F.size("parsed.redactedRegions"), F.size("parsed.domSnapshot")
-    hidden = F.concat(F.array(F.lit(privacy_notice), F.lit(""), F.concat(F.lit("REDACTED REGIONS ("), n, F.lit(" total, do not guess their contents):"))), F.transform("parsed.redactedRegions", region_line))
-    regions = F.when(n > 0, hidden).otherwise(F.array(F.lit("No regions were redacted in this screenshot.")))
-    nodes = F.when(m > 0, F.transform("parsed.domSnapshot", node_line)).otherwise(F.array(F.lit("  (empty)")))
-    head = F.array(F.lit(opening), F.lit(""), F.concat(F.lit("TASK GOAL: "), F.col("parsed.taskGoal")), F.lit(""))
-    count = F.array(F.lit(""), F.concat(F.lit("DOM SNAPSHOT ("), m, F.lit(" nodes):")))
+    hidden = F.concat(F.array(F.lit(privacy_notice), F.lit(""), F.concat(F.lit(LABELS["regions"]), n, F.lit(LABELS["regions_end"]))), F.transform("parsed.redactedRegions", region_line))
+    regions = F.when(n > 0, hidden).otherwise(F.array(F.lit(LABELS["no_regions"])))
+    nodes = F.when(m > 0, F.transform("parsed.domSnapshot", node_line)).otherwise(F.array(F.lit(LABELS["no_nodes"])))
+    head = F.array(F.lit(opening), F.lit(""), F.concat(F.lit(LABELS["goal"]), F.col("parsed.taskGoal")), F.lit(""))
+    count = F.array(F.lit(""), F.concat(F.lit(LABELS["nodes"]), m, F.lit(LABELS["nodes_end"])))
     return parsed.select("request_id", F.array_join(F.concat(head, regions, count, nodes, F.array(F.lit(""), F.lit(closing))), "\n").alias("prompt"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions import geometry as G
 from hushframe.functions import text as X
 from hushframe.operators import boxes as B
 from hushframe.operators import frames as J
@@ -15,23 +19,61 @@ from hushframe.operators import runs as L
 from hushframe.sources import html as H
 
 
-def sanitize_pages(pages: DataFrame, goal: str, max_elements: int = R.MAX_ELEMENTS) -> DataFrame:
-    """(page_id, node_idx, agent_id, tag, role, type, text, sensitive, kept, dropped): each page's ranked nodes, text of sensitive ones null."""
+def parsed_once(pages: DataFrame) -> DataFrame:
+    """Rows of H.parse_pages, parsed once for all that reads them: written to the checkpoint folder where one is set, else kept by the executors."""
     parsed = H.parse_pages(pages)
+    if pages.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    return parsed.checkpoint()
+
+
+@dataclass
+class SanitizedPages:
+    """nodes: what may leave, ranked; regions: what is to be painted over, screenshot pixels; leaks: (page_id, agent_id) whose raw
+    value still stands in its page's outgoing nodes, none if all is well."""
+
+    nodes: DataFrame
+    regions: DataFrame
+    leaks: DataFrame
+
+
+def sanitize_pages(
+    pages: DataFrame, goal: str, max_elements: int = R.MAX_ELEMENTS, layout: DataFrame | None = None, acted: DataFrame | None = None, boxes: DataFrame | None = None,
+    scroll: tuple[float, float] = (0.0, 0.0), dpr: float = 1.0,
+) -> SanitizedPages:
+    """Pages (page_id, html) scanned, flagged, ranked and sanitised.
+
+    layout: page_id, node_idx, x, y, w, h of elements in CSS pixels of the window; acted: page_id, agent_id of nodes used
+    already, which go; boxes: image_id (the page), box_idx, label, score and corners in screenshot pixels; scroll: the
+    window's place in the document; dpr: screenshot pixels per CSS pixel. Elements without layout have no region.
+    """
+    parsed = parsed_once(pages)
     elements, texts = P.assign_ids(H.extract_elements(parsed)), H.extract_text_nodes(parsed)
-    owners = elements.select("page_id", F.col("node_idx").alias("parent_idx"), F.col("agent_id").alias("owner"))
-    texts = texts.join(owners, ["page_id", "parent_idx"]).withColumn("agent_id", F.coalesce("agent_id", "owner")).drop("owner")
-    fields = elements.withColumn("attrs", F.map_concat(F.map_filter("attrs", lambda k, v: k != "data-agent-id"), F.create_map(F.lit("data-agent-id"), F.col("agent_id"))))
-    flagged = P.scan_pii(fields, texts)
+    sides = [F.lit(None).cast("double").alias(c) for c in "xywh"]
+    layout = elements.select("page_id", "node_idx", *sides) if layout is None else layout.select("page_id", "node_idx", *"xywh")
+    ids = elements.select("page_id", F.col("node_idx").alias("parent_idx"), F.col("agent_id").alias("owner"))
+    texts = texts.join(ids, ["page_id", "parent_idx"], "left").withColumn("agent_id", F.col("owner")).drop("owner")
+    flagged = P.scanner_ordinals(P.scan_pii(elements, texts), P.highest_ids(elements))
     a = F.col("attrs")
-    nodes = elements.where(X.is_actionable(F.col("tag"), a) | F.col("tag").isin("p", "h1", "li")).select(
+    nodes = elements.where("kept_last").select(
         "page_id", "node_idx", "agent_id", "tag", X.implicit_role(F.col("tag"), a["role"], a["href"], a["type"]).alias("role"), X.semantic_type(F.col("tag"), a["type"]).alias("type"),
-        X.accessible_text(F.col("tag"), a["value"], a["aria-label"], a["placeholder"], F.col("selected"), F.col("text")).alias("text"),
-        *[F.lit(None).cast("double").alias(c) for c in "xywh"], F.lit(False).alias("sensitive"),
+        X.accessible_text(F.col("tag"), a["value"], a["aria-label"], a["placeholder"], F.col("selected"), F.col("text")).alias("text"), F.lit(False).alias("sensitive"),
     )
-    marked = J.flag_sensitive(nodes, flagged)
-    ranked = R.rank_elements(marked, F.array_distinct(X.tokenize(F.lit(goal))), max_elements)
-    return Q.sanitize_nodes(ranked).select("page_id", "node_idx", "agent_id", "tag", "role", "type", "text", "sensitive", "kept", "dropped")
+    nodes = J.flag_sensitive(nodes.join(layout, ["page_id", "node_idx"], "left"), flagged)
+    if acted is not None:
+        nodes = nodes.join(acted.select("page_id", "agent_id").distinct(), ["page_id", "agent_id"], "left_anti")
+    ranked = R.rank_elements(nodes, F.array_distinct(X.tokenize(F.lit(goal))), max_elements)
+    out = Q.sanitize_nodes(ranked).select("page_id", "node_idx", "agent_id", "tag", "role", "type", "text", "sensitive", "kept", "dropped")
+
+    places = flagged.join(layout, ["page_id", "node_idx"])
+    moved = G.translate(tuple(map(F.col, "xywh")), F.lit(float(scroll[0])), F.lit(float(scroll[1])))
+    places = places.select(F.col("page_id").alias("image_id"), "seq", "pii_type", *[m.alias(c) for m, c in zip(moved, "xywh", strict=True)], "agent_id")
+    none = places.select("image_id", F.lit(0).alias("box_idx"), F.lit("").alias("label"), F.lit(0.0).alias("score"), *[F.lit(0.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]).where("false")
+    regions = B.build_regions(none if boxes is None else boxes, places, dpr)
+
+    payloads = out.where("kept").groupBy(F.col("page_id").alias("request_id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("node_idx", "agent_id", "tag", "role", "type", "text")))).alias("payload"))
+    held = nodes.where("sensitive").select(F.col("page_id").alias("request_id"), "agent_id", F.lit(None).cast("string").alias("value"), "text")
+    return SanitizedPages(out, regions, Q.egress_check(payloads, held).withColumnRenamed("request_id", "page_id"))
 
 
 def admit_requests(requests: DataFrame) -> DataFrame:
@@ -39,8 +81,8 @@ def admit_requests(requests: DataFrame) -> DataFrame:
     return Q.admit(requests)
 
 
-def audit_runs(actions: DataFrame, nodes: DataFrame, profiles: DataFrame, risk) -> DataFrame:
-    """(run_id, n_actions, n_invalid, n_blocked, stall_step, stall_period, outcome) of each run's log."""
+def audit_runs(actions: DataFrame, nodes: DataFrame, profiles: DataFrame, risk, marks: DataFrame) -> DataFrame:
+    """(run_id, n_actions, n_invalid, n_blocked, stall_step, stall_period, outcome) of each run's log, and the summary of its marks."""
     checked = Q.validate_actions(actions)
     guarded = J.guard_actions(checked.drop("error_code"), nodes, profiles, risk)
     stalls = L.detect_stalls(checked.where("error_code is null"))
@@ -49,7 +91,7 @@ def audit_runs(actions: DataFrame, nodes: DataFrame, profiles: DataFrame, risk)
     outcome = F.when(F.col("error_code").isNotNull(), "analyze_failed").when(F.col("verdict") != "ok", "blocked").when(F.col("action") == "done", "done")
     ended = L.run_outcomes(steps.select("run_id", "step", F.lit(0).alias("stage_rank"), outcome.alias("outcome")).unionByName(stalls.select("run_id", "step", F.lit(1).alias("stage_rank"), F.lit("stalled").alias("outcome"))))
     counts = L.count_kinds(steps, ["run_id"], {"n_actions": F.lit(True), "n_invalid": F.col("error_code").isNotNull(), "n_blocked": F.col("verdict") != "ok"})
-    return counts.join(stall, "run_id", "left").join(ended.select("run_id", "outcome"), "run_id", "left")
+    return counts.join(stall, "run_id", "left").join(ended.select("run_id", "outcome"), "run_id", "left").join(L.run_summary(marks), "run_id", "left")
 
 
 def detector_report(boxes: DataFrame, images: DataFrame) -> DataFrame:

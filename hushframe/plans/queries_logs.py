@@ -49,12 +49,15 @@ SELECT run_id, step, max(attempt) AS attempts, arg_max_null(error_class, attempt
 max(attempt) >= 3 AND arg_max(error_class IS NOT NULL, attempt) AS gave_up, bool_or(later IS NOT NULL AND error_class IS NOT NULL AND NOT retryable) AS retried_final FROM g GROUP BY run_id, step""")
 
 
+_ENDED = "CASE WHEN run_id % 3 = 1 THEN NULL WHEN stage = 'error' AND seq % 3 = 0 THEN 'act_failed' WHEN stage = 'purchase' AND seq % 5 = 0 THEN 'done' END"
+_STEP = "CASE WHEN run_id % 2 = 0 THEN step + 1 ELSE least(step, 20) END"
+
+
 def _outcomes(df: DataFrame) -> DataFrame:
-    ended = F.expr("CASE WHEN stage = 'error' AND seq % 3 = 0 THEN 'act_failed' WHEN stage = 'purchase' AND seq % 5 = 0 THEN 'done' END")
-    return L.run_outcomes(df.where("run_id % 3 <> 1 or seq % 30 = 4").select("run_id", F.col("step"), (F.col("seq") % 4).alias("stage_rank"), ended.alias("outcome")))
+    return L.run_outcomes(df.select("run_id", F.expr(_STEP).alias("step"), (F.col("seq") % 4).alias("stage_rank"), F.expr(_ENDED).alias("outcome")))
 
 
-QUERIES["r15_run_outcomes"] = (of("marks", _outcomes), f"""{with_views('marks')}, t AS (SELECT run_id, step, seq % 4 AS stage_rank, CASE WHEN stage = 'error' AND seq % 3 = 0 THEN 'act_failed' WHEN stage = 'purchase' AND seq % 5 = 0 THEN 'done' END AS outcome FROM marks WHERE run_id % 3 <> 1 OR seq % 30 = 4),
+QUERIES["r15_run_outcomes"] = (of("marks", _outcomes), f"""{with_views('marks')}, t AS (SELECT run_id, {_STEP} AS step, seq % 4 AS stage_rank, {_ENDED} AS outcome FROM marks),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step, stage_rank, outcome) AS n FROM t WHERE outcome IS NOT NULL), m AS (SELECT run_id, max(step) AS last FROM t GROUP BY run_id)
 SELECT m.run_id, coalesce(r.outcome, CASE WHEN last >= 25 THEN 'max_steps_reached' END) AS outcome, coalesce(r.step, last) AS step FROM m LEFT JOIN r ON m.run_id = r.run_id AND r.n = 1""")
 _PATCH = "concat('{\"stage\":\"', event_type, '\"', CASE event_id % 4 WHEN 0 THEN ',\"lastError\":null' WHEN 1 THEN concat(',\"lastError\":\"e', CAST(event_id AS STRING), '\"') ELSE '' END, '}')"
@@ -75,7 +78,15 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 _SQL_NODES = "rn AS (SELECT run_id, agent_id, count(*) % 7 <> 0 AS connected, count(*) % 5 = 0 AS sensitive, CASE WHEN count(*) % 4 = 1 THEN 'Buy now' ELSE 'Home' END AS text FROM run_nodes GROUP BY run_id, agent_id)"
 QUERIES["j1_flag_sensitive"] = (lambda spark, sf: J.flag_sensitive(view(spark, sf, "nodes"), view(spark, sf, "regions").withColumnRenamed("request_id", "page_id")).select("page_id", "agent_id", "sensitive"), f"{with_views('nodes', 'regions')} SELECT page_id, agent_id, sensitive OR EXISTS (SELECT 1 FROM regions r WHERE r.request_id = n.page_id AND r.agent_id = n.agent_id) AS sensitive FROM nodes n")
-QUERIES["j2_drop_acted"] = (lambda spark, sf: J.drop_acted(_nodes(spark, sf), view(spark, sf, "actions").where("step % 20 = 0")).select("run_id", "agent_id"), f"{with_views('run_nodes', 'actions')}, {_SQL_NODES} SELECT run_id, agent_id FROM rn WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.run_id = rn.run_id AND a.target_id = rn.agent_id AND a.action IN ('click', 'type') AND a.step % 20 = 0)")
+
+
+def _unacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes that marks name, but for those that a run has clicked or typed into."""
+    nodes = view(spark, sf, "marks").select("run_id", F.expr("concat('agent-', CAST(seq % 61 AS STRING))").alias("agent_id")).distinct()
+    return J.drop_acted(nodes, view(spark, sf, "actions").withColumn("target_id", F.expr("concat('agent-', CAST(step % 61 AS STRING))"))).select("run_id", "agent_id")
+
+
+QUERIES["j2_drop_acted"] = (_unacted, f"{with_views('marks', 'actions')}, m AS (SELECT DISTINCT run_id, concat('agent-', seq % 61) AS agent_id FROM marks) SELECT run_id, agent_id FROM m WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.run_id = m.run_id AND concat('agent-', a.step % 61) = m.agent_id AND a.action IN ('click', 'type'))")
 QUERIES["j7_resolve_targets"] = (lambda spark, sf: J.resolve_targets(view(spark, sf, "actions"), _nodes(spark, sf)).select("run_id", "step", "resolution"), f"{with_views('run_nodes', 'actions')}, {_SQL_NODES} SELECT a.run_id, a.step, CASE WHEN rn.agent_id IS NULL THEN 'TARGET_NOT_FOUND' WHEN NOT rn.connected THEN 'TARGET_DETACHED' END AS resolution FROM actions a LEFT JOIN rn ON a.run_id = rn.run_id AND a.target_id = rn.agent_id")
 
 
@@ -93,14 +104,26 @@ def _guarded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LONG = "pr AS (SELECT user_id, 'full_name' AS field, nullif(trim(full_name), '') AS value FROM profiles UNION ALL SELECT user_id, 'email', nullif(trim(email), '') FROM profiles UNION ALL SELECT user_id, 'phone', nullif(trim(phone), '') FROM profiles)"
-QUERIES["j8_guard_actions"] = (_guarded, f"""{with_views('run_nodes', 'actions', 'profiles')}, {_SQL_NODES}, {_LONG}
-SELECT a.run_id, a.step, CASE WHEN action = 'hover' THEN 'UNKNOWN_ACTION' WHEN target_id = '' THEN 'MISSING_TARGET_ID' WHEN target_id = 'page' AND action NOT IN ('scroll', 'done') THEN 'INVALID_TARGET_FOR_ACTION'
+_VERDICTS = """SELECT a.run_id, a.step, CASE WHEN action = 'hover' THEN 'UNKNOWN_ACTION' WHEN target_id = '' THEN 'MISSING_TARGET_ID' WHEN target_id = 'page' AND action NOT IN ('scroll', 'done') THEN 'INVALID_TARGET_FOR_ACTION'
 WHEN action = 'fill_profile' AND profile_field IS NULL THEN 'INVALID_PROFILE_FIELD' WHEN target_id = 'page' THEN 'ok' WHEN rn.agent_id IS NULL THEN 'TARGET_NOT_FOUND' WHEN NOT rn.connected THEN 'TARGET_DETACHED'
 WHEN rn.sensitive AND action <> 'fill_profile' THEN 'SENSITIVE_TARGET_BLOCKED' WHEN action IN ('click', 'type') AND rn.text = 'Buy now' THEN 'IRREVERSIBLE_ACTION_BLOCKED'
 WHEN action = 'fill_profile' AND pr.value IS NULL THEN 'PROFILE_FIELD_EMPTY' ELSE 'ok' END AS verdict
-FROM actions a LEFT JOIN rn ON a.run_id = rn.run_id AND a.target_id = rn.agent_id LEFT JOIN pr ON pr.user_id = a.run_id AND pr.field = a.profile_field""")
+FROM actions a LEFT JOIN rn ON a.run_id = rn.run_id AND a.target_id = rn.agent_id LEFT JOIN pr ON pr.user_id = a.run_id AND pr.field = a.profile_field"""
+QUERIES["j8_guard_actions"] = (_guarded, f"""{with_views('run_nodes', 'actions', 'profiles')}, {_SQL_NODES}, {_LONG}
+{_VERDICTS}""")
 QUERIES["j9_fill_profile"] = (lambda spark, sf: J.fill_profile(view(spark, sf, "actions"), _profiles(spark, sf)).select("step", "status", "value_length"), f"{with_views('actions', 'profiles')}, {_LONG} SELECT a.step, CASE WHEN pr.value IS NULL THEN 'PROFILE_FIELD_EMPTY' ELSE 'filled' END AS status, CAST(coalesce(length(pr.value), 0) AS INT) AS value_length FROM actions a LEFT JOIN pr ON pr.user_id = a.user_id AND pr.field = a.profile_field WHERE a.action = 'fill_profile'")
-QUERIES["p3_audit_runs"] = (lambda spark, sf: pipelines.audit_runs(view(spark, sf, "actions"), _nodes(spark, sf), _profiles(spark, sf).withColumnRenamed("user_id", "run_id"), risk), None)
+_CODE = "CASE WHEN action = 'fill_profile' AND value IS NOT NULL THEN 'MODEL_SUPPLIED_PROFILE_VALUE' WHEN action = 'hover' OR target_id = '' OR (action = 'fill_profile') <> (profile_field IS NOT NULL) THEN 'VLM_RESPONSE_SCHEMA_INVALID' END"
+QUERIES["p3_audit_runs"] = (lambda spark, sf: pipelines.audit_runs(view(spark, sf, "actions"), _nodes(spark, sf), _profiles(spark, sf).withColumnRenamed("user_id", "run_id"), risk, view(spark, sf, "marks")).withColumn("stages", F.array_join("stages", ",")), f"""{with_views('run_nodes', 'actions', 'profiles', 'marks')}, {_SQL_NODES}, {_LONG}, verdicts AS ({_VERDICTS}),
+c AS (SELECT run_id, step, action, {_CODE} AS code, concat(action, ':', target_id, ':', CASE WHEN action <> 'fill_profile' THEN coalesce(value, '') ELSE '' END) AS sig FROM actions),
+t AS (SELECT run_id, step, sig FROM c WHERE code IS NULL AND action <> 'done'), l AS (SELECT run_id, step, sig AS s0, {_LAGS} FROM t WINDOW w AS (PARTITION BY run_id ORDER BY step)),
+p AS (SELECT run_id, step, CASE WHEN s0 = s1 AND s1 = s2 THEN 1 WHEN s0 = s2 AND s1 = s3 THEN 2 WHEN s0 = s3 AND s1 = s4 AND s2 = s5 THEN 3 END AS period FROM l),
+st AS (SELECT run_id, min(step) AS stall_step, CAST(arg_min(period, step) AS INT) AS stall_period FROM p WHERE period IS NOT NULL GROUP BY run_id),
+e AS (SELECT c.run_id, c.step, 0 AS rank, CASE WHEN code IS NOT NULL THEN 'analyze_failed' WHEN verdict <> 'ok' THEN 'blocked' WHEN action = 'done' THEN 'done' END AS outcome FROM c JOIN verdicts v ON c.run_id = v.run_id AND c.step = v.step UNION ALL SELECT run_id, stall_step, 1, 'stalled' FROM st),
+o AS (SELECT run_id, arg_min(outcome, step * 2 + rank) AS outcome FROM e WHERE outcome IS NOT NULL GROUP BY run_id), n AS (SELECT run_id, max(step) AS last FROM e GROUP BY run_id),
+k AS (SELECT c.run_id, count(*) AS n_actions, count(*) FILTER (WHERE code IS NOT NULL) AS n_invalid, count(*) FILTER (WHERE verdict <> 'ok') AS n_blocked FROM c JOIN verdicts v ON c.run_id = v.run_id AND c.step = v.step GROUP BY c.run_id),
+m AS (SELECT run_id, max(ts_ms) - min(ts_ms) AS total_ms, max(step) AS total_steps, max(heap_mb) AS peak_heap_mb, count(heap_mb) > 0 AS memory_known, string_agg(stage, ',' ORDER BY seq) AS stages FROM marks GROUP BY run_id)
+SELECT k.*, stall_step, stall_period, coalesce(o.outcome, CASE WHEN last >= 25 THEN 'max_steps_reached' END) AS outcome, total_ms, total_steps, peak_heap_mb, memory_known, stages
+FROM k LEFT JOIN st ON k.run_id = st.run_id LEFT JOIN o ON k.run_id = o.run_id LEFT JOIN n ON k.run_id = n.run_id LEFT JOIN m ON k.run_id = m.run_id""")
 
 GOAL = ["red", "widget", "button"]
 _TERMS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', nullif(text, ''), nullif(role, ''), nullif(type, ''))), '[^a-z0-9]+'), lambda x: length(x) > 1)"
@@ -122,6 +145,9 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 QUERIES["r4_proximity"] = (of("nodes", _rounded), f"{with_views('nodes')}, {_RANKED.replace('WHERE n > 40', '')} SELECT m.page_id, m.node_idx, round(CASE WHEN m.x IS NULL THEN 0.4 ELSE coalesce(1 / (1 + d / 150), 0) END, 6) AS proximity FROM many m LEFT JOIN near ON m.page_id = near.page_id AND m.node_idx = near.node_idx")
-QUERIES["r5_rank_elements"] = (of("nodes", lambda df: R.rank_elements(df, F.array(*map(F.lit, GOAL))).select("page_id", "node_idx", "kept", "dropped", "score")), None)
-QUERIES["k2_score_listing"] = (of("nodes", lambda df: R.rank_elements(df, F.array(*map(F.lit, GOAL))).select("page_id", "agent_id", "score", "kept").orderBy(F.col("score").desc(), "agent_id")), None)
+_KEPT = f"""{_RANKED.replace('round(b, 9)', 'b')}, scored AS (SELECT m.*, b + CAST(0.1 AS DOUBLE) * CASE WHEN m.x IS NULL THEN CAST(0.4 AS DOUBLE) ELSE coalesce(1 / (1 + d / 150), 0) END AS whole FROM many m LEFT JOIN near ON m.page_id = near.page_id AND m.node_idx = near.node_idx),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id, sensitive ORDER BY whole DESC, node_idx) AS rn, count(*) FILTER (WHERE sensitive) OVER (PARTITION BY page_id) AS held FROM scored),
+chosen AS (SELECT page_id, node_idx, agent_id, sensitive OR rn <= greatest(0, 40 - held) AS kept, floor(whole * 10000 + 0.5) / 10000 AS score FROM placed UNION ALL SELECT page_id, node_idx, agent_id, true, NULL FROM sized WHERE n <= 40)"""
+QUERIES["r5_rank_elements"] = (of("nodes", lambda df: R.rank_elements(df, F.array(*map(F.lit, GOAL))).select("page_id", "node_idx", "kept", "dropped", "score")), f"{with_views('nodes')}, {_KEPT} SELECT page_id, node_idx, kept, count(*) FILTER (WHERE NOT kept) OVER (PARTITION BY page_id) AS dropped, score FROM chosen")
+QUERIES["k2_score_listing"] = (of("nodes", lambda df: R.rank_elements(df, F.array(*map(F.lit, GOAL))).select("page_id", "agent_id", "score", "kept").orderBy(F.col("score").desc(), "agent_id")), f"{with_views('nodes')}, {_KEPT} SELECT page_id, agent_id, score, kept FROM chosen ORDER BY score DESC, agent_id")
 QUERIES["u3_unmatched_ids"] = (lambda spark, sf: view(spark, sf, "nodes").select("page_id", "agent_id").join(view(spark, sf, "regions").select(F.col("request_id").alias("page_id"), "agent_id"), ["page_id", "agent_id"], "left_anti"), f"{with_views('nodes', 'regions')} SELECT page_id, agent_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.request_id = n.page_id AND r.agent_id = n.agent_id)")

@@ -62,4 +62,20 @@ def _texts(df: DataFrame) -> DataFrame:
 add("c16_accessible_text", parsed, _texts)
 add("r10_assign_ids", parsed, lambda df: P.assign_ids(H.extract_elements(df)).select("page_id", "node_idx", "agent_id"))
 add("r11_scanner_ordinals", parsed, lambda df: P.scanner_ordinals(P.scan_pii(H.extract_elements(df), H.extract_text_nodes(df)), 100))
-add("p1_sanitize_pages", pages, lambda df: pipelines.sanitize_pages(df, "open the article about the and of"))
+
+
+def _layout(df: DataFrame) -> DataFrame:
+    """A place for every element of pages, from its number."""
+    tags = H.extract_tags(df).select("page_id", F.col("tag_idx").alias("node_idx"))
+    return tags.select("page_id", "node_idx", (F.col("node_idx") % 4 * 300.0).alias("x"), (F.col("node_idx") * 24.0).alias("y"), F.lit(280.0).alias("w"), F.lit(20.0).alias("h"))
+
+
+def _sanitized(spark: SparkSession, sf: str) -> pipelines.SanitizedPages:
+    df = pages(spark, sf)
+    acted = df.select("page_id", F.concat(F.lit("agent-"), F.col("page_id") % 5).alias("agent_id"))
+    return pipelines.sanitize_pages(df, "open the article about the and of", layout=_layout(df), acted=acted, scroll=(0.0, 100.0), dpr=2.0)
+
+
+QUERIES["p1_sanitize_pages"] = (lambda spark, sf: _sanitized(spark, sf).nodes, None)
+QUERIES["p1_page_regions"] = (lambda spark, sf: _sanitized(spark, sf).regions, None)
+QUERIES["p1_egress"] = (lambda spark, sf: _sanitized(spark, sf).leaks, None)

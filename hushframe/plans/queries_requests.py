@@ -41,7 +41,9 @@ fold(image_id, label, n, kept) AS (
   FROM fold f JOIN r ON f.image_id = r.image_id AND f.label = r.label AND r.n = f.n + 1
 ), last AS (SELECT image_id, label, arg_max(kept, n) AS kept FROM fold GROUP BY image_id, label)"""
 QUERIES["r9_nms"] = (of("boxes", lambda df: B.nms(df).select("image_id", "label", "box_idx")), f"{with_views('boxes').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_NMS} SELECT image_id, label, k.i AS box_idx FROM (SELECT image_id, label, unnest(kept) AS k FROM last)")
-QUERIES["a6_threshold_sweep"] = (of("boxes", lambda df: B.threshold_sweep(df, [0.3, 0.5, 0.7])), None)
+_SWEPT = _NMS.replace("FROM boxes)", "FROM many)").replace("PARTITION BY image_id, label", "PARTITION BY t, image_id, label").replace("fold(image_id,", "fold(t, image_id,").replace("SELECT image_id, label, n, [", "SELECT t, image_id, label, n, [").replace("SELECT r.image_id,", "SELECT r.t, r.image_id,").replace("ON f.image_id", "ON f.t = r.t AND f.image_id").replace("last AS (SELECT image_id, label, arg_max(kept, n) AS kept FROM fold GROUP BY image_id, label)", "last AS (SELECT t, image_id, label, arg_max(kept, n) AS kept FROM fold GROUP BY t, image_id, label)")
+QUERIES["a6_threshold_sweep"] = (of("boxes", lambda df: B.threshold_sweep(df, [0.3, 0.5, 0.7])), f"""{with_views('boxes').replace('WITH ', 'WITH RECURSIVE ', 1)}, many AS (SELECT t, b.* FROM boxes b, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) v(t) WHERE score >= t), {_SWEPT}
+SELECT a.t AS threshold, a.label, a.n AS before, b.n AS after FROM (SELECT t, label, count(*) AS n FROM many GROUP BY t, label) a JOIN (SELECT t, label, CAST(sum(len(kept)) AS BIGINT) AS n FROM last GROUP BY t, label) b ON a.t = b.t AND a.label = b.label""")
 QUERIES["a7_class_coverage"] = (of("boxes", lambda df: B.class_coverage(df, ["person", "Book", "chair"])), f"{with_views('boxes')} SELECT c.label, count(b.label) AS n, count(b.label) > 0 AS present FROM (VALUES ('person'), ('Book'), ('chair')) c(label) LEFT JOIN boxes b ON c.label = b.label GROUP BY c.label")
 
 
@@ -88,12 +90,19 @@ SELECT image_id, type, raw_type, x, y, w, h, agent_id, source, CAST(row_number()
 
 
 def _diff(spark: SparkSession, sf: str) -> DataFrame:
+    """All boxes against a second detector's: moved a little, some far away, scores halved."""
     b = view(spark, sf, "boxes")
-    other = b.where("box_idx % 5 <> 0").withColumn("xmin", F.col("xmin") + F.col("box_idx") % 4).withColumn("score", F.round(F.col("score") * 0.5, 4))
-    return B.detection_diff(b.where("box_idx % 7 <> 0"), other, 0.9)
+    return B.detection_diff(b, b.withColumn("xmin", F.expr(_MOVED.format("xmin"))).withColumn("xmax", F.expr(_MOVED.format("xmax"))).withColumn("score", F.col("score") / 2), 0.8)
 
 
-QUERIES["j11_detection_diff"] = (_diff, None)
+_MOVED = "{0} + CASE WHEN box_idx % 5 = 0 THEN 5000 ELSE box_idx % 4 END"
+_INTER = "greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))"
+QUERIES["j11_detection_diff"] = (_diff, f"""{with_views('boxes')}, other AS (SELECT image_id, box_idx, label, score / 2 AS score, {_MOVED.format('xmin')} AS xmin, ymin, {_MOVED.format('xmax')} AS xmax, ymax FROM boxes),
+i AS (SELECT a.image_id, a.label, a.box_idx AS ai, b.box_idx AS bi, {_INTER} AS inter, (a.xmax - a.xmin) * (a.ymax - a.ymin) AS one, (b.xmax - b.xmin) * (b.ymax - b.ymin) AS two,
+  greatest(abs(a.xmin - b.xmin), abs(a.ymin - b.ymin), abs(a.xmax - b.xmax), abs(a.ymax - b.ymax)) AS drift, abs(a.score - b.score) AS delta FROM boxes a JOIN other b ON a.image_id = b.image_id AND a.label = b.label),
+p AS (SELECT *, inter / (one + two - inter + 1e-9) AS iou FROM i), g AS (SELECT *, row_number() OVER (PARTITION BY image_id, label, ai ORDER BY iou DESC, bi) AS ra, row_number() OVER (PARTITION BY image_id, label, bi ORDER BY iou DESC, ai) AS rb FROM p WHERE iou >= 0.8),
+m AS (SELECT image_id, label, count(*) AS matched, max(drift) AS max_drift, max(delta) AS max_score_delta FROM g WHERE ra = 1 AND rb = 1 GROUP BY image_id, label), n AS (SELECT image_id, label, count(*) AS n FROM boxes GROUP BY image_id, label)
+SELECT n.image_id, n.label, coalesce(matched, 0) AS matched, n - coalesce(matched, 0) AS missing, n - coalesce(matched, 0) AS extra, max_drift, max_score_delta FROM n LEFT JOIN m ON n.image_id = m.image_id AND n.label = m.label""")
 _SINGLE = _NMS.replace("FROM boxes)", "FROM boxes WHERE lower(label) IN ('person', 'book'))")
 QUERIES["p4_detector_report"] = (lambda spark, sf: pipelines.detector_report(view(spark, sf, "boxes"), view(spark, sf, "images")), f"""{with_views('boxes', 'images').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_SINGLE}, single AS (SELECT b.* FROM (SELECT unnest(kept) AS k FROM last) x JOIN boxes b ON b.box_idx = x.k.i),
 {_CAPPED.replace('FROM boxes b', 'FROM single b')}, cap AS (SELECT image_id, count(*) AS n FROM s WHERE total IS NULL OR running / total <= 0.65 GROUP BY image_id)
@@ -115,53 +124,30 @@ QUERIES["v1_sanitize_nodes"] = (of("nodes", lambda df: Q.sanitize_nodes(df.withC
 
 def _egress(spark: SparkSession, sf: str) -> DataFrame:
     nodes = view(spark, sf, "nodes")
-    payloads = nodes.where("node_idx % 4 = 0").groupBy("request_id").agg(F.concat_ws("|", F.sort_array(F.collect_set("text"))).alias("payload"))
+    sent = F.expr("CASE WHEN node_idx % 4 = 0 THEN text ELSE substr(text, 3) END")
+    payloads = nodes.groupBy("request_id").agg(F.concat_ws("|", F.sort_array(F.collect_set(sent))).alias("payload"))
     return Q.egress_check(payloads, nodes.where("sensitive").select("request_id", "agent_id", F.lit(None).cast("string").alias("value"), "text"))
 
 
-QUERIES["j4_egress_check"] = (_egress, f"""{with_views('nodes')}, p AS (SELECT request_id, string_agg(DISTINCT text, '|') AS payload FROM nodes WHERE node_idx % 4 = 0 GROUP BY request_id)
+QUERIES["j4_egress_check"] = (_egress, f"""{with_views('nodes')}, s AS (SELECT request_id, CASE WHEN node_idx % 4 = 0 THEN text ELSE substr(text, 3) END AS sent FROM nodes), p AS (SELECT request_id, string_agg(DISTINCT sent, '|') AS payload FROM s GROUP BY request_id)
 SELECT DISTINCT n.request_id, n.agent_id FROM nodes n JOIN p ON n.request_id = p.request_id WHERE n.sensitive AND length(trim(n.text)) >= 3 AND contains(p.payload, trim(n.text))""")
 
-#: Requests made from orders: some without goal, some with extra keys, with leaks of each kind, and sound ones.
-_BODY = """concat('{"image":"aGk=",', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('"taskGoal":"', o_orderpriority, '",') END, CASE WHEN o_orderkey % 11 = 0 THEN '"extra":1,' ELSE '' END,
-'"domSnapshot":[{"agentId":"agent-1","tag":"input","text":', CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"x y"' END, ',"bbox":{"x":10,"y":10,"w":100,"h":20},"sensitive":', CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE 'false' END, '},{"agentId":"agent-2","tag":"a","text":"Home"}],
-"redactedRegions":[', CASE o_orderkey % 4 WHEN 0 THEN '{"type":"email","agentId":"agent-1","bbox":{"x":0,"y":0,"w":5,"h":5}}' WHEN 1 THEN '{"type":"tel","source":"dom","bbox":{"x":0,"y":0,"w":200,"h":200}}' WHEN 2 THEN '{"type":"person","bbox":{"x":0,"y":0,"w":200,"h":200}}' ELSE '' END, ']}')"""
-
-
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("request_id"), F.expr(_BODY.replace("\n", " ")).alias("body"))
-
-
-_BAD, _LEAK = "(o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)", "(o_orderkey % 3 <> 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 4 IN (0, 1)))"
-_STATUS = f"CASE WHEN {_BAD} THEN 422 WHEN {_LEAK} THEN 400 ELSE 200 END"
-_CODE = f"CASE WHEN {_BAD} THEN 'REQUEST_INVALID' WHEN {_LEAK} THEN 'PII_LEAK_DETECTED' END"
-QUERIES["v3_validate_requests"] = (lambda spark, sf: Q.validate_requests(requests(spark, sf)).select("request_id", F.array_join("errors", "; ").alias("errors")), "SELECT o_orderkey AS request_id, concat_ws('; ', CASE WHEN o_orderkey % 7 = 0 THEN 'taskGoal: required' END, CASE WHEN o_orderkey % 11 = 0 THEN 'body: extra key' END) AS errors FROM orders")
-QUERIES["v6_admit"] = (lambda spark, sf: pipelines.admit_requests(requests(spark, sf)).select("request_id", "status", "error_code", F.array_join("leaked", ",").alias("leaked")), f"SELECT o_orderkey AS request_id, {_STATUS} AS status, {_CODE} AS error_code, CASE WHEN NOT {_BAD} AND {_LEAK} THEN 'agent-1' ELSE '' END AS leaked FROM orders")
-QUERIES["t4_admission_in_row"] = (lambda spark, sf: Q.admit_in_row(requests(spark, sf)), f"SELECT o_orderkey AS request_id, {_STATUS} AS status, {_CODE} AS error_code, CASE WHEN NOT {_BAD} AND {_LEAK} THEN 1 ELSE 0 END AS n_leaks FROM orders")
-QUERIES["s4_event_payloads"] = (lambda spark, sf: Q.validate_requests(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("request_id"), F.col("props").alias("body"))).select("request_id", F.size("errors").alias("n_errors")), "SELECT event_id AS request_id, 5 AS n_errors FROM events")
-
-
-def _prompts(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = Q.validate_requests(requests(spark, sf)).where(F.size("errors") == 0)
-    return Q.build_prompts(parsed, "You choose one browser action.", "The regions below are hidden on purpose; do not guess what they hold.", "Answer with one JSON object.")
-
-
-QUERIES["a9_build_prompts"] = (_prompts, None)
 QUERIES["v5_validate_actions"] = (of("actions", lambda df: Q.validate_actions(df).select("step", "error_code", "value")), f"""{with_views('actions')} SELECT step, CASE WHEN action = 'fill_profile' AND value IS NOT NULL THEN 'MODEL_SUPPLIED_PROFILE_VALUE' WHEN action = 'hover' OR target_id = '' OR (action = 'fill_profile') <> (profile_field IS NOT NULL) THEN 'VLM_RESPONSE_SCHEMA_INVALID' END AS error_code, CASE WHEN action <> 'fill_profile' THEN value END AS value FROM actions""")
 QUERIES["v7_drop_model_value"] = (of("actions", lambda df: Q.drop_model_value(df).select("step", "value")), f"{with_views('actions')} SELECT step, CASE WHEN action <> 'fill_profile' THEN value END AS value FROM actions")
 
 
 def _first(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = view(spark, sf, "nodes").where("node_idx % 50 < 9")
-    every = view(spark, sf, "nodes").select("request_id").distinct()
+    """Requests with nodes, and as many without any."""
+    nodes = view(spark, sf, "nodes")
+    every = nodes.select(F.explode(F.array("request_id", -F.col("request_id"))).alias("request_id")).distinct()
     return Q.first_safe_target(every, nodes, view(spark, sf, "regions"))
 
 
 _FIELD = "CASE WHEN type = 'email' THEN CASE WHEN text IS NULL OR trim(text) = '' THEN 'email' END WHEN type = 'tel' THEN CASE WHEN text IS NULL OR trim(text) = '' THEN 'phone' END WHEN regexp_matches(lower(coalesce(text, '')), '\\bname\\b') AND text NOT LIKE '%user%' THEN 'full_name' END"
-QUERIES["r12_first_safe_target"] = (_first, f"""{with_views('nodes', 'regions')}, s AS (SELECT *, {_FIELD} AS field FROM nodes n WHERE node_idx % 50 < 9 AND NOT sensitive AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.request_id = n.request_id AND r.agent_id = n.agent_id)),
+QUERIES["r12_first_safe_target"] = (_first, f"""{with_views('nodes', 'regions')}, s AS (SELECT *, {_FIELD} AS field FROM nodes n WHERE NOT sensitive AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.request_id = n.request_id AND r.agent_id = n.agent_id)),
 k AS (SELECT *, CASE WHEN field IS NOT NULL THEN 1 WHEN type IN ('text', 'email', 'tel', 'search', 'password') THEN 2 ELSE 3 END AS rule FROM s),
 f AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rule, node_idx) AS n FROM k)
-SELECT q.request_id, CASE rule WHEN 1 THEN 'fill_profile' WHEN 2 THEN 'type' WHEN 3 THEN 'click' ELSE 'done' END AS action, coalesce(f.agent_id, 'page') AS target_id, f.field AS profile_field FROM (SELECT DISTINCT request_id FROM nodes) q LEFT JOIN f ON q.request_id = f.request_id AND f.n = 1""")
+SELECT q.request_id, CASE rule WHEN 1 THEN 'fill_profile' WHEN 2 THEN 'type' WHEN 3 THEN 'click' ELSE 'done' END AS action, coalesce(f.agent_id, 'page') AS target_id, f.field AS profile_field FROM (SELECT request_id FROM nodes UNION SELECT -request_id FROM nodes) q LEFT JOIN f ON q.request_id = f.request_id AND f.n = 1""")
 
 #: Frames made from suppliers (reports) and customers (tokens).
 _REPORTS = {"page_id": "s_nationkey", "frame_id": "s_suppkey", "token": "CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE concat('t', CAST(s_suppkey % 40 AS STRING)) END", "ok": "s_suppkey % 8 <> 0", "agent_id": "concat('agent-f', CAST(s_suppkey AS STRING), '-1')", "x": "CAST(s_suppkey AS DOUBLE)", "y": "CAST(2 * s_suppkey AS DOUBLE)", "w": "CASE WHEN s_suppkey % 10 = 3 THEN NULL ELSE CAST(30 AS DOUBLE) END", "h": "CAST(10 AS DOUBLE)"}
@@ -185,6 +171,21 @@ FROM reports r LEFT JOIN tokens t ON r.page_id = t.page_id AND r.token = t.token
 QUERIES["j6_defensive_regions"] = (lambda spark, sf: pipelines.merge_subframes(*_frames(spark, sf))[1], f"{_SQL_FRAMES} SELECT * FROM whole")
 QUERIES["a10_frame_counts"] = (lambda spark, sf: pipelines.merge_subframes(*_frames(spark, sf))[2], f"""{_SQL_FRAMES}, a AS (SELECT page_id, count(DISTINCT frame_id) AS reported FROM reports GROUP BY page_id), b AS (SELECT page_id, count(DISTINCT frame_id) AS merged FROM moved GROUP BY page_id), c AS (SELECT page_id, count(*) AS defensive FROM whole GROUP BY page_id)
 SELECT coalesce(a.page_id, c.page_id) AS page_id, coalesce(reported, 0) AS reported, coalesce(merged, 0) AS merged, coalesce(reported, 0) - coalesce(merged, 0) AS dropped, coalesce(defensive, 0) AS defensive FROM a FULL JOIN c ON a.page_id = c.page_id LEFT JOIN b ON a.page_id = b.page_id""")
-QUERIES["v2_redact"] = (lambda spark, sf: pipelines.redact(view(spark, sf, "boxes").where("image_id < 0"), view(spark, sf, "nodes").where("sensitive").select(F.col("page_id").alias("image_id"), F.col("node_idx").alias("seq"), F.lit("email").alias("pii_type"), *"xywh", "agent_id"), view(spark, sf, "nodes"), 1.0)[1].select("node_idx", "text", "sensitive"), f"{with_views('nodes')} SELECT node_idx, CASE WHEN NOT sensitive THEN text END AS text, sensitive FROM nodes")
+
+
+def _redact(spark: SparkSession, sf: str) -> DataFrame:
+    """Both outputs in one table: regions, then nodes."""
+    nodes = view(spark, sf, "nodes")
+    flagged = nodes.where("sensitive").select(F.col("page_id").alias("image_id"), F.col("node_idx").alias("seq"), F.lit("email").alias("pii_type"), *"xywh", "agent_id")
+    regions, clean = pipelines.redact(view(spark, sf, "boxes"), flagged, nodes, 1.0)
+    regions = regions.select(F.lit("region").alias("part"), "image_id", F.col("region_idx").cast("long").alias("idx"), F.concat_ws("|", "type", "source", "x", "y", "w", "h").alias("body"), F.lit(True).alias("sensitive"))
+    return regions.unionByName(clean.select(F.lit("node").alias("part"), F.col("page_id").alias("image_id"), F.col("node_idx").cast("long").alias("idx"), F.col("text").alias("body"), "sensitive"))
+
+
+QUERIES["v2_redact"] = (_redact, f"""{with_views('boxes', 'nodes')}, u AS (
+SELECT image_id, 0 AS part, box_idx AS seq, 'other' AS type, 'vision' AS source, xmin AS x, ymin AS y, xmax - xmin AS w, ymax - ymin AS h FROM boxes
+UNION ALL SELECT page_id, 1, node_idx, 'email', 'dom', x, y, w, h FROM nodes WHERE sensitive AND x IS NOT NULL)
+SELECT 'region' AS part, image_id, row_number() OVER (PARTITION BY image_id ORDER BY part, seq) - 1 AS idx, concat_ws('|', type, source, x, y, w, h) AS body, true AS sensitive FROM u
+UNION ALL SELECT 'node', page_id, node_idx, CASE WHEN NOT sensitive THEN text END, sensitive FROM nodes""")
 QUERIES["u1_union_nodes"] = (lambda spark, sf: view(spark, sf, "nodes").select("page_id", "agent_id").unionByName(_frames(spark, sf)[0].select("page_id", "agent_id")), f"{_SQL_FRAMES}, {with_views('nodes')[5:]} SELECT CAST(page_id AS BIGINT) AS page_id, agent_id FROM nodes UNION ALL SELECT page_id, agent_id FROM reports")
 

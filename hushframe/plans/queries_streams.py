@@ -9,8 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.plans import queries_logs
+from hushframe.operators import requests as Q
+from hushframe.plans import pipelines, queries_admission, queries_logs
 from hushframe.plans.queries_text import RULES, has
+from hushframe.sources import logs
 from hushframe.streaming import jobs
 from hushframe.views import VIEWS
 
@@ -18,8 +20,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or in a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder in the shared checkpoint folder, or in a temporary one where none is named and Spark is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base}/stream-{uuid.uuid4()}"
 
 
@@ -31,13 +36,13 @@ def stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 def _stalls(spark: SparkSession, sf: str) -> DataFrame:
     columns = VIEWS["actions"][2]
-    actions = stream(spark, sf, "events").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    actions = stream(spark, sf, "events").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()], "CAST(ts AS TIMESTAMP) AS ts")
     return jobs.run_to_table(jobs.stream_stalls(actions), folder(spark))
 
 
 def _state(spark: SparkSession, sf: str) -> DataFrame:
     patch = F.expr("concat('{\"kind\":\"', CASE WHEN event_type = 'signup' THEN 'start' WHEN event_type = 'error' AND event_id % 9 = 0 THEN 'finish' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'stop' ELSE 'progress' END, '\",\"stage\":\"', event_type, '\"}')")
-    patches = stream(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), patch.alias("patch"))
+    patches = stream(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), patch.alias("patch"))
     return jobs.run_to_table(jobs.stream_run_state(patches), folder(spark), "update")
 
 
@@ -53,8 +58,51 @@ def _pii(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_to_table(docs.select("doc_id", F.array_join("pii_types", ",").alias("types"), F.length("text").alias("kept_chars")), folder(spark))
 
 
+def _written(spark: SparkSession, base: str) -> DataFrame:
+    """What both sinks of admission hold: request_id, and the code of rejected ones."""
+    accepted = spark.read.schema("request_id long, body string").parquet(f"{base}/accepted")
+    quarantine = spark.read.schema("request_id long, error_code string").parquet(f"{base}/quarantine")
+    return accepted.where("body is not null").select("request_id", F.lit(None).cast("string").alias("error_code")).unionByName(quarantine.select("request_id", "error_code"))
+
+
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    base = folder(spark)
+    logs.write_split(Q.admit(queries_admission.requests(spark, sf), keep_body=True), f"{base}/accepted", f"{base}/quarantine")
+    return _written(spark, base)
+
+
+def _admitted(spark: SparkSession, sf: str) -> DataFrame:
+    base = folder(spark)
+    orders = stream(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.expr(queries_admission.BODY).alias("body"))
+    jobs.run_admission(orders, f"{base}/accepted", f"{base}/quarantine", f"{base}/state").awaitTermination()
+    return _written(spark, base)
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests written as lines of JSON and read again."""
+    base = folder(spark)
+    queries_admission.requests(spark, sf).select("body").write.text(f"{base}/lines")
+    return Q.admit(logs.read_requests(spark, f"{base}/lines")).groupBy("status", "error_code").count().select("status", "error_code", F.col("count").alias("n"))
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    rows = logs.read_log(spark, f"{sf}/events.parquet", "user_id long, event_id long, event_type string")
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Arriving pages scanned, flagged, ranked and sanitised, batch by batch."""
+    goal = "open the article about the and of"
+    return jobs.run_to_table(stream(spark, sf, "pages").select("page_id", "html"), folder(spark), each=lambda df: pipelines.sanitize_pages(df, goal).nodes)
+
+
 _TYPES = f"list_filter([{', '.join(f'CASE WHEN {has(k)} THEN {k!r} END' for k in RULES)}], lambda x: x IS NOT NULL)"
 QUERIES["t1_stream_stalls"] = (_stalls, queries_logs.QUERIES["r8_detect_stalls"][1])
 QUERIES["t2_stream_run_state"] = (_state, None)
 QUERIES["t3_stream_frame_tokens"] = (_tokens, None)
 QUERIES["t5_stream_pii"] = (_pii, f"SELECT doc_id, array_to_string({_TYPES}, ',') AS types, CASE WHEN len({_TYPES}) = 0 THEN CAST(length(text) AS INT) END AS kept_chars FROM documents")
+QUERIES["t4_admission_in_row"] = (_admitted, f"{queries_admission.SQL_REQUESTS} SELECT request_id, error_code FROM decided")
+QUERIES["s5_write_split"] = (_split, f"{queries_admission.SQL_REQUESTS} SELECT request_id, error_code FROM decided")
+QUERIES["s4_read_requests"] = (_lines, f"{queries_admission.SQL_REQUESTS} SELECT status, error_code, count(*) AS n FROM decided GROUP BY status, error_code")
+QUERIES["s6_read_log"] = (_log, "SELECT user_id, event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id, event_type")
+QUERIES["t5_stream_pages"] = (_pages, None)

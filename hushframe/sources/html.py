@@ -15,92 +15,157 @@ IMPLIED_END = {"li": {"li"}, "p": {"p"}, "option": {"option"}, "tr": {"tr", "td"
 #: Tags that end an open paragraph.
 BLOCKS = {"div", "ul", "ol", "table", "article", "footer", "nav", "section", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "main", "pre", "blockquote", "p"}
 UNREAD = {"script", "style", "noscript", "template", "title"}
+#: The mark of an element whose shadow root cannot be read, and the name under which an open shadow root is held.
+CLOSED_HOST, SHADOW = "data-closed-shadow-host", "#shadow"
 
 SCHEMA = "page_id long, kind string, node_idx int, parent_idx int, tag string, attrs map<string,string>, visible boolean, selector string, field_values array<string>, selected string, text string, agent_id string, parse_error string"
 
 
-class _Node:
-    __slots__ = ("attrs", "children", "idx", "parent", "tag", "texts", "visible")
+class _Root:
+    """A tree of its own: the document or the shadow root of a host. Its text lies end to end in pieces."""
+
+    def __init__(self, host: _Node | None = None, hidden: bool = False):
+        self.host, self.hidden = host, hidden
+        self.nodes: list[_Node] = []
+        self.pieces: list[str] = []
+        self.size = 0
+        self.texts: list[tuple[_Node, str]] = []
+        self.counts: dict[str, int] = {}
 
-    def __init__(self, idx: int, tag: str, attrs: dict[str, str], parent: _Node | None):
-        self.idx, self.tag, self.attrs, self.parent, self.children, self.texts = idx, tag, attrs, parent, [], []
+
+class _Node:
+    """An element. start and stop are places in its root's text; nth counts siblings of its tag from 1."""
+
+    __slots__ = ("attrs", "children", "counts", "idx", "nth", "parent", "root", "selector", "shadow", "start", "stop", "tag", "visible")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None, root: _Root):
+        self.tag, self.attrs, self.parent, self.root = tag, attrs, parent, root
+        self.children: list[_Node] = []
+        self.counts: dict[str, int] = {}
+        self.shadow: _Root | None = None
+        self.idx, self.selector, self.start, self.stop = -1, "", root.size, -1
+        owner = root.counts if parent is None or parent is root.host else parent.counts
+        self.nth = owner[tag] = owner.get(tag, 0) + 1
         style = attrs.get("style", "").replace(" ", "").lower()
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or tag == "input" and attrs.get("type", "").lower() == "hidden"
         self.visible = not (hidden or "display:none" in style or "visibility:hidden" in style) and (parent is None or parent.visible)
 
 
 class _Tree(HTMLParser):
+    """Open elements, each with the root that what it holds goes to."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[_Node] = []
-        self.text: list[tuple[_Node, str]] = []
-        self.open: list[_Node] = []
+        self.roots = [_Root()]
+        self.open: list[tuple[str, _Node | None, _Root]] = []
+
+    def _pop(self) -> str:
+        tag, node, _ = self.open.pop()
+        if node is not None and node.stop < 0 and tag == node.tag:
+            node.stop = node.root.size
+        return tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         closes = IMPLIED_END.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        while self.open and self.open[-1].tag in closes:
-            self.open.pop()
-        parent = self.open[-1] if self.open else None
+        while self.open and self.open[-1][0] in closes:
+            self._pop()
+        parent, root = (self.open[-1][1], self.open[-1][2]) if self.open else (None, self.roots[0])
         values: dict[str, str] = {}
         for k, v in attrs:
             values.setdefault(k, v or "")
-        node = _Node(len(self.nodes), tag, values, parent)
-        self.nodes.append(node)
-        if parent:
-            parent.children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        mode = values.get("shadowrootmode", "").lower()
+        if tag == "template" and parent is not None and mode in ("open", "closed") and parent.shadow is None and not root.hidden:
+            parent.shadow = _Root(parent, hidden=mode == "closed")
+            if mode == "closed":
+                parent.attrs = {**parent.attrs, CLOSED_HOST: "1"}
+            else:
+                self.roots.append(parent.shadow)
+            self.open.append((SHADOW, parent, parent.shadow))
+            return
+        node = _Node(tag, values, parent, root)
+        if not root.hidden:
+            root.nodes.append(node)
+            if parent is not None and parent.root is root:
+                parent.children.append(node)
+        if tag in VOID:
+            node.stop = node.start
+        else:
+            self.open.append((tag, node, _Root(node, hidden=True) if tag == "template" else root))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if self.open and self.open[-1].tag == tag and tag not in VOID:
-            self.open.pop()
+        if self.open and self.open[-1][0] == tag and tag not in VOID:
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.tag == tag for n in self.open):
-            while self.open.pop().tag != tag:
+        names = {tag, SHADOW} if tag == "template" else {tag}
+        if any(t in names for t, _, _ in self.open):
+            while self._pop() not in names:
                 pass
 
     def handle_data(self, data: str) -> None:
-        if self.open:
-            self.open[-1].texts.append(data)
+        if self.open and not self.open[-1][2].hidden:
+            _, node, root = self.open[-1]
+            root.pieces.append(data)
+            root.size += len(data)
             if data.strip():
-                self.text.append((self.open[-1], data))
-
-
-def _content(node: _Node) -> str:
-    return "".join(node.texts + [_content(c) for c in node.children])
+                root.texts.append((node, data))
+
+    def finish(self) -> None:
+        """Close what is open; number the elements, the document's before those of shadow roots, and name them by selectors."""
+        self.close()
+        while self.open:
+            self._pop()
+        n, k = 0, 0
+        order = [self.roots[0]]
+        while k < len(order):
+            root = order[k]
+            k += 1
+            for node in root.nodes:
+                node.idx, n = n, n + 1
+                node.selector = _selector(node)
+                if node.shadow is not None and not node.shadow.hidden:
+                    order.append(node.shadow)
+        self.roots = order
 
 
 def _identifier(name: str) -> str:
-    return "".join(c if c.isalnum() or c in "-_" or ord(c) > 127 else f"\\{c}" for c in name)
+    """The name as an identifier of a selector."""
+    out = [c if c.isalnum() or c in "-_" or ord(c) > 127 else f"\\{ord(c):x} " if ord(c) < 32 or ord(c) == 127 else f"\\{c}" for c in name]
+    digit = 1 if name[:1] == "-" else 0
+    if name[digit : digit + 1].isdigit() and name[digit].isascii():
+        out[digit] = f"\\{ord(name[digit]):x} "
+    return "\\-" if name == "-" else "".join(out)
 
 
 def _selector(node: _Node) -> str:
-    path = []
-    at: _Node | None = node
-    while at is not None:
-        if at.attrs.get("id"):
-            path.append(f"#{_identifier(at.attrs['id'])}")
-            break
-        if at.tag == "html":
-            break
-        twins = [c for c in at.parent.children if c.tag == at.tag] if at.parent else [at]
-        path.append(at.tag if len(twins) == 1 else f"{at.tag}:nth-of-type({twins.index(at) + 1})")
-        at = at.parent
-    return " > ".join(reversed(path)) or node.tag
-
-
-def _values(node: _Node) -> tuple[list[str], str | None]:
+    """An element's path from the nearest one with an id; a parent's is known when its children's are sought."""
+    root, parent = node.root, node.parent
+    top = parent is None or parent is root.host
+    before = f"{root.host.selector} ::shadow " if root.host is not None else ""
+    if node.attrs.get("id"):
+        return f"{before}#{_identifier(node.attrs['id'])}"
+    if node.tag == "html":
+        return f"{before}html"
+    same = (root.counts if top else parent.counts)[node.tag]
+    part = node.tag if same == 1 or parent is None else f"{node.tag}:nth-of-type({node.nth})"
+    if top:
+        return before + part
+    if parent.tag == "html" and not parent.attrs.get("id"):
+        return before + part
+    return f"{parent.selector} > {part}"
+
+
+def _values(node: _Node, whole: str) -> tuple[list[str], str | None]:
     """What a field shows: its value and placeholder, or a select's chosen option."""
     if node.tag == "select":
         options = [n for n in node.children if n.tag == "option"] + [o for g in node.children if g.tag == "optgroup" for o in g.children if o.tag == "option"]
         chosen = next((o for o in options if "selected" in o.attrs), options[0] if options else None)
-        text = _content(chosen).strip() if chosen else None
+        text = whole[chosen.start : chosen.stop].strip() if chosen else None
         return ([text] if text else []), text
     if node.tag not in ("input", "textarea"):
         return [], None
-    value = _content(node) if node.tag == "textarea" else node.attrs.get("value", "")
+    value = whole[node.start : node.stop] if node.tag == "textarea" else node.attrs.get("value", "")
     return [v for v in (value, node.attrs.get("placeholder", "")) if v], None
 
 
@@ -108,21 +173,29 @@ def _rows(page_id: int, html: str | None) -> list[tuple]:
     tree = _Tree()
     try:
         tree.feed(html or "")
-        tree.close()
+        tree.finish()
+        out, k = [], 0
+        for root in tree.roots:
+            whole = "".join(root.pieces)
+            for n in root.nodes:
+                values, selected = _values(n, whole)
+                out.append((page_id, "element", n.idx, n.parent.idx if n.parent else None, n.tag, n.attrs, n.visible, n.selector, values, selected, whole[n.start : n.stop].strip(), n.attrs.get("data-agent-id"), None))
+        for root in tree.roots:
+            for n, t in root.texts:
+                if n.tag not in UNREAD:
+                    out.append((page_id, "text", k, n.idx, n.tag, {}, n.visible, n.selector, [], None, t.strip(), n.attrs.get("data-agent-id"), None))
+                    k += 1
+        return out
     except Exception as e:
         return [(page_id, "error", 0, None, None, None, None, None, None, None, None, None, type(e).__name__)]
-    out = []
-    for n in tree.nodes:
-        values, selected = _values(n)
-        out.append((page_id, "element", n.idx, n.parent.idx if n.parent else None, n.tag, n.attrs, n.visible, _selector(n), values, selected, _content(n).strip(), n.attrs.get("data-agent-id"), None))
-    kept = [(n, t) for n, t in tree.text if n.tag not in UNREAD]
-    for k, (n, t) in enumerate(kept):
-        out.append((page_id, "text", k, n.idx, n.tag, {}, n.visible, _selector(n), [], None, t.strip(), n.attrs.get("data-agent-id"), None))
-    return out
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Rows of SCHEMA for pages (page_id, html): kind element, text or error. A null page has no rows."""
+    """Rows of SCHEMA for pages (page_id, html): kind element, text or error. A null page has no rows.
+
+    Elements come in document order, those of open declarative shadow roots after all others; a closed one is not read and
+    marks its host CLOSED_HOST. What a plain template holds is not part of the page. An element's text is all that it holds.
+    """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

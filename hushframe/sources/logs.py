@@ -23,7 +23,9 @@ def read_log(spark: SparkSession, path: str, schema: str, stream: bool = False)
     return (spark.readStream if stream else spark.read).schema(schema).parquet(path)
 
 
-def write_split(requests: DataFrame, decisions: DataFrame, accepted: str, quarantine: str, mode: str = "append") -> None:
-    """Accepted requests whole, rejected ones as QUARANTINE columns only."""
-    requests.join(decisions.where("status = 200").select("request_id"), "request_id", "left_semi").write.mode(mode).parquet(accepted)
-    decisions.where("status <> 200").select(*QUARANTINE).write.mode(mode).parquet(quarantine)
+def write_split(decided: DataFrame, accepted: str, quarantine: str, mode: str = "append") -> None:
+    """Accepted requests (request_id, body) whole, rejected ones as QUARANTINE columns only; decided once for both."""
+    decided = decided.persist()
+    decided.where("status = 200").select("request_id", "body").write.mode(mode).parquet(accepted)
+    decided.where("status <> 200").select(*QUARANTINE).write.mode(mode).parquet(quarantine)
+    decided.unpersist()

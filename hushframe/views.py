@@ -16,7 +16,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
         "type": "CASE WHEN p_size % 5 = 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'tel' WHEN 2 THEN 'text' ELSE 'password' END END",
         "text": "CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 9 = 1 THEN '  ' ELSE p_name END", **_BOX, "sensitive": "p_partkey % 13 = 0",
     }),
-    "regions": ("part", "p_partkey % 3 = 0 AND p_partkey % 11 <> 0", {
+    "regions": ("part", "true", {
         "request_id": "CAST(substr(p_brand, 7) AS BIGINT)", "region_idx": "CAST(p_partkey AS INT)", "type": "CASE WHEN p_partkey % 2 = 0 THEN 'email' ELSE 'weird' END",
         "x": f"{_X} + 5", "y": f"{_Y} + 2", "w": f"{_W} + 10", "h": f"{_H} + 10",
         "agent_id": "CASE WHEN p_partkey % 12 = 0 THEN concat('agent-', CAST(p_partkey AS STRING)) END", "given": "CASE p_partkey % 9 WHEN 0 THEN 'vision' WHEN 3 THEN 'dom' END",
@@ -34,7 +34,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
         "value": "CASE WHEN event_type = 'purchase' THEN concat('v', CAST(event_id % 2 AS STRING)) WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'x' END",
         "profile_field": "CASE WHEN event_type = 'signup' THEN CASE event_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'full_name' END WHEN event_type = 'click' AND event_id % 97 = 0 THEN 'email' END",
     }),
-    "run_nodes": ("events", "event_id % 3 = 0", {
+    "run_nodes": ("events", "true", {
         "run_id": "user_id", "agent_id": "concat('agent-', CAST(CAST(floor(value) AS BIGINT) % 3 AS STRING))",
     }),
     "marks": ("events", "true", {
