@@ -51,3 +51,14 @@ OUTCOMES = {
     "failed": ("Failed: unexpected error", "error"),
 }
 PROFILE_PHRASES = {"full_name": "full name", "email": "email", "phone": "phone"}
+
+# Backends whose names messages hold, and what is said of an error class or of an exception that a backend's message names.
+BACKENDS = ["Gemini", "Claude", "Ollama"]
+ERROR_TEXTS = {
+    "no_response": "nothing answered", "network_error": "{url} cannot be reached", "SERVER_URL_NOT_PERMITTED": "{url} is not an allowed host", "STOPPED": "stopped on request",
+    "PII_LEAK_DETECTED": "refused: personal data left in the request", "VLM_RESPONSE_SCHEMA_INVALID": "the model's answer has the wrong form", "http_422": "refused: malformed request (422)",
+}
+BACKEND_TEXTS = {
+    "RateLimited": "too many calls, try again later or use another key", "CredentialsMissing": "no key is set on the server", "ModelNotFound": "the model's name is not known there",
+    "ConnectionError": "the server cannot reach it", "APIError": "it reported an error of its own", "": "the call failed",
+}
