@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators import requests as Q
 from hushframe.plans import pipelines
+from hushframe.views import spread
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -50,7 +51,7 @@ BODY = f"replace({_WHOLE}, ',}}', '}}')"
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("request_id"), F.expr(BODY).alias("body"))
+    return spread(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderpriority")).select(F.col("o_orderkey").alias("request_id"), F.expr(BODY).alias("body"))
 
 
 _BAD_SIDE = " OR ".join(f"NOT coalesce(json_type(v, '$.bbox.{c}') IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') OR json_type(v, '$.bbox.{c}') = 'VARCHAR' AND TRY_CAST(v ->> '$.bbox.{c}' AS DOUBLE) IS NOT NULL, false)" for c in "xywh")

@@ -12,12 +12,13 @@ from hushframe.operators import pages as P
 from hushframe.plans import pipelines
 from hushframe.plans.queries_text import RULES, has
 from hushframe.sources import html as H
+from hushframe.views import spread
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"))
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
