@@ -38,9 +38,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters on whose kinds (letter, number, sign) all versions of Unicode agree: Latin, Greek, Cyrillic, common signs, kana and Han.
 _USUAL = "!-~¡-ɏΑ-ΡΣ-ώЀ-ѿ‐-‧‰-⁞€™ぁ-ゖァ-ヺ一-龥"
 _RARE = re.compile(rf"[^{_USUAL}\t\n\r ]")
-_LONG_SPACE = re.compile(r"[\t\n\r ]{401}")
-#: Characters of a plain text's longest word.
-LONGEST_WORD = 400
+#: Characters of a plain text's longest word or white space.
+LONGEST_RUN = 400
+_LONG_SPACE = re.compile(rf"[\t\n\r ]{{{LONGEST_RUN + 1}}}")
 
 
 class Encoder:
@@ -62,9 +62,13 @@ class Encoder:
         self.quick = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def plain(self, text: str) -> bool:
-        if any(x in text for x in self.special) or _RARE.search(text) or _LONG_SPACE.search(text):
+        if any(x in text for x in self.special) or _RARE.search(text):
             return False
-        return len(text) <= LONGEST_WORD or max(map(len, text.split()), default=0) <= LONGEST_WORD
+        if len(text) <= LONGEST_RUN:
+            return True
+        words = list(map(len, text.split()))
+        spare = len(text) - sum(words) - len(words)  # white space beyond one character a word
+        return max(words, default=0) <= LONGEST_RUN and (spare < LONGEST_RUN - 1 or not _LONG_SPACE.search(text))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -80,15 +84,16 @@ def encoder(path: str) -> Encoder:
 
 def cut_places(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where n tokens may be cut, ascending from 0 to n, and the penalty of each."""
-    natural = np.union1d(np.union1d(doc_ends, sentence_ends), [0, n])
-    gaps = np.diff(natural)
-    extra = [np.arange(a + LONG_SENTENCE, a + g, LONG_SENTENCE) for a, g in zip(natural[:-1][gaps > LONG_SENTENCE], gaps[gaps > LONG_SENTENCE], strict=True)]
-    places = np.union1d(natural, np.concatenate(extra)) if extra else natural
-    penalty = np.full(len(places), INSIDE_PENALTY)
-    penalty[np.isin(places, sentence_ends)] = SENTENCE_PENALTY
-    penalty[np.isin(places, doc_ends)] = 0
-    penalty[[0, -1]] = 0
-    return places, penalty
+    kind = np.zeros(n + 1, np.uint8)
+    kind[sentence_ends] = 1
+    kind[doc_ends] = 2
+    kind[[0, n]] = 2
+    natural = np.flatnonzero(kind)
+    many = (np.diff(natural) - 1) // LONG_SENTENCE  # cuts inside each stretch
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 1
+    kind[np.repeat(natural[:-1], many) + nth * LONG_SENTENCE] = 3
+    places = np.flatnonzero(kind)
+    return places, np.array([0, SENTENCE_PENALTY, 0, INSIDE_PENALTY])[kind[places]]
 
 
 def best_windows(places: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:

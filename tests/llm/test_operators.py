@@ -452,6 +452,12 @@ def test_windows_are_optimal():
         assert cuts[0] == 0 and cuts[-1] == places[-1] and all(0 < b - a <= limit for a, b in zip(cuts, cuts[1:], strict=False)) and cost(cuts) == best[-1]
 
 
+def test_cut_places():
+    places, penalty = packing.cut_places(600, np.array([100, 500]), np.array([50, 100, 230]))
+    assert places.tolist() == [0, 50, 100, 228, 230, 358, 486, 500, 600] and penalty.tolist() == [0, 8, 0, 64, 8, 64, 64, 0, 0]
+    assert packing.cut_places(1, np.array([1]), np.array([], int))[0].tolist() == [0, 1]
+
+
 def pieces_hold(rows, ids):
     whole, windows = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
