@@ -49,7 +49,8 @@ def _state(spark: SparkSession, sf: str) -> DataFrame:
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     events = stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     told = events.where("event_type = 'view'").select(F.col("user_id").alias("page_id"), F.col("event_id").cast("string").alias("token"), "ts")
-    reports = events.where("event_type = 'view' and event_id % 3 <> 0").select(F.col("user_id").alias("page_id"), F.col("event_id").cast("string").alias("token"), F.col("event_id").alias("frame_id"), (F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, 0, event_id % 9)")).alias("report_ts"))
+    token = F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string"))  # some reports come without a token
+    reports = events.where("event_type = 'view'").select(F.col("user_id").alias("page_id"), token.alias("token"), F.col("event_id").alias("frame_id"), (F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, 0, event_id % 9)")).alias("report_ts"))
     return jobs.run_to_table(jobs.stream_frame_tokens(told, reports), folder(spark))
 
 
