@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -410,7 +411,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(i)
                 light.append(have is not None)
         some = batch.take(pa.array(keep, pa.int64()))
-        text = pa.compute.if_else(pa.array(light, pa.bool_()), pa.scalar(None, pa.string()), some.column("text"))
+        text = pc.if_else(pa.array(light, pa.bool_()), pa.scalar(None, pa.string()), some.column("text"))
         yield pa.RecordBatch.from_arrays([some.column("batch"), some.column("k1"), some.column("k2"), some.column("doc_id"), text], names=["batch", "k1", "k2", "doc_id", "text"])
 
 
