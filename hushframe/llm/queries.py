@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, reshard, spelling_variants, suffix_dedup, token_counts
+from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, reshard, spelling_variants, suffix_dedup, token_counts, vector_links
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_diagonal_voting": license_scan.op8_diagonal_voting,
         "op9_rare_seed_alignment": decontaminate.op9_rare_seed_alignment,
         "op10_perfect_hash_lines": line_dedup.op10_perfect_hash_lines,
+        "op11_tiled_principal_links": vector_links.op11_tiled_principal_links,
         "op12_difference_cover_runs": periodic_runs.op12_difference_cover_runs,
         "op13_variable_gram_variants": spelling_variants.op13_variable_gram_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_distribution_divergence": quality_rules.ORACLE, "op7_logarithmic_suffix_arrays": suffix_dedup.ORACLE, "op10_perfect_hash_lines": line_dedup.ORACLE}
+    return {
+        "op2_distribution_divergence": quality_rules.ORACLE,
+        "op7_logarithmic_suffix_arrays": suffix_dedup.ORACLE,
+        "op10_perfect_hash_lines": line_dedup.ORACLE,
+        "op11_tiled_principal_links": vector_links.ORACLE,
+    }
