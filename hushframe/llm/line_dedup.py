@@ -111,17 +111,19 @@ def _levels(sizes: bytes, bits: bytes) -> list[np.ndarray]:
     return out
 
 
-def _probe(references: pd.DataFrame, arrays: pd.DataFrame, min_docs: int) -> pd.DataFrame:
-    if references.empty or arrays.empty:
-        return references.iloc[:0][["doc_id", "text_key", "line_no"]]
-    row = arrays.iloc[0]
+def _probe(references: pa.Table, arrays: pa.Table, min_docs: int) -> pa.Table:
+    """The references whose line goes. Ids stay 64-bit integers, so that none is rounded beside a null."""
+    out = references.select(["doc_id", "text_key", "line_no"])
+    if not references.num_rows or not arrays.num_rows:
+        return out.slice(0, 0)
+    row = arrays.slice(0, 1).to_pylist()[0]
     fingerprints, counts, last = (np.frombuffer(row[c], np.int64) for c in ("fingerprints", "counts", "last"))
-    place = probe_hash(_levels(row["sizes"], row["bits"]), references["lo"].to_numpy())
+    place = probe_hash(_levels(row["sizes"], row["bits"]), references.column("lo").to_numpy())
     at = np.maximum(place, 0)
-    known = (place >= 0) & (fingerprints[at] == references["hi"].to_numpy()) & (counts[at] >= min_docs)
-    ids = references["doc_id"]
-    kept = (ids.fillna(-1).to_numpy(np.int64) == last[at]) & ids.notna().to_numpy()
-    return references.loc[known & ~kept, ["doc_id", "text_key", "line_no"]]
+    known = (place >= 0) & (fingerprints[at] == references.column("hi").to_numpy()) & (counts[at] >= min_docs)
+    ids = references.column("doc_id")
+    kept = (ids.fill_null(0).to_numpy() == last[at]) & ids.is_valid().to_numpy()
+    return out.filter(pa.array(known & ~kept))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], gone_lines: str) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def repeated_lines(references: DataFrame, min_docs: int) -> DataFrame:
     load = cut(probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")))  # a row a shard
     arrays = arrays.join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     probes = probes.join(load, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "line_no"), F.col("parts")).cast("int")).drop("parts")
-    return probes.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInPandas(lambda a, b: _probe(a, b, min_docs), "doc_id long, text_key long, line_no int")
+    return probes.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInArrow(lambda a, b: _probe(a, b, min_docs), "doc_id long, text_key long, line_no int")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
