@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import SPACES, clean_text, cut, fresh, read_documents
+from hushframe.llm.common import SPACES, clean_text, cut, read_documents
 
 #: Common words by language; fixed values.
 COMMON_WORDS = {
@@ -121,9 +121,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     compares to nothing and rejects nothing. A null text has no words and fails the base rule; a null language counts as
     OTHER. Repeated rows are judged each, alike. An empty table gives no rows. Extra columns are ignored.
     """
-    rows = docs.select("doc_id", "text", "lang")
-    rows = histograms(base_counts(rows)).withColumn("text_key", F.xxhash64(clean_text())).drop("text", "words", "lang")
-    rows = cut(rows)
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64(clean_text()).alias("text_key"))
+    return _judged(cut(histograms(base_counts(rows)).drop("text", "words", "lang")), labels)
+
+
+def _judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with histograms, with distances and kept instead."""
     rows = rows.join(F.broadcast(references(rows, labels)), "language", "left")  # a row for each list of COMMON_WORDS and one more
     rows = rows.withColumn("char_distance", F.round(distance("char_counts", "all_char_counts"), 6)).withColumn("word_distance", F.round(distance("word_counts", "all_word_counts"), 6))
     far = (F.col("n_words") >= COMPARED_WORDS) & ((F.coalesce("char_distance", F.lit(0.0)) > CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_DISTANCE))
@@ -131,12 +134,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_sound(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that judge keeps, with all their columns."""
-    names = fresh(docs, "verdict_id", "verdict_key", "row_key")
-    verdicts = judge(docs, labels).where("kept").select(F.col("doc_id").alias(names["verdict_id"]), F.col("text_key").alias(names["verdict_key"]), F.col("language").alias("verdict_language")).distinct()
-    keyed = docs.withColumn(names["row_key"], F.xxhash64(clean_text()))
-    same = F.col("doc_id").eqNullSafe(F.col(names["verdict_id"])) & (F.col(names["row_key"]) == F.col(names["verdict_key"])) & (language_key() == F.col("verdict_language"))
-    return keyed.join(verdicts, same, "left_semi").drop(names["row_key"])
+    """The documents that judge keeps, with all their columns. A row is judged where it stands: no text is shuffled.
+
+    The row travels as one struct, so that its columns may have any names.
+    """
+    rows = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return _judged(cut(histograms(base_counts(rows)).drop("text", "words", "lang")), labels).where("kept").select("row.*")
 
 
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
