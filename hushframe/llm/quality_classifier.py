@@ -21,9 +21,8 @@ from hushframe.llm.common import LOWER_TABLE, byte_class, mix, read_documents, s
 
 #: Bound of the labelled documents that the models are fitted on, of which every HELD_OUT-th calibrates.
 LABELLED, HELD_OUT = 4000, 4
-#: Rounds of exchange, and pseudo-labels that a model gives in each, split between the classes as the labels are; of SPARE
-#: times as many, those without a label of their own are taken.
-ROUNDS, GIVEN, SPARE = 3, 200, 4
+#: Rounds of exchange, and pseudo-labels that a model gives in each, split between the classes as the labels are.
+ROUNDS, GIVEN = 3, 200
 #: A pseudo-label must be at least this sure.
 SURE = 0.9
 #: Hashed words, languages and sources.
@@ -160,44 +159,55 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("quality"), part.column("doc_id"), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())], names=["quality", "doc_id", "a", "b"])
 
 
-SUREST = "view int, label int, sure double, doc_id long, x binary"
+SUREST = "doc_id long, view int, label int, sure double"
 
 
-def _surest(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray], used: list[set[int]], many: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's documents those that each view is surest of, with the other view's features; many of each label at most."""
-    best: dict[tuple[int, int], list[tuple[float, int, bytes]]] = {(v, label): [] for v in range(2) for label in (0, 1)}
+def _sure(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each view and label that the view is SURE of in a document with an id."""
     for batch in batches:
         for part in slices(batch):
-            views, ids = _views(part), part.column("doc_id").to_pylist()
-            for (v, label), rows in best.items():
-                p = sigmoid(log_odds(views[v], weights[v]))
-                sure = p if label else 1 - p
-                floor = rows[-1][0] if len(rows) >= many[label] else SURE
-                rows += [(float(sure[k]), ids[k], views[1 - v][k].tobytes()) for k in np.flatnonzero(sure >= floor).tolist() if ids[k] is not None and ids[k] not in used[1 - v]]
-                rows.sort(key=lambda r: (-r[0], r[1], r[2]))
-                del rows[many[label] :]
-    out = [(v, label, *r) for (v, label), rows in best.items() for r in rows]
-    columns = list(zip(*out, strict=True)) if out else [[]] * 5
-    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["view", "label", "sure", "doc_id", "x"])
+            named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for v, x in enumerate(_views(part)):
+                p = sigmoid(log_odds(x, weights[v])).astype(float)
+                for label, sure in enumerate((1 - p, p)):
+                    at = np.flatnonzero((sure >= SURE) & named)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(sure[at])], names=["doc_id", "view", "label", "sure"])
+
+
+def surest(docs: DataFrame, known: DataFrame, weights: list[np.ndarray], used: list[set[int]], wanted: list[int]) -> list[tuple[int, int, int]]:
+    """(view, label, doc_id) that each view is surest of, wanted of each label at most.
+
+    Documents with a label in known, and those of which the other view has been told before, are left out before any is
+    ranked; a document counts once, however often it is repeated, by what the view is least sure of in its texts.
+    """
+    rows = docs.select(*COLUMNS).mapInArrow(lambda b: _sure(b, weights), SUREST).join(known.select("doc_id"), "doc_id", "left_anti")
+    told = [(d, 1 - v) for v, ids in enumerate(used) for d in sorted(ids)]  # ROUNDS * GIVEN for a view at most
+    if told:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(told, "doc_id long, view int")), ["doc_id", "view"], "left_anti")
+    rows = rows.groupBy("doc_id", "view", "label").agg(F.min("sure").alias("sure")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    most = F.when(F.col("label") == 1, wanted[1]).otherwise(wanted[0])
+    for key in (["view", "label", "part"], ["view", "label"]):  # the parts' best before the best of all
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("sure").desc(), "doc_id"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    return sorted((r.view, r.label, r.doc_id) for r in rows.select("view", "label", "doc_id").collect())  # 2 * GIVEN rows or so
+
+
+def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in _views(part))], names=["doc_id", "a", "b"])
 
 
 def exchange(docs: DataFrame, known: DataFrame, weights: list[np.ndarray], used: list[set[int]], share: float) -> list[tuple[int, int, int, np.ndarray]]:
     """(view, label, doc_id, features in that view) of the documents that the other view is surest of among all without a label."""
     wanted = [max(round(GIVEN * (1 - share)), 1), max(round(GIVEN * share), 1)]
-    many = (SPARE * wanted[0], SPARE * wanted[1])
-    rows = docs.select(*COLUMNS).mapInArrow(lambda b: _surest(b, weights, used, many), SUREST)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    for key in (["view", "label", "part"], ["view", "label"]):  # the parts' best before the best of all
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("sure").desc(), "doc_id", "x"))
-        rows = rows.withColumn("rank", rank).where(F.col("rank") <= max(many))
-    rows = rows.join(known.select("doc_id"), "doc_id", "left_anti").collect()  # 4 * SPARE * GIVEN rows at most
-    taken: dict[tuple[int, int], dict[int, np.ndarray]] = {}
-    for r in sorted(rows, key=lambda r: r["rank"]):
-        mine = taken.setdefault((1 - r.view, r.label), {})
-        if len(mine) < wanted[r.label]:
-            mine.setdefault(r.doc_id, np.frombuffer(r.x, np.float32))
-    return [(v, label, doc_id, x) for (v, label), mine in sorted(taken.items()) for doc_id, x in mine.items()]
+    chosen = surest(docs, known, weights, used, wanted)
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame([(d,) for d in sorted({d for _, _, d in chosen})], "doc_id long")
+    rows = docs.select(*COLUMNS).join(F.broadcast(ids), "doc_id").mapInArrow(_view_rows, "doc_id long, a binary, b binary").groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("x"))
+    features = {r.doc_id: r.x for r in rows.collect()}  # a row for each id chosen
+    return [(1 - v, label, d, np.frombuffer(features[d]["ab"[1 - v]], np.float32)) for v, label, d in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:

@@ -191,6 +191,19 @@ def test_distance_is_jensen_shannon(spark):
         assert a.sum() == 0 or abs(got - want) < 1e-9
 
 
+def test_sound_documents_with_every_working_name_taken(spark, sf_dir, texts):
+    """Rows judged in place are those that judge keeps, whatever the columns are called."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    names = """row language words hashes windows sorted twins lines n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed common own char_counts word_counts
+        all_char_counts all_word_counts char_distance word_distance kept text_key verdict_id verdict_key verdict_language row_key""".split()
+    named = docs.select("*", *[F.lit(n).alias(n) for n in names], F.lit("dotted").alias("a.b"))
+    out = quality_rules.keep_sound(named, labels)
+    rows = out.collect()
+    assert out.columns == named.columns and all(r[n] == n for r in rows for n in names)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect()) and 0 < len(rows) < len(texts)
+    assert quality_rules.keep_sound(docs.unionByName(docs), labels).count() == 2 * len(rows)
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -214,6 +227,34 @@ def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
     assert len(given) == len(set(given)) > 20 and not known & {d for _, d in given} and len(seen) == quality_classifier.ROUNDS
 
 
+def test_few_documents_without_labels_still_get_pseudo_labels(spark, monkeypatch):
+    """Neither surer documents that have labels nor copies of one document keep others out of the exchange."""
+    docs = [(k, f"{'clear words of good prose follow here' if k % 2 else '### junk $$$ 000 ### ||'} {k}", "en", "ab"[k % 2], 40) for k in range(4400)]
+    docs += [(4001, docs[4001][1], "en", "b", 40)] * 900
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(k, k % 2, 0) for k in range(4000)], "doc_id long, quality int, toxic int")
+    seen, real = [], quality_classifier.exchange
+    monkeypatch.setattr(quality_classifier, "exchange", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert quality_classifier.fit(docs, labels) is not None
+    given = [(v, d) for part in seen for v, _, d, _ in part]
+    assert len(seen) == 3 and len(set(given)) == len(given) and {d for _, d in given} <= set(range(4000, 4400))
+    assert [sum(v == w for v, *_ in part) for part in seen[:2] for w in range(2)] == [200] * 4  # the third round has what is left: none
+
+
+def test_exchange_equals_a_ranking_of_all_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*quality_classifier.COLUMNS).toArrow().combine_chunks().to_batches()[0]
+    views, rng = quality_classifier._views(rows), np.random.default_rng(2)
+    weights = [np.append(rng.normal(size=x.shape[1]) * 3, 0.5) for x in views]
+    known, used, wanted = {*range(0, 1000, 3)}, [{1, 4}, {7}], [13, 29]
+    ids, expected = rows.column("doc_id").to_pylist(), []
+    for v, x in enumerate(views):
+        p = quality_classifier.sigmoid(quality_classifier.log_odds(x, weights[v]))
+        for label, sure in enumerate((1 - p, p)):
+            order = sorted((-s, d) for s, d in zip(sure.tolist(), ids, strict=True) if s >= quality_classifier.SURE and d not in known and d not in used[1 - v])
+            expected += [(v, label, d) for _, d in order[: wanted[label]]]
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.createDataFrame([(d,) for d in known], "doc_id long")
+    assert quality_classifier.surest(docs, labels, weights, used, wanted) == sorted(expected) and len(expected) > 40
+
+
 def test_classifier_without_labels(odd, none, spark):
     labels = spark.createDataFrame([(3, 1, 0), (None, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality_classifier.score(odd, labels).collect()
@@ -807,6 +848,13 @@ def test_lines_with_every_working_name_taken(spark):
     assert all(r[n] == n for r in rows for n in names[:-2])
 
 
+def test_lines_of_large_ids_beside_a_row_without_id(spark):
+    ids = [2**53 + 1 + 2 * k for k in range(4)] + [7 * 10**18 + 1 + 2 * k for k in range(4)]
+    docs = spark.createDataFrame([(k, f"x\n{LINE}") for k in [*ids, None]], "doc_id long, text string")
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert {(r.doc_id, r.text, r.n_dropped) for r in rows} == {*((k, "x", 1) for k in [*ids[:-1], None]), (ids[-1], f"x\n{LINE}", 0)} and len(rows) == 9
+
+
 def test_one_frequent_line_is_probed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PART_ROWS", 100)
     docs = spark.createDataFrame([(k, f"{LINE}\n{k}\n{'y' * 50}{k % 400}") for k in range(2000)], "doc_id long, text string")
