@@ -8,10 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions import geometry as G
 from hushframe.functions import text as X
 from hushframe.operators import boxes as B
 from hushframe.operators import frames as J
+from hushframe.operators import page_rows as W
 from hushframe.operators import pages as P
 from hushframe.operators import rank as R
 from hushframe.operators import requests as Q
@@ -29,51 +29,49 @@ def parsed_once(pages: DataFrame) -> DataFrame:
 
 @dataclass
 class SanitizedPages:
-    """nodes: what may leave, ranked; regions: what is to be painted over, screenshot pixels; leaks: (page_id, agent_id) whose raw
-    value still stands in its page's outgoing nodes, none if all is well."""
+    """nodes: ranked and sanitised nodes, of which those marked kept may leave; regions: what is to be painted over, screenshot
+    pixels; leaks: (page_id, agent_id) whose raw value still stands in its page's outgoing nodes, none if all is well;
+    unplaced: (page_id, selector, type) of what ought to be painted over but has no place: the screenshots of these pages must
+    not leave; counts: one row of named counts for each page."""
 
-    nodes: DataFrame
-    regions: DataFrame
-    leaks: DataFrame
+    rows: DataFrame
+
+    @property
+    def nodes(self) -> DataFrame:
+        return W.sent_nodes(self.rows)
+
+    @property
+    def regions(self) -> DataFrame:
+        return W.region_rows(self.rows)
+
+    @property
+    def leaks(self) -> DataFrame:
+        return self.rows.select("page_id", F.explode("leaks").alias("agent_id"))
+
+    @property
+    def unplaced(self) -> DataFrame:
+        return self.rows.select("page_id", F.explode("unplaced").alias("u")).select("page_id", "u.selector", "u.type")
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.rows.select("page_id", "error", "counts.*")
 
 
 def sanitize_pages(
     pages: DataFrame, goal: str, max_elements: int = R.MAX_ELEMENTS, layout: DataFrame | None = None, acted: DataFrame | None = None, boxes: DataFrame | None = None,
-    scroll: tuple[float, float] = (0.0, 0.0), dpr: float = 1.0,
+    scroll: tuple[float, float] = (0.0, 0.0), dpr: float = 1.0, reports: DataFrame | None = None, tokens: DataFrame | None = None, iframes: DataFrame | None = None,
 ) -> SanitizedPages:
-    """Pages (page_id, html) scanned, flagged, ranked and sanitised.
+    """Pages (page_id, html) scanned, flagged, merged with their frames, ranked and sanitised: one exchange by page for all inputs, none without any.
 
     layout: page_id, node_idx, x, y, w, h of elements in CSS pixels of the window; acted: page_id, agent_id of nodes used
     already, which go; boxes: image_id (the page), box_idx, label, score and corners in screenshot pixels; scroll: the
-    window's place in the document; dpr: screenshot pixels per CSS pixel. Elements without layout have no region.
+    window's place in the document; dpr: screenshot pixels per CSS pixel. Frames: reports, rows of W.INPUTS' kind; tokens:
+    page_id, token, dx, dy, connected; iframes: page_id, token, x, y, w, h. A frame that is not merged is painted over whole, and so
+    is a closed shadow root's host; what has no layout is told in unplaced.
     """
-    parsed = parsed_once(pages)
-    elements, texts = P.assign_ids(H.extract_elements(parsed)), H.extract_text_nodes(parsed)
-    sides = [F.lit(None).cast("double").alias(c) for c in "xywh"]
-    layout = elements.select("page_id", "node_idx", *sides) if layout is None else layout.select("page_id", "node_idx", *"xywh")
-    ids = elements.select("page_id", F.col("node_idx").alias("parent_idx"), F.col("agent_id").alias("owner"))
-    texts = texts.join(ids, ["page_id", "parent_idx"], "left").withColumn("agent_id", F.col("owner")).drop("owner")
-    flagged = P.scanner_ordinals(P.scan_pii(elements, texts), P.highest_ids(elements))
-    a = F.col("attrs")
-    nodes = elements.where("kept_last").select(
-        "page_id", "node_idx", "agent_id", "tag", X.implicit_role(F.col("tag"), a["role"], a["href"], a["type"]).alias("role"), X.semantic_type(F.col("tag"), a["type"]).alias("type"),
-        X.accessible_text(F.col("tag"), a["value"], a["aria-label"], a["placeholder"], F.col("selected"), F.col("text")).alias("text"), F.lit(False).alias("sensitive"),
-    )
-    nodes = J.flag_sensitive(nodes.join(layout, ["page_id", "node_idx"], "left"), flagged)
-    if acted is not None:
-        nodes = nodes.join(acted.select("page_id", "agent_id").distinct(), ["page_id", "agent_id"], "left_anti")
-    ranked = R.rank_elements(nodes, F.array_distinct(X.tokenize(F.lit(goal))), max_elements)
-    out = Q.sanitize_nodes(ranked).select("page_id", "node_idx", "agent_id", "tag", "role", "type", "text", "sensitive", "kept", "dropped")
-
-    places = flagged.join(layout, ["page_id", "node_idx"])
-    moved = G.translate(tuple(map(F.col, "xywh")), F.lit(float(scroll[0])), F.lit(float(scroll[1])))
-    places = places.select(F.col("page_id").alias("image_id"), "seq", "pii_type", *[m.alias(c) for m, c in zip(moved, "xywh", strict=True)], "agent_id")
-    none = places.select("image_id", F.lit(0).alias("box_idx"), F.lit("").alias("label"), F.lit(0.0).alias("score"), *[F.lit(0.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]).where("false")
-    regions = B.build_regions(none if boxes is None else boxes, places, dpr)
-
-    payloads = out.where("kept").groupBy(F.col("page_id").alias("request_id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("node_idx", "agent_id", "tag", "role", "type", "text")))).alias("payload"))
-    held = nodes.where("sensitive").select(F.col("page_id").alias("request_id"), "agent_id", F.lit(None).cast("string").alias("value"), "text")
-    return SanitizedPages(out, regions, Q.egress_check(payloads, held).withColumnRenamed("request_id", "page_id"))
+    boxes = None if boxes is None else boxes.withColumnRenamed("image_id", "page_id")
+    rows = W.page_rows(H.parse_pages(pages), layout=layout, acted=acted, boxes=boxes, reports=reports, tokens=tokens, iframes=iframes)
+    return SanitizedPages(W.sanitize_rows(rows, goal, max_elements, scroll, dpr))
 
 
 def admit_requests(requests: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from hushframe.operators import pages as P
 from hushframe.plans import pipelines
 from hushframe.plans.queries_text import RULES, has
 from hushframe.sources import html as H
+from hushframe.sources import tokens as K
 from hushframe.views import spread
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -45,9 +46,19 @@ add("c17_actionable_tags", pages, _actionable, f"""{_TAGS} SELECT page_id, tag,
 add("s1_extract_elements", parsed, lambda df: H.extract_elements(df).select("page_id", "node_idx", "parent_idx", "tag", "visible", "selector"))
 add("s2_extract_text_nodes", parsed, lambda df: H.extract_text_nodes(df).select("page_id", "text_idx", "parent_idx", "visible", "text"))
 add("c9_field_values", parsed, lambda df: H.extract_elements(df).select("page_id", "node_idx", F.posexplode_outer("field_values").alias("pos", "value")))
-add("c10_visibility", parsed, lambda df: H.extract_elements(df).groupBy("page_id").agg(F.count_if("visible").alias("n_visible"), F.count(F.lit(1)).alias("n_elements")))
+add(
+    "c10_visibility", parsed, lambda df: H.extract_elements(df).groupBy("page_id").agg(F.count_if("visible").alias("n_visible"), F.count(F.lit(1)).alias("n_elements")),
+    f"WITH {K.sql()} SELECT page_id, count(*) FILTER (WHERE visible) AS n_visible, count(*) AS n_elements FROM nested WHERE kind IN ('open', 'leaf') GROUP BY page_id",
+)
 add("c11_selectors", parsed, lambda df: P.sibling_index(H.extract_elements(df)).select("page_id", "node_idx", "selector", "nth", "same_tag"))
 add("c12_scan_pii", parsed, lambda df: P.scan_pii(H.extract_elements(df), H.extract_text_nodes(df)))
+_UNREAD = ", ".join(f"'{t}'" for t in sorted(H.UNREAD))
+_SHOWN = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(65279)" + "".join(f" || chr({k})" for k in range(0x2000, 0x200B))
+#: Elements and text nodes by windows over tokens; whole pages that the parser reads alike, as tests hold.
+add("s1_native_elements", pages, K.native_elements, f"WITH {K.sql()} SELECT page_id, node_idx, parent_idx, tag, visible FROM nested WHERE kind IN ('open', 'leaf')")
+add("s2_native_text_nodes", pages, K.native_text_nodes, f"""WITH {K.sql()}, texts AS (SELECT n.page_id, n.tok, n.parent_idx, n.visible, trim({K.sql_decoded('n.raw')}, {_SHOWN}) AS text
+FROM nested n JOIN nested p ON n.page_id = p.page_id AND n.parent_idx = p.node_idx WHERE n.kind = 'text' AND p.tag NOT IN ({_UNREAD}))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY tok) - 1 AS INT) AS text_idx, parent_idx, visible, text FROM texts WHERE text <> ''""")
 _RAW = "CASE " + " ".join(f"WHEN {has(k, 'html')} THEN true" for k in RULES) + " ELSE false END"
 add("c12_page_flags", pages, lambda df: df.select("page_id", (F.size(X.text_pii_types(F.col("html"))) > 0).alias("flagged")), f"SELECT page_id, {_RAW} AS flagged FROM pages")
 add("c13_unscannable", parsed, lambda df: P.as_redaction_inputs(P.unscannable_regions(H.extract_elements(df).withColumn("attrs", F.when((F.col("tag") == "footer"), F.create_map(F.lit(P.CLOSED_HOST), F.lit("1"))).otherwise(F.col("attrs"))))))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.operators import requests as Q
-from hushframe.plans import pipelines, queries_admission, queries_logs
+from hushframe.plans import queries_admission, queries_logs
 from hushframe.plans.queries_text import RULES, has
 from hushframe.sources import logs
 from hushframe.streaming import jobs
@@ -92,9 +92,8 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Arriving pages scanned, flagged, ranked and sanitised, batch by batch."""
-    goal = "open the article about the and of"
-    return jobs.run_to_table(stream(spark, sf, "pages").select("page_id", "html"), folder(spark), each=lambda df: pipelines.sanitize_pages(df, goal).nodes)
+    """Arriving pages scanned, flagged, ranked and sanitised, each in its row."""
+    return jobs.run_to_files(jobs.stream_pages(stream(spark, sf, "pages").select("page_id", "html"), "open the article about the and of"), folder(spark))
 
 
 _TYPES = f"list_filter([{', '.join(f'CASE WHEN {has(k)} THEN {k!r} END' for k in RULES)}], lambda x: x IS NOT NULL)"

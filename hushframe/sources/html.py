@@ -1,14 +1,22 @@
-"""Elements and text nodes of HTML pages. The parser is the one Python stage here; all that follows is Column expressions."""
+"""Elements and text nodes of HTML pages.
+
+The parser is the one Python stage here. It gives one row for each page: the page's text once, and its elements with their places in
+it. Whole texts and selectors are taken from these by Column expressions, only where a plan reads them.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions.text import JS_SPACE_CHARS, js_trim
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Open tags that a new tag of a kind closes.
 IMPLIED_END = {"li": {"li"}, "p": {"p"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -18,7 +26,15 @@ UNREAD = {"script", "style", "noscript", "template", "title"}
 #: The mark of an element whose shadow root cannot be read, and the name under which an open shadow root is held.
 CLOSED_HOST, SHADOW = "data-closed-shadow-host", "#shadow"
 
-SCHEMA = "page_id long, kind string, node_idx int, parent_idx int, tag string, attrs map<string,string>, visible boolean, selector string, field_values array<string>, selected string, text string, agent_id string, parse_error string"
+#: Bytes of HTML whose rows go out together; a larger page goes alone.
+SLICE_BYTES = 4 << 20
+
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: An element: its parent's number, its places in the page's bytes, what an input or placeholder shows, and a select's chosen option.
+ELEMENT = (
+    "node_idx int, parent_idx int, tag string, attrs map<string,string>, visible boolean, over int, steps int, start int, stop int, shown array<string>, chosen_start int, chosen_stop int"
+)
+PAGE = f"page_id long, body binary, elements array<struct<{ELEMENT}>>, pieces array<string>, overs array<int>, texts array<struct<parent_idx int, start int, stop int>>, error string"
 
 
 class _Root:
@@ -27,28 +43,32 @@ class _Root:
     def __init__(self, host: _Node | None = None, hidden: bool = False):
         self.host, self.hidden = host, hidden
         self.nodes: list[_Node] = []
-        self.pieces: list[str] = []
+        self.pieces: list[bytes] = []
         self.size = 0
-        self.texts: list[tuple[_Node, str]] = []
+        self.texts: list[tuple[_Node, int, int]] = []
         self.counts: dict[str, int] = {}
 
 
 class _Node:
-    """An element. start and stop are places in its root's text; nth counts siblings of its tag from 1."""
+    """An element. start and stop are places in its root's bytes of text; nth counts siblings of its tag from 1.
+
+    Its selector is that of the element over it, if any, and its own piece after that; steps elements are over it.
+    """
 
-    __slots__ = ("attrs", "children", "counts", "idx", "nth", "parent", "root", "selector", "shadow", "start", "stop", "tag", "visible")
+    __slots__ = ("attrs", "children", "counts", "idx", "nth", "over", "parent", "piece", "root", "shadow", "start", "steps", "stop", "tag", "visible")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None, root: _Root):
         self.tag, self.attrs, self.parent, self.root = tag, attrs, parent, root
         self.children: list[_Node] = []
         self.counts: dict[str, int] = {}
         self.shadow: _Root | None = None
-        self.idx, self.selector, self.start, self.stop = -1, "", root.size, -1
+        self.idx, self.piece, self.start, self.stop = -1, "", root.size, -1
+        self.over: _Node | None = None
+        self.steps = 0
         owner = root.counts if parent is None or parent is root.host else parent.counts
         self.nth = owner[tag] = owner.get(tag, 0) + 1
-        style = attrs.get("style", "").replace(" ", "").lower()
-        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or tag == "input" and attrs.get("type", "").lower() == "hidden"
-        self.visible = not (hidden or "display:none" in style or "visibility:hidden" in style) and (parent is None or parent.visible)
+        hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or tag == "input" and attrs.get("type", "").lower() == "hidden"
+        self.visible = not (hidden or _HIDDEN.search(attrs.get("style", ""))) and (parent is None or parent.visible)
 
 
 class _Tree(HTMLParser):
@@ -58,9 +78,15 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.roots = [_Root()]
         self.open: list[tuple[str, _Node | None, _Root]] = []
+        self.named: dict[str, int] = {}  # how many open elements have a name
+
+    def _push(self, tag: str, node: _Node | None, root: _Root) -> None:
+        self.open.append((tag, node, root))
+        self.named[tag] = self.named.get(tag, 0) + 1
 
     def _pop(self) -> str:
         tag, node, _ = self.open.pop()
+        self.named[tag] -= 1
         if node is not None and node.stop < 0 and tag == node.tag:
             node.stop = node.root.size
         return tag
@@ -80,7 +106,7 @@ class _Tree(HTMLParser):
                 parent.attrs = {**parent.attrs, CLOSED_HOST: "1"}
             else:
                 self.roots.append(parent.shadow)
-            self.open.append((SHADOW, parent, parent.shadow))
+            self._push(SHADOW, parent, parent.shadow)
             return
         node = _Node(tag, values, parent, root)
         if not root.hidden:
@@ -90,7 +116,7 @@ class _Tree(HTMLParser):
         if tag in VOID:
             node.stop = node.start
         else:
-            self.open.append((tag, node, _Root(node, hidden=True) if tag == "template" else root))
+            self._push(tag, node, _Root(node, hidden=True) if tag == "template" else root)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -99,17 +125,18 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         names = {tag, SHADOW} if tag == "template" else {tag}
-        if any(t in names for t, _, _ in self.open):
+        if any(self.named.get(t) for t in names):
             while self._pop() not in names:
                 pass
 
     def handle_data(self, data: str) -> None:
         if self.open and not self.open[-1][2].hidden:
             _, node, root = self.open[-1]
-            root.pieces.append(data)
-            root.size += len(data)
-            if data.strip():
-                root.texts.append((node, data))
+            raw = data.encode("utf-8", "replace")
+            root.pieces.append(raw)
+            root.size += len(raw)
+            if data.strip(JS_SPACE_CHARS):
+                root.texts.append((node, root.size - len(raw), root.size))
 
     def finish(self) -> None:
         """Close what is open; number the elements, the document's before those of shadow roots, and name them by selectors."""
@@ -123,7 +150,7 @@ class _Tree(HTMLParser):
             k += 1
             for node in root.nodes:
                 node.idx, n = n, n + 1
-                node.selector = _selector(node)
+                _name(node)
                 if node.shadow is not None and not node.shadow.hidden:
                     order.append(node.shadow)
         self.roots = order
@@ -138,82 +165,148 @@ def _identifier(name: str) -> str:
     return "\\-" if name == "-" else "".join(out)
 
 
-def _selector(node: _Node) -> str:
-    """An element's path from the nearest one with an id; a parent's is known when its children's are sought."""
+def _name(node: _Node) -> None:
+    """The node's piece of a selector and the element over it: its path begins at the nearest element with an id."""
     root, parent = node.root, node.parent
     top = parent is None or parent is root.host
-    before = f"{root.host.selector} ::shadow " if root.host is not None else ""
+    host = root.host
     if node.attrs.get("id"):
-        return f"{before}#{_identifier(node.attrs['id'])}"
-    if node.tag == "html":
-        return f"{before}html"
-    same = (root.counts if top else parent.counts)[node.tag]
-    part = node.tag if same == 1 or parent is None else f"{node.tag}:nth-of-type({node.nth})"
-    if top:
-        return before + part
-    if parent.tag == "html" and not parent.attrs.get("id"):
-        return before + part
-    return f"{parent.selector} > {part}"
-
-
-def _values(node: _Node, whole: str) -> tuple[list[str], str | None]:
-    """What a field shows: its value and placeholder, or a select's chosen option."""
-    if node.tag == "select":
-        options = [n for n in node.children if n.tag == "option"] + [o for g in node.children if g.tag == "optgroup" for o in g.children if o.tag == "option"]
-        chosen = next((o for o in options if "selected" in o.attrs), options[0] if options else None)
-        text = whole[chosen.start : chosen.stop].strip() if chosen else None
-        return ([text] if text else []), text
-    if node.tag not in ("input", "textarea"):
-        return [], None
-    value = whole[node.start : node.stop] if node.tag == "textarea" else node.attrs.get("value", "")
-    return [v for v in (value, node.attrs.get("placeholder", "")) if v], None
-
-
-def _rows(page_id: int, html: str | None) -> list[tuple]:
-    tree = _Tree()
-    try:
-        tree.feed(html or "")
-        tree.finish()
-        out, k = [], 0
-        for root in tree.roots:
-            whole = "".join(root.pieces)
-            for n in root.nodes:
-                values, selected = _values(n, whole)
-                out.append((page_id, "element", n.idx, n.parent.idx if n.parent else None, n.tag, n.attrs, n.visible, n.selector, values, selected, whole[n.start : n.stop].strip(), n.attrs.get("data-agent-id"), None))
-        for root in tree.roots:
-            for n, t in root.texts:
-                if n.tag not in UNREAD:
-                    out.append((page_id, "text", k, n.idx, n.tag, {}, n.visible, n.selector, [], None, t.strip(), n.attrs.get("data-agent-id"), None))
-                    k += 1
-        return out
-    except Exception as e:
-        return [(page_id, "error", 0, None, None, None, None, None, None, None, None, None, type(e).__name__)]
+        node.piece, node.over = f"#{_identifier(node.attrs['id'])}", host
+    elif node.tag == "html":
+        node.piece, node.over = "html", host
+    else:
+        same = (root.counts if top else parent.counts)[node.tag]
+        node.piece = node.tag if same == 1 or parent is None else f"{node.tag}:nth-of-type({node.nth})"
+        node.over = host if top or parent.tag == "html" and not parent.attrs.get("id") else parent
+    if node.over is not None:
+        node.piece = (" ::shadow " if node.over is host else " > ") + node.piece
+        node.steps = node.over.steps + 1
+
+
+def _chosen(node: _Node) -> _Node | None:
+    """A select's chosen option, the first one if none is."""
+    options = [n for n in node.children if n.tag == "option"] + [o for g in node.children if g.tag == "optgroup" for o in g.children if o.tag == "option"]
+    return next((o for o in options if "selected" in o.attrs), options[0] if options else None)
+
+
+class _Rows:
+    """Columns of PAGE, filled page by page."""
+
+    def __init__(self) -> None:
+        self.pages: list[tuple[int | None, bytes | None, str | None]] = []
+        self.elements: list[tuple] = []
+        self.texts: list[tuple[int, int, int]] = []
+        self.ends: list[tuple[int, int]] = []
+
+    def add(self, page_id: int | None, html: str | None) -> None:
+        elements, texts, body, error = [], [], b"", None
+        try:
+            tree = _Tree()
+            tree.feed(html or "")
+            tree.finish()
+            pieces, at = [], 0
+            for root in tree.roots:
+                for n in root.nodes:
+                    shown = [v for v in ((n.attrs.get("value", "") if n.tag == "input" else ""), n.attrs.get("placeholder", "")) if v] if n.tag in ("input", "textarea") else []
+                    chosen = _chosen(n) if n.tag == "select" else None
+                    elements.append((n.idx, n.parent.idx if n.parent else None, n.tag, n.attrs, n.visible, n.piece, n.over.idx if n.over else None, n.steps, at + n.start, at + n.stop, shown, *((at + chosen.start, at + chosen.stop) if chosen else (None, None))))
+                texts += [(n.idx, at + start, at + stop) for n, start, stop in root.texts if n.tag not in UNREAD]
+                pieces += root.pieces
+                at += root.size
+            body = b"".join(pieces)
+        except Exception as e:  # a page that the parser fails on is reported as such
+            elements, texts, body, error = [], [], None, type(e).__name__
+        self.elements += elements
+        self.texts += texts
+        self.pages.append((page_id, body, error))
+        self.ends.append((len(self.elements), len(self.texts)))
+
+    def batch(self) -> pa.RecordBatch:
+        ends = np.array([(0, 0), *self.ends], np.int32)
+        columns = list(zip(*self.elements, strict=True)) if self.elements else [()] * 13
+        idx, parent, tag, attrs, visible, piece, over, steps, start, stop, shown, chosen_start, chosen_stop = columns
+        keys = [k for a in attrs for k in a]
+        maps = pa.MapArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in attrs])]).astype(np.int32)), pa.array(keys, pa.string()), pa.array([v for a in attrs for v in a.values()], pa.string()))
+        ints = {n: pa.array(c, pa.int32()) for n, c in (("node_idx", idx), ("parent_idx", parent), ("over", over), ("steps", steps), ("start", start), ("stop", stop), ("chosen_start", chosen_start), ("chosen_stop", chosen_stop))}
+        fields = {"tag": pa.array(tag, pa.string()), "attrs": maps, "visible": pa.array(visible, pa.bool_()), "shown": pa.array(shown, pa.list_(pa.string())), **ints}
+        names = [c.split()[0] for c in ELEMENT.split(", ")]
+        structs = pa.StructArray.from_arrays([fields[n] for n in names], names=names)
+        of_page, of_text = pa.array(ends[:, 0]), pa.array(ends[:, 1])
+        texts = np.array(self.texts, np.int32).reshape(-1, 3)
+        texts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(texts[:, k])) for k in range(3)], names=["parent_idx", "start", "stop"])
+        page_ids, bodies, errors = zip(*self.pages, strict=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(page_ids, pa.int64()), pa.array(bodies, pa.binary()), pa.ListArray.from_arrays(of_page, structs), pa.ListArray.from_arrays(of_page, pa.array(piece, pa.string())),
+            pa.ListArray.from_arrays(of_page, fields["over"]), pa.ListArray.from_arrays(of_text, texts), pa.array(errors, pa.string()),
+        ], names=["page_id", "body", "elements", "pieces", "overs", "texts", "error"])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, size = _Rows(), 0
+        for page_id, html in zip(batch.column("page_id"), batch.column("html"), strict=True):
+            html = html.as_py()
+            rows.add(page_id.as_py(), html)
+            size += len(html or "")
+            if size >= SLICE_BYTES:
+                yield rows.batch()
+                rows, size = _Rows(), 0
+        if rows.pages:
+            yield rows.batch()
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Rows of SCHEMA for pages (page_id, html): kind element, text or error. A null page has no rows.
+    """A row of PAGE for each page (page_id, html); error names what the parser failed with, null if it did not.
 
-    Elements come in document order, those of open declarative shadow roots after all others; a closed one is not read and
-    marks its host CLOSED_HOST. What a plain template holds is not part of the page. An element's text is all that it holds.
+    elements come in document order, those of open declarative shadow roots after all others; a closed one is not read and
+    marks its host CLOSED_HOST. What a plain template holds is not part of the page. body is the page's text, texts the
+    non-blank runs of it whose parent shows text. A browser moves any text before or after body into it, so that none is
+    outside. A null page is an empty one; pages without id are parsed alike. No text is cut.
     """
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_parse, PAGE)
+
+
+def body_text(body: Column, start: Column, stop: Column) -> Column:
+    """The text between two places of a page's bytes."""
+    return F.substring(body, start + 1, stop - start).cast("string")
+
+
+def selector_of(pieces: Column, overs: Column, node_idx: Column, steps: Column) -> Column:
+    """The selector of an element: the pieces from the topmost of those over it down to its own."""
+    start = F.struct(F.get(overs, node_idx).alias("at"), F.get(pieces, node_idx).alias("path"))
+
+    def up(a: Column, _: Column) -> Column:
+        return F.struct(F.get(overs, a["at"]).alias("at"), F.concat(F.get(pieces, a["at"]), a["path"]).alias("path"))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, up)["path"]
+    return F.when(steps == 0, F.get(pieces, node_idx)).otherwise(path)
+
+
+def chosen_text(body: Column, e: Column) -> Column:
+    """The trimmed text of a select's chosen option; null for other elements and selects without options."""
+    return F.when(e["chosen_start"].isNotNull(), js_trim(body_text(body, e["chosen_start"], e["chosen_stop"])))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [r for page_id, html in zip(part["page_id"], part["html"], strict=True) for r in _rows(page_id, html)]
-            out = pd.DataFrame(rows, columns=names)
-            out["node_idx"], out["parent_idx"] = out["node_idx"].astype("Int32"), out["parent_idx"].astype("Int32")
-            yield out
 
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+def field_values(body: Column, e: Column) -> Column:
+    """What a field shows: its value and placeholder, a textarea's text, or a select's chosen option."""
+    own = F.when(e["tag"] == "textarea", body_text(body, e["start"], e["stop"])).when(e["tag"] == "select", chosen_text(body, e))
+    return F.filter(F.concat(F.array(own), e["shown"]), lambda v: F.coalesce(v, F.lit("")) != "")
 
 
 def extract_elements(parsed: DataFrame) -> DataFrame:
-    return parsed.where("kind = 'element'").select("page_id", "node_idx", "parent_idx", "tag", "attrs", "visible", "selector", "field_values", "selected", "text")
+    e = F.col("e")
+    rows = parsed.select("page_id", "body", "pieces", "overs", F.explode("elements").alias("e"))
+    return rows.select(
+        "page_id", "e.node_idx", "e.parent_idx", "e.tag", "e.attrs", "e.visible", selector_of(F.col("pieces"), F.col("overs"), e["node_idx"], e["steps"]).alias("selector"),
+        field_values(F.col("body"), e).alias("field_values"), chosen_text(F.col("body"), e).alias("selected"), js_trim(body_text(F.col("body"), e["start"], e["stop"])).alias("text"),
+    )
 
 
 def extract_text_nodes(parsed: DataFrame) -> DataFrame:
-    return parsed.where("kind = 'text'").select("page_id", F.col("node_idx").alias("text_idx"), "parent_idx", "selector", "visible", "text", "agent_id")
+    rows = parsed.select("page_id", "body", "elements", "pieces", "overs", F.posexplode("texts").alias("text_idx", "t"))
+    rows = rows.withColumn("e", F.get("elements", F.col("t.parent_idx"))).drop("elements")
+    selector = selector_of(F.col("pieces"), F.col("overs"), F.col("e.node_idx"), F.col("e.steps"))
+    return rows.select("page_id", "text_idx", F.col("t.parent_idx").alias("parent_idx"), selector.alias("selector"), F.col("e.visible").alias("visible"), js_trim(body_text(F.col("body"), F.col("t.start"), F.col("t.stop"))).alias("text"), F.col("e.attrs")["data-agent-id"].alias("agent_id"))
 
 
 def tag_attribute(raw: Column, name: str) -> Column:

@@ -12,8 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushframe.functions import text as X
+from hushframe.operators import page_rows as W
+from hushframe.operators import rank as R
 from hushframe.operators import requests as Q
 from hushframe.operators.runs import STALL_REPEATS
+from hushframe.sources import html as H
 from hushframe.sources import logs
 
 KEPT = max(p * r for p, r in STALL_REPEATS.items())
@@ -137,6 +140,17 @@ def stream_pii(texts: DataFrame) -> DataFrame:
     return df.withColumn("text", F.when(F.size("pii_types") == 0, F.col("text")))
 
 
+def stream_pages(pages: DataFrame, goal: str, max_elements: int = R.MAX_ELEMENTS) -> DataFrame:
+    """Node rows of arriving pages (page_id, html), scanned, flagged, ranked and sanitised, each page in its row: no state, no shuffle, append mode."""
+    return W.sent_nodes(W.sanitize_rows(W.page_rows(H.parse_pages(pages)), goal, max_elements))
+
+
+def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
+    """All that is there now, through a stream in append mode into files, each row once even if a batch is run again."""
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """All that is there now, through the stream, as a table in folder; each is applied to every batch."""
     def save(batch: DataFrame, number: int) -> None:
