@@ -1,117 +1,20 @@
-"""Streaming forms: stall detection, run state, frame tokens, admission and page scans. Late or unmatched data fail closed."""
+"""Streaming forms without keyed state of their own: frame reports, admission and page scans. Late or unmatched data fail closed."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushframe.functions import text as X
 from hushframe.operators import page_rows as W
 from hushframe.operators import rank as R
 from hushframe.operators import requests as Q
-from hushframe.operators.runs import STALL_REPEATS
 from hushframe.sources import html as H
 from hushframe.sources import logs
 
-KEPT = max(p * r for p, r in STALL_REPEATS.items())
-#: How late events may come, and how long after its last event the state of a run is held.
-LATE, IDLE_MS = "1 hour", 24 * 3600 * 1000
-
-
-def _hold(state: GroupState, times: pd.Series) -> None:
-    """Keep a run's state until IDLE_MS after its last event."""
-    state.setTimeoutTimestamp(max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
-
-
-def _period(recent: list[str]) -> int | None:
-    for p, r in sorted(STALL_REPEATS.items()):
-        if len(recent) >= p * r and all(recent[-k] == recent[-k - p] for k in range(1, p * (r - 1) + 1)):
-            return p
-    return None
-
-
-def _stalls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    out = []
-    if state.hasTimedOut:
-        state.remove()
-    else:
-        recent, last, stopped = (list(json.loads(state.get[0])), state.get[1], state.get[2]) if state.exists else ([], -1, False)
-        rows = pd.concat(list(batches)).sort_values("step")
-        for step, sig in zip(rows["step"], rows["sig"], strict=True):
-            if stopped or step <= last:
-                continue
-            last, recent = int(step), (recent + [sig])[-KEPT:]
-            if p := _period(recent):
-                stopped = True
-                out.append((key[0], last, p))
-        state.update((json.dumps(recent), last, stopped))
-        _hold(state, rows["ts"])
-    yield pd.DataFrame(out, columns=["run_id", "step", "period"]).astype({"run_id": "int64", "step": "int64", "period": "int32"})
-
-
-def stream_stalls(actions: DataFrame) -> DataFrame:
-    """(run_id, step, period) once per run, when it first stalls; a run's later actions and ones below its last step are ignored.
-
-    actions: run_id, step, action, target_id, value and ts, the event's time. The state of a run is given up once the
-    watermark, LATE behind the newest event, is IDLE_MS past its last one.
-    """
-    sig = F.concat_ws(":", F.coalesce("action", F.lit("")), F.coalesce("target_id", F.lit("")), F.coalesce("value", F.lit("")))
-    rows = actions.where("action <> 'done'").select("run_id", "step", "ts", sig.alias("sig")).withWatermark("ts", LATE)
-    return rows.groupBy("run_id").applyInPandasWithState(_stalls, "run_id long, step long, period int", "recent string, last long, stopped boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-RUN_ROWS = "run_id long, kind string, seq long, state string"
-
-
-def fold_run(run: dict, patches: list[tuple[int, str]]) -> tuple[dict, list[tuple[int, str]]]:
-    """The run after patches (seq, JSON) in order, and the refused ones.
-
-    start opens a run, stop marks an active one, finish ends it and keeps an outcome set before, others change it; a patch
-    without an active run is refused.
-    """
-    refused = []
-    for seq, text in patches:
-        patch = json.loads(text)
-        kind = patch.pop("kind", "progress")
-        if kind == "start":
-            run = {**patch, "active": True, "stopRequested": False}
-        elif not run.get("active"):
-            refused.append((seq, text))
-        elif kind == "stop":
-            run = {**run, "stopRequested": True}
-        elif kind == "finish":
-            run = {**run, **patch, "outcome": patch.get("outcome", run.get("outcome")), "active": False}
-        else:
-            run = {**run, **patch}
-    return run, refused
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    out = []
-    if state.hasTimedOut:
-        state.remove()
-    else:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        run, refused = fold_run(json.loads(state.get[0]) if state.exists else {}, list(zip(rows["seq"], rows["patch"], strict=True)))
-        state.update((json.dumps(run),))
-        _hold(state, rows["ts"])
-        out = [(key[0], "refused", s, p) for s, p in refused] + [(key[0], "state", rows["seq"].iloc[-1], json.dumps(run, sort_keys=True))]
-    yield pd.DataFrame(out, columns=["run_id", "kind", "seq", "state"]).astype({"run_id": "int64", "seq": "int64"})
-
-
-def stream_run_state(patches: DataFrame) -> DataFrame:
-    """(run_id, kind, seq, state) of patches (run_id, seq, ts, patch): after each batch a run's state, and each refused patch as a
-    row of kind refused, for a sink of its own. An absent key keeps a field, a null clears it. Idle runs are given up as in stream_stalls."""
-    rows = patches.select("run_id", "seq", "ts", "patch").withWatermark("ts", LATE)
-    return rows.groupBy("run_id").applyInPandasWithState(_fold, RUN_ROWS, "run string", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_frame_tokens(announcements: DataFrame, reports: DataFrame, delay: str = "6 seconds") -> DataFrame:
     """Announced frames (page_id, token, ts) with their report if it came within delay; none means that the frame is redacted whole."""
     a = announcements.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["page_id", "token"])

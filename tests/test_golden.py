@@ -250,14 +250,6 @@ def test_prompts_quote_what_nodes_say(spark):
     assert [x for x in lines if x.startswith("  - agentId=")] == [f"  - agentId={k}, tag=p, text={t!r}" for k, t in enumerate(texts)]
 
 
-def test_run_state_refuses_patches_without_a_run():
-    from hushframe.streaming import jobs
-
-    patches = [(1, '{"stage":"a"}'), (2, '{"kind":"start","goal":"g"}'), (3, '{"kind":"stop"}'), (4, '{"stage":"b","lastError":null}'), (5, '{"kind":"finish"}'), (6, '{"kind":"stop"}')]
-    run, refused = jobs.fold_run({}, patches)
-    assert run == {"goal": "g", "stage": "b", "lastError": None, "active": False, "stopRequested": True, "outcome": None} and [s for s, _ in refused] == [1, 6]
-
-
 def test_streamed_pages_equal_the_batch(spark, sf_dir):
     from hushframe.plans import pipelines, queries_streams
 
