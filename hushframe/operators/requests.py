@@ -6,8 +6,13 @@ region_idx, type, raw_type, x, y, w, h, agent_id, source. Outputs name places an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe import vocab
 from hushframe.functions import geometry as G
@@ -48,16 +53,42 @@ def find_leaks(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("request_id", "agent_id", "region_idx", "strategy")
 
 
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(request_id, agent_id) of the values that stand in their row's payload: one automaton of a request's values goes over its payload once."""
+    for batch in batches:
+        ids, agents = [], []
+        for request_id, payload, values in zip(batch.column("request_id"), batch.column("payload"), batch.column("held"), strict=True):
+            owners: dict[str, set[str | None]] = {}
+            for v in values.as_py():
+                for form in (v["raw"], v["escaped"]):
+                    owners.setdefault(form, set()).add(v["agent_id"])
+            automaton, found = ahocorasick.Automaton(), set()
+            for form, own in owners.items():
+                automaton.add_word(form, own)
+            automaton.make_automaton()
+            left = set().union(*owners.values())
+            for _, own in automaton.iter(payload.as_py()):
+                found |= own
+                if found == left:
+                    break
+            ids += [request_id.as_py()] * len(found)
+            agents += sorted(found, key=str)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("request_id").type), pa.array(agents, pa.string())], names=["request_id", "agent_id"])
+
+
 def egress_check(payloads: DataFrame, values: DataFrame) -> DataFrame:
     """(request_id, agent_id) of raw values that stand in their request's payload, plainly or as JSON escapes them.
 
     payloads: request_id, payload. values: request_id, agent_id, value, text; the trimmed text counts where there is no value.
+    A payload is read once, however many values its request has.
     """
     raw = F.coalesce(F.nullif(F.col("value"), F.lit("")), X.blank_to_null(F.col("text")))
-    wanted = values.select("request_id", "agent_id", raw.alias("raw")).where(F.length("raw") >= MIN_VALUE)
     escaped = F.regexp_extract(F.to_json(F.struct(F.col("raw").alias("v"))), r'(?s)^\{"v":"(.*)"\}$', 1)
-    hit = F.col("payload").contains(F.col("raw")) | F.col("payload").contains(F.col("escaped"))
-    return wanted.withColumn("escaped", escaped).join(payloads.select("request_id", "payload"), "request_id").where(hit).select("request_id", "agent_id").distinct()
+    wanted = values.select("request_id", "agent_id", raw.alias("raw")).where(F.length("raw") >= MIN_VALUE).withColumn("escaped", escaped)
+    held = wanted.groupBy("request_id").agg(F.collect_set(F.struct("agent_id", "raw", "escaped")).alias("held"))  # one request's nodes
+    rows = payloads.where("payload is not null").select("request_id", "payload").join(held, "request_id")
+    kind = T.StructType([T.StructField("request_id", payloads.schema["request_id"].dataType), T.StructField("agent_id", T.StringType())])
+    return rows.mapInArrow(_found, kind).distinct()
 
 
 def sanitize_nodes(nodes: DataFrame, pii_type: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.functions import tables
 from hushframe.functions import text as X
 from hushframe.operators import pages as P
 from hushframe.plans import pipelines
@@ -44,7 +45,6 @@ def _actionable(df: DataFrame) -> DataFrame:
 
 add("c17_actionable_tags", pages, _actionable, f"""{_TAGS} SELECT page_id, tag, count(*) AS n FROM tags WHERE tag IN ('button', 'select', 'textarea') OR tag = 'a' AND regexp_matches(raw, '\\shref\\s*=\\s*"') GROUP BY page_id, tag""")
 add("s1_extract_elements", parsed, lambda df: H.extract_elements(df).select("page_id", "node_idx", "parent_idx", "tag", "visible", "selector"))
-add("s2_extract_text_nodes", parsed, lambda df: H.extract_text_nodes(df).select("page_id", "text_idx", "parent_idx", "visible", "text"))
 add("c9_field_values", parsed, lambda df: H.extract_elements(df).select("page_id", "node_idx", F.posexplode_outer("field_values").alias("pos", "value")))
 add(
     "c10_visibility", parsed, lambda df: H.extract_elements(df).groupBy("page_id").agg(F.count_if("visible").alias("n_visible"), F.count(F.lit(1)).alias("n_elements")),
@@ -59,6 +59,24 @@ add("s1_native_elements", pages, K.native_elements, f"WITH {K.sql()} SELECT page
 add("s2_native_text_nodes", pages, K.native_text_nodes, f"""WITH {K.sql()}, texts AS (SELECT n.page_id, n.tok, n.parent_idx, n.visible, trim({K.sql_decoded('n.raw')}, {_SHOWN}) AS text
 FROM nested n JOIN nested p ON n.page_id = p.page_id AND n.parent_idx = p.node_idx WHERE n.kind = 'text' AND p.tag NOT IN ({_UNREAD}))
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY tok) - 1 AS INT) AS text_idx, parent_idx, visible, text FROM texts WHERE text <> ''""")
+add("s2_extract_text_nodes", parsed, lambda df: H.extract_text_nodes(df).select("page_id", "text_idx", "parent_idx", "visible", "text"), QUERIES["s2_native_text_nodes"][1])
+
+
+def _by_sql(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        tables.register(spark)
+        return spark.sql(query, pages=pages(spark, sf))
+
+    return run
+
+
+QUERIES["s1_elements_by_sql"] = (_by_sql("SELECT p.page_id, e.node_idx, e.parent_idx, e.tag, e.visible FROM {pages} p, LATERAL page_elements(p.html) e"), QUERIES["s1_native_elements"][1])
+QUERIES["s2_texts_by_sql"] = (_by_sql("SELECT p.page_id, t.text_idx, t.parent_idx, t.visible, t.text FROM {pages} p, LATERAL page_texts(p.html) t"), QUERIES["s2_native_text_nodes"][1])
+QUERIES["g9_tiles_by_sql"] = (
+    _by_sql("SELECT p.page_id, t.slice_idx, t.scroll_y, t.truncated, t.needed FROM {pages} p, LATERAL page_tiles(CAST(length(p.html) AS DOUBLE), CAST(800 AS DOUBLE)) t"),
+    """WITH p AS (SELECT page_id, length(html) AS h, CAST(greatest(ceil(length(html) / 800.0), 1) AS INT) AS needed FROM pages), s AS (SELECT page_id, needed, list_distinct(list_transform(range(least(needed, 5)), lambda i: CAST(least(i * 800, greatest(h - 800, 0)) AS DOUBLE))) AS spots FROM p),
+u AS (SELECT page_id, needed, unnest(spots) AS scroll_y FROM s) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY scroll_y) - 1 AS INT) AS slice_idx, scroll_y, needed > 5 AS truncated, needed FROM u""",
+)
 _RAW = "CASE " + " ".join(f"WHEN {has(k, 'html')} THEN true" for k in RULES) + " ELSE false END"
 add("c12_page_flags", pages, lambda df: df.select("page_id", (F.size(X.text_pii_types(F.col("html"))) > 0).alias("flagged")), f"SELECT page_id, {_RAW} AS flagged FROM pages")
 add("c13_unscannable", parsed, lambda df: P.as_redaction_inputs(P.unscannable_regions(H.extract_elements(df).withColumn("attrs", F.when((F.col("tag") == "footer"), F.create_map(F.lit(P.CLOSED_HOST), F.lit("1"))).otherwise(F.col("attrs"))))))
