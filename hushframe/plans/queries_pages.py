@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe import vocab
 from hushframe.functions import tables
 from hushframe.functions import text as X
 from hushframe.operators import pages as P
+from hushframe.operators import rank as R
 from hushframe.plans import pipelines
 from hushframe.plans.queries_text import RULES, has
 from hushframe.sources import html as H
@@ -44,14 +46,6 @@ def _actionable(df: DataFrame) -> DataFrame:
 
 
 add("c17_actionable_tags", pages, _actionable, f"""{_TAGS} SELECT page_id, tag, count(*) AS n FROM tags WHERE tag IN ('button', 'select', 'textarea') OR tag = 'a' AND regexp_matches(raw, '\\shref\\s*=\\s*"') GROUP BY page_id, tag""")
-add("s1_extract_elements", parsed, lambda df: H.extract_elements(df).select("page_id", "node_idx", "parent_idx", "tag", "visible", "selector"))
-add("c9_field_values", parsed, lambda df: H.extract_elements(df).select("page_id", "node_idx", F.posexplode_outer("field_values").alias("pos", "value")))
-add(
-    "c10_visibility", parsed, lambda df: H.extract_elements(df).groupBy("page_id").agg(F.count_if("visible").alias("n_visible"), F.count(F.lit(1)).alias("n_elements")),
-    f"WITH {K.sql()} SELECT page_id, count(*) FILTER (WHERE visible) AS n_visible, count(*) AS n_elements FROM nested WHERE kind IN ('open', 'leaf') GROUP BY page_id",
-)
-add("c11_selectors", parsed, lambda df: P.sibling_index(H.extract_elements(df)).select("page_id", "node_idx", "selector", "nth", "same_tag"))
-add("c12_scan_pii", parsed, lambda df: P.scan_pii(H.extract_elements(df), H.extract_text_nodes(df)))
 _UNREAD = ", ".join(f"'{t}'" for t in sorted(H.UNREAD))
 _SHOWN = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(65279)" + "".join(f" || chr({k})" for k in range(0x2000, 0x200B))
 #: Elements and text nodes by windows over tokens; whole pages that the parser reads alike, as tests hold.
@@ -70,6 +64,12 @@ def _by_sql(query: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+add(
+    "c10_visibility", parsed, lambda df: H.extract_elements(df).groupBy("page_id").agg(F.count_if("visible").alias("n_visible"), F.count(F.lit(1)).alias("n_elements")),
+    f"WITH {K.sql()} SELECT page_id, count(*) FILTER (WHERE visible) AS n_visible, count(*) AS n_elements FROM nested WHERE kind IN ('open', 'leaf') GROUP BY page_id",
+)
+add("c11_selectors", parsed, lambda df: P.sibling_index(H.extract_elements(df)).select("page_id", "node_idx", "selector", "nth", "same_tag"))
+add("c12_scan_pii", parsed, lambda df: P.scan_pii(H.extract_elements(df), H.extract_text_nodes(df)))
 QUERIES["s1_elements_by_sql"] = (_by_sql("SELECT p.page_id, e.node_idx, e.parent_idx, e.tag, e.visible FROM {pages} p, LATERAL page_elements(p.html) e"), QUERIES["s1_native_elements"][1])
 QUERIES["s2_texts_by_sql"] = (_by_sql("SELECT p.page_id, t.text_idx, t.parent_idx, t.visible, t.text FROM {pages} p, LATERAL page_texts(p.html) t"), QUERIES["s2_native_text_nodes"][1])
 QUERIES["g9_tiles_by_sql"] = (
@@ -77,9 +77,65 @@ QUERIES["g9_tiles_by_sql"] = (
     """WITH p AS (SELECT page_id, length(html) AS h, CAST(greatest(ceil(length(html) / 800.0), 1) AS INT) AS needed FROM pages), s AS (SELECT page_id, needed, list_distinct(list_transform(range(least(needed, 5)), lambda i: CAST(least(i * 800, greatest(h - 800, 0)) AS DOUBLE))) AS spots FROM p),
 u AS (SELECT page_id, needed, unnest(spots) AS scroll_y FROM s) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY scroll_y) - 1 AS INT) AS slice_idx, scroll_y, needed > 5 AS truncated, needed FROM u""",
 )
+#: Pages with forms: bold text begins with a field, a line break is a choice.
+FORMS = """replace(replace(html, '<b>', '<b><input type="email" value="me@example.org" placeholder="e.g. +91 9876543210">'), '<br>', '<select><option>none</option><option selected>1234 5678 9012</option></select>')"""
+#: Pages whose footers hold what no scan can read.
+CLOSED = """replace(replace(html, '<footer>', '<footer><template shadowrootmode="closed">'), '</footer>', '</template></footer>')"""
+
+
+def form_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return pages(spark, sf).select("page_id", F.expr(FORMS).alias("html"))
+
+
+def forms(spark: SparkSession, sf: str) -> DataFrame:
+    return H.parse_pages(form_pages(spark, sf))
+
+
+def _attribute(name: str) -> str:
+    return f"regexp_extract(raw, '\\s{name}=\"([^\"]*)\"', 1)"
+
+
+def _sql_elements(html: str) -> str:
+    """Elements (el) and their selectors (path) of derived pages."""
+    return f"""WITH RECURSIVE derived AS (SELECT page_id, {html} AS html FROM pages), {K.sql('derived')},
+el AS (SELECT *, {_attribute('id')} AS id, count(*) OVER s AS same, row_number() OVER (PARTITION BY page_id, parent_idx, tag ORDER BY node_idx) AS nth FROM nested WHERE kind IN ('open', 'leaf') WINDOW s AS (PARTITION BY page_id, parent_idx, tag)),
+pathed AS (SELECT *, CASE WHEN id <> '' THEN '#' || id WHEN tag = 'html' OR same = 1 OR parent_idx IS NULL THEN tag ELSE tag || ':nth-of-type(' || nth || ')' END AS piece FROM el),
+path AS (SELECT page_id, node_idx, tag, id, piece AS selector FROM pathed WHERE parent_idx IS NULL UNION ALL
+  SELECT n.page_id, n.node_idx, n.tag, n.id, CASE WHEN n.id <> '' OR n.tag = 'html' OR p.tag = 'html' AND p.id = '' THEN n.piece ELSE p.selector || ' > ' || n.piece END FROM pathed n JOIN path p ON n.page_id = p.page_id AND n.parent_idx = p.node_idx)"""
+
+
+_SQL_FORMS = f"""{_sql_elements(FORMS)},
+texts AS (SELECT n.page_id, n.tok, n.parent_idx, n.visible, trim({K.sql_decoded('n.raw')}, {_SHOWN}) AS text FROM nested n JOIN el p ON n.page_id = p.page_id AND n.parent_idx = p.node_idx WHERE n.kind = 'text' AND p.tag NOT IN ({_UNREAD})),
+chosen AS (SELECT s.page_id, s.node_idx, t.text FROM el s JOIN el o ON o.page_id = s.page_id AND o.parent_idx = s.node_idx AND o.tag = 'option' AND o.raw LIKE '%selected%' JOIN texts t ON t.page_id = o.page_id AND t.parent_idx = o.node_idx WHERE s.tag = 'select'),
+vals AS (SELECT page_id, node_idx, 0 AS pos, {_attribute('value')} AS value FROM el WHERE tag = 'input' UNION ALL SELECT page_id, node_idx, 1, {_attribute('placeholder')} FROM el WHERE tag = 'input' UNION ALL SELECT page_id, node_idx, 0, text FROM chosen)"""
+
+
+def _kinds(column: str) -> str:
+    found = "list_filter([" + ", ".join(f"CASE WHEN {has(k, column)} THEN '{k}' END" for k in RULES) + "], lambda x: x IS NOT NULL)"
+    return f"unnest({found}) AS type, generate_subscripts({found}, 1) AS o4"
+
+
+_SQL_FLAGS = f"""{_SQL_FORMS},
+shown AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tok) - 1 AS text_idx FROM texts WHERE text <> ''),
+hits AS (SELECT page_id, node_idx AS element, 0 AS o1, node_idx AS o2, 0 AS o3, 'email' AS type, 0 AS o4 FROM el WHERE tag = 'input' AND {_attribute('type')} = 'email'
+  UNION ALL SELECT page_id, node_idx, 0, node_idx, pos + 1, {_kinds('value')} FROM vals UNION ALL SELECT page_id, parent_idx, 1, text_idx, 0, {_kinds('text')} FROM shown WHERE visible),
+placed AS (SELECT h.*, p.selector, row_number() OVER (PARTITION BY h.page_id, p.selector, h.type ORDER BY o1, o2, o3, o4) AS n FROM hits h JOIN path p ON h.page_id = p.page_id AND h.element = p.node_idx),
+flags AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o1, o2, o3, o4) - 1 AS INT) AS seq, element AS node_idx, selector, type AS pii_type FROM placed WHERE n = 1)"""
+_SQL_WHOLE = f"""{_SQL_FORMS},
+pieces AS (SELECT page_id, tok, {K.sql_decoded('raw')} AS piece FROM nested WHERE kind = 'text' AND parent_idx IS NOT NULL UNION ALL SELECT page_id, tok, regexp_extract(raw, '(?s)^<[^>]*>(.*)</[^<]*$', 1) FROM nested WHERE kind = 'leaf' AND tag IN ('script', 'style')),
+content AS (SELECT e.page_id, e.node_idx, string_agg(piece, '' ORDER BY p.tok) AS text FROM el e JOIN pieces p ON e.page_id = p.page_id AND CASE WHEN e.kind = 'leaf' THEN p.tok = e.tok ELSE p.tok > e.tok AND p.tok < coalesce(e.stop, 2147483647) END GROUP BY e.page_id, e.node_idx)"""
+
+
+def _scanned(df: DataFrame) -> DataFrame:
+    return P.scan_pii(H.extract_elements(df), H.extract_text_nodes(df))
+
+
+add("s1_extract_elements", parsed, lambda df: H.extract_elements(df).select("page_id", "node_idx", "parent_idx", "tag", "visible", "selector"), f"{_sql_elements('html')} SELECT n.page_id, n.node_idx, n.parent_idx, n.tag, n.visible, p.selector FROM pathed n JOIN path p ON n.page_id = p.page_id AND n.node_idx = p.node_idx")
+add("c9_field_values", forms, lambda df: H.extract_elements(df).select("page_id", "node_idx", F.posexplode_outer("field_values").alias("pos", "value")), f"{_SQL_FORMS} SELECT e.page_id, e.node_idx, v.pos, v.value FROM el e LEFT JOIN vals v ON e.page_id = v.page_id AND e.node_idx = v.node_idx")
+add("c11_selectors", forms, lambda df: P.sibling_index(H.extract_elements(df)).select("page_id", "node_idx", "selector", "nth", "same_tag"), f"{_SQL_FORMS} SELECT n.page_id, n.node_idx, p.selector, CAST(n.nth AS INT) AS nth, n.same AS same_tag FROM pathed n JOIN path p ON n.page_id = p.page_id AND n.node_idx = p.node_idx")
+add("c12_scan_pii", forms, _scanned, f"{_SQL_FLAGS} SELECT *, CAST(NULL AS VARCHAR) AS agent_id FROM flags")
 _RAW = "CASE " + " ".join(f"WHEN {has(k, 'html')} THEN true" for k in RULES) + " ELSE false END"
 add("c12_page_flags", pages, lambda df: df.select("page_id", (F.size(X.text_pii_types(F.col("html"))) > 0).alias("flagged")), f"SELECT page_id, {_RAW} AS flagged FROM pages")
-add("c13_unscannable", parsed, lambda df: P.as_redaction_inputs(P.unscannable_regions(H.extract_elements(df).withColumn("attrs", F.when((F.col("tag") == "footer"), F.create_map(F.lit(P.CLOSED_HOST), F.lit("1"))).otherwise(F.col("attrs"))))))
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -89,9 +145,24 @@ def _texts(df: DataFrame) -> DataFrame:
     return e.select("page_id", "node_idx", text.alias("text"))
 
 
-add("c16_accessible_text", parsed, _texts)
-add("r10_assign_ids", parsed, lambda df: P.assign_ids(H.extract_elements(df)).select("page_id", "node_idx", "agent_id"))
-add("r11_scanner_ordinals", parsed, lambda df: P.scanner_ordinals(P.scan_pii(H.extract_elements(df), H.extract_text_nodes(df)), 100))
+add("c16_accessible_text", forms, _texts, f"""{_SQL_WHOLE} SELECT e.page_id, e.node_idx, CASE WHEN tag = 'input' THEN coalesce(nullif({_attribute('value')}, ''), nullif({_attribute('placeholder')}, ''), '') WHEN tag = 'select' THEN coalesce(h.text, '')
+ELSE coalesce(nullif({_attribute('aria-label')}, ''), trim(c.text, {_SHOWN}), '') END AS text FROM el e LEFT JOIN chosen h ON h.page_id = e.page_id AND h.node_idx = e.node_idx LEFT JOIN content c ON c.page_id = e.page_id AND c.node_idx = e.node_idx""")
+_ACTS = f"tag IN ('button', 'select', 'textarea', 'input') OR tag = 'a' AND regexp_matches(raw, '\\shref=') OR {_attribute('role')} IN ({', '.join(map(repr, vocab.ACTIONABLE_ROLES))})"
+add("r10_assign_ids", forms, lambda df: P.assign_ids(H.extract_elements(df)).select("page_id", "node_idx", "agent_id"), f"{_SQL_FORMS} SELECT page_id, node_idx, CASE WHEN {_ACTS} THEN 'agent-' || count(*) FILTER (WHERE {_ACTS}) OVER (PARTITION BY page_id ORDER BY node_idx ROWS UNBOUNDED PRECEDING) END AS agent_id FROM el")
+add("r11_scanner_ordinals", forms, lambda df: P.scanner_ordinals(_scanned(df), 100), f"{_SQL_FLAGS} SELECT *, 'agent-' || (101 + seq) AS agent_id FROM flags")
+
+
+def _closed(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pipeline paints over, or says that it cannot place, on pages with roots that no scan can read."""
+    df = pages(spark, sf).select("page_id", F.expr(CLOSED).alias("html"))
+    layout = H.extract_elements(H.parse_pages(df)).where("tag = 'footer' and page_id % 2 = 0").select("page_id", "node_idx", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(30.0).alias("w"), F.lit(4.0).alias("h"))
+    out = pipelines.sanitize_pages(df, "read", layout=layout, dpr=2.0)
+    seen = out.regions.where("type = 'other'").select(F.col("image_id").alias("page_id"), F.lit(None).cast("string").alias("selector"), "x", "h")
+    return seen.unionByName(out.unplaced.where("type = 'other'").select("page_id", "selector", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("h")))
+
+
+_FOOTERS = f"{_sql_elements('html')}, hosts AS (SELECT n.page_id, p.selector FROM pathed n JOIN path p ON n.page_id = p.page_id AND n.node_idx = p.node_idx WHERE n.tag = 'footer')"
+QUERIES["c13_unscannable"] = (_closed, f"{_FOOTERS} SELECT page_id, CASE WHEN page_id % 2 <> 0 THEN selector END AS selector, CASE WHEN page_id % 2 = 0 THEN CAST(2 AS DOUBLE) END AS x, CASE WHEN page_id % 2 = 0 THEN CAST(8 AS DOUBLE) END AS h FROM hosts")
 
 
 def _layout(df: DataFrame) -> DataFrame:
@@ -100,12 +171,31 @@ def _layout(df: DataFrame) -> DataFrame:
     return tags.select("page_id", "node_idx", (F.col("node_idx") % 4 * 300.0).alias("x"), (F.col("node_idx") * 24.0).alias("y"), F.lit(280.0).alias("w"), F.lit(20.0).alias("h"))
 
 
-def _sanitized(spark: SparkSession, sf: str) -> pipelines.SanitizedPages:
-    df = pages(spark, sf)
+def _sanitized(spark: SparkSession, sf: str, max_elements: int = R.MAX_ELEMENTS) -> pipelines.SanitizedPages:
+    df = form_pages(spark, sf)
     acted = df.select("page_id", F.concat(F.lit("agent-"), F.col("page_id") % 5).alias("agent_id"))
-    return pipelines.sanitize_pages(df, "open the article about the and of", layout=_layout(df), acted=acted, scroll=(0.0, 100.0), dpr=2.0)
+    return pipelines.sanitize_pages(df, "open the article about the and of", max_elements, layout=_layout(df), acted=acted, scroll=(0.0, 100.0), dpr=2.0)
 
 
+_TEXT = QUERIES["c16_accessible_text"][1]
+_SQL_IDS = f"""{_TEXT[: _TEXT.index(' SELECT e.page_id')].replace(_SQL_FORMS, _SQL_FLAGS)}, named_texts AS ({_TEXT[_TEXT.index(' SELECT e.page_id'):]}),
+own AS (SELECT *, {_ACTS} AS acts, count(*) FILTER (WHERE {_ACTS}) OVER (PARTITION BY page_id ORDER BY node_idx ROWS UNBOUNDED PRECEDING) AS n, count(*) FILTER (WHERE {_ACTS}) OVER (PARTITION BY page_id) AS top FROM el),
+marked AS (SELECT f.*, CASE WHEN o.acts THEN 'agent-' || o.n ELSE 'agent-' || (o.top + count(*) FILTER (WHERE NOT o.acts) OVER (PARTITION BY f.page_id ORDER BY f.seq ROWS UNBOUNDED PRECEDING)) END AS agent_id FROM flags f JOIN own o ON f.page_id = o.page_id AND f.node_idx = o.node_idx)"""
 QUERIES["p1_sanitize_pages"] = (lambda spark, sf: _sanitized(spark, sf).nodes, None)
-QUERIES["p1_page_regions"] = (lambda spark, sf: _sanitized(spark, sf).regions, None)
+QUERIES["p1_sent_nodes"] = (
+    lambda spark, sf: _sanitized(spark, sf, 10**6).nodes.select("page_id", "node_idx", "agent_id", "tag", "role", "type", "text", "sensitive", "kept"),
+    f"""{_SQL_IDS}, sent AS (SELECT o.page_id, o.node_idx, 'agent-' || o.n AS agent_id, o.tag, CASE o.tag WHEN 'a' THEN 'link' WHEN 'select' THEN 'combobox' ELSE 'textbox' END AS role, CASE o.tag WHEN 'input' THEN 'email' END AS type, t.text
+FROM own o JOIN named_texts t ON o.page_id = t.page_id AND o.node_idx = t.node_idx WHERE o.acts AND o.n <> o.page_id % 5), guarded AS (SELECT *, EXISTS (SELECT 1 FROM marked m WHERE m.page_id = sent.page_id AND m.agent_id = sent.agent_id) AS sensitive FROM sent)
+SELECT page_id, node_idx, agent_id, tag, role, type, CASE WHEN NOT sensitive THEN text END AS text, sensitive, true AS kept FROM guarded""",
+)
+QUERIES["p1_page_regions"] = (
+    lambda spark, sf: _sanitized(spark, sf).regions,
+    f"{_SQL_IDS} SELECT page_id AS image_id, pii_type AS type, CAST(NULL AS VARCHAR) AS raw_type, node_idx % 4 * CAST(600 AS DOUBLE) AS x, node_idx * CAST(48 AS DOUBLE) + 200 AS y, CAST(560 AS DOUBLE) AS w, CAST(40 AS DOUBLE) AS h, agent_id, 'dom' AS source, seq AS region_idx FROM marked",
+)
 QUERIES["p1_egress"] = (lambda spark, sf: _sanitized(spark, sf).leaks, None)
+QUERIES["a4_page_counts"] = (
+    lambda spark, sf: _sanitized(spark, sf, 10**6).counts.select("page_id", "actionable_nodes", "sensitive_nodes", "candidates", "selected", "dropped", "regions", "unplaced", "frames_reported", "unscannable_regions", "leaks"),
+    f"""{_SQL_IDS}, f AS (SELECT page_id, count(*) AS n FROM marked GROUP BY page_id), e AS (SELECT page_id, count(*) FILTER (WHERE acts) AS acts, count(*) FILTER (WHERE acts AND n <> page_id % 5) AS left_ FROM own GROUP BY page_id)
+SELECT p.page_id, coalesce(acts, 0) AS actionable_nodes, coalesce(n, 0) AS sensitive_nodes, coalesce(left_, 0) AS candidates, coalesce(left_, 0) AS selected, 0 AS dropped, coalesce(n, 0) AS regions, 0 AS unplaced, 0 AS frames_reported, 0 AS unscannable_regions, 0 AS leaks
+FROM pages p LEFT JOIN e ON p.page_id = e.page_id LEFT JOIN f ON p.page_id = f.page_id""",
+)

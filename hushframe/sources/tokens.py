@@ -138,7 +138,7 @@ t9 AS (SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN n_before - n
   FROM t8 WINDOW page AS (PARTITION BY page_id ORDER BY tok {plain})),
 roles AS (SELECT *, depth AS key, 1 AS role FROM t9 WHERE kind <> 'close' UNION ALL SELECT *, depth + 1, 0 FROM t9 WHERE kind = 'open'),
 held AS (SELECT *, max(CASE role WHEN 0 THEN node_idx END) OVER (PARTITION BY page_id, key ORDER BY tok, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent_idx FROM roles),
-nested AS (SELECT page_id, tok, kind, tag, raw, CAST(node_idx AS INT) AS node_idx, CAST(parent_idx AS INT) AS parent_idx, coalesce(hidden_to, -1) < tok AS visible FROM held WHERE role = 1)"""
+nested AS (SELECT page_id, tok, kind, tag, raw, CAST(node_idx AS INT) AS node_idx, CAST(parent_idx AS INT) AS parent_idx, coalesce(hidden_to, -1) < tok AS visible, stop FROM held WHERE role = 1)"""
 
 
 def sql_decoded(column: str) -> str:
