@@ -24,12 +24,13 @@ def stage_deltas(marks: DataFrame) -> DataFrame:
     return marks.withColumn("delta_ms", js_round(F.col("ts_ms") - F.lag("ts_ms").over(w), 1)).withColumn("since_start_ms", js_round(F.col("ts_ms") - first, 1))
 
 
-def run_summary(marks: DataFrame) -> DataFrame:
-    """(run_id, total_ms, total_steps, peak_heap_mb, memory_known, stages): stages in order."""
-    return marks.groupBy("run_id").agg(
+def run_summary(marks: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """(run_id, total_ms, total_steps, peak_heap_mb, memory_known, stages): stages in order; and outcome, if outcomes (run_id, outcome) are given."""
+    out = marks.groupBy("run_id").agg(
         (F.max("ts_ms") - F.min("ts_ms")).alias("total_ms"), F.max("step").alias("total_steps"), F.max("heap_mb").alias("peak_heap_mb"),
         (F.count("heap_mb") > 0).alias("memory_known"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "stage"))), lambda s: s["stage"]).alias("stages"),
     )
+    return out if outcomes is None else out.join(outcomes.select("run_id", "outcome"), "run_id", "left")
 
 
 def count_kinds(rows: DataFrame, by: list[str], kinds: dict[str, Column]) -> DataFrame:

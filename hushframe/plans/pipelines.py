@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions import geometry as G
 from hushframe.functions import text as X
 from hushframe.operators import boxes as B
 from hushframe.operators import frames as J
@@ -92,15 +94,34 @@ def audit_runs(actions: DataFrame, nodes: DataFrame, profiles: DataFrame, risk,
     return counts.join(stall, "run_id", "left").join(ended.select("run_id", "outcome"), "run_id", "left").join(L.run_summary(marks), "run_id", "left")
 
 
-def detector_report(boxes: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, total, after_class, after_nms, after_cap) of each image's boxes through the chain of filters."""
+@dataclass
+class DetectorReport:
+    """images: (image_id, total, after_class, after_nms, after_cap) and the image's latency (cold_ms, warm_runs, warm_median_ms, within_gate);
+    sweep: (threshold, label, before, after) over all images."""
+
+    images: DataFrame
+    sweep: DataFrame
+
+
+def detector_report(anchors: DataFrame, images: DataFrame, timings: DataFrame, classes: list[str], threshold: float, thresholds: list[float]) -> DetectorReport:
+    """What a detector's raw output comes to, filter by filter.
+
+    anchors: image_id, anchor_idx, cx, cy, w, h and scores (an array) in letterboxed pixels; images: image_id, width, height,
+    pad_x, pad_y, ratio, by which boxes go back to image pixels; timings: image_id, seq, ms. An image without timings has a
+    null latency, and is not within the gate.
+    """
+    raw = B.decode_predictions(anchors, classes, threshold)
+    fit = images.select("image_id", "pad_x", "pad_y", "ratio")
+    corners = {c: G.unletterbox(F.col(c), F.col("pad_x" if c[0] == "x" else "pad_y"), F.col("ratio")) for c in ("xmin", "ymin", "xmax", "ymax")}
+    boxes = raw.join(fit, "image_id").withColumns(corners).select(raw.columns)
     privacy = B.keep_privacy_labels(boxes)
     single = B.nms(privacy)
     capped = B.area_cap(single, images)
-    out = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("total"))
-    for df, name in ((privacy, "after_class"), (single, "after_nms"), (capped, "after_cap")):
-        out = out.join(df.groupBy("image_id").agg(F.count(F.lit(1)).alias(name)), "image_id", "left")
-    return out.select("image_id", "total", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("after_class", "after_nms", "after_cap")])
+    stages = [df.select("image_id", F.lit(k).alias("stage")) for k, df in enumerate((boxes, privacy, single, capped))]
+    names = ("total", "after_class", "after_nms", "after_cap")
+    out = reduce(DataFrame.unionByName, stages).groupBy("image_id").agg(*[F.count_if(F.col("stage") == k).alias(n) for k, n in enumerate(names)])
+    out = out.join(L.latency_summary(timings.select("image_id", "seq", "ms"), "image_id"), "image_id", "left").withColumn("within_gate", F.coalesce("within_gate", F.lit(False)))
+    return DetectorReport(out, B.threshold_sweep(boxes, thresholds))
 
 
 def merge_subframes(reports: DataFrame, tokens: DataFrame, iframes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

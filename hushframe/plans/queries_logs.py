@@ -23,7 +23,6 @@ def of(name: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 _W = "OVER (PARTITION BY run_id ORDER BY seq)"
 QUERIES["r6_stage_deltas"] = (of("marks", lambda df: L.stage_deltas(df).select("seq", "delta_ms", "since_start_ms")), f"{with_views('marks')} SELECT seq, floor((ts_ms - lag(ts_ms) {_W}) * 10 + 0.5) / 10 AS delta_ms, floor((ts_ms - first_value(ts_ms) {_W}) * 10 + 0.5) / 10 AS since_start_ms FROM marks")
-QUERIES["a3_run_summary"] = (of("marks", lambda df: L.run_summary(df).withColumn("stages", F.array_join("stages", ","))), f"{with_views('marks')} SELECT run_id, max(ts_ms) - min(ts_ms) AS total_ms, max(step) AS total_steps, max(heap_mb) AS peak_heap_mb, count(heap_mb) > 0 AS memory_known, string_agg(stage, ',' ORDER BY seq) AS stages FROM marks GROUP BY run_id")
 _KINDS = ["error", "click", "view", "purchase", "signup", "scroll"]
 QUERIES["a4_stage_counts"] = (of("marks", lambda df: L.count_kinds(df, ["run_id", "step"], {f"n_{k}": F.col("stage") == k for k in _KINDS})), f"{with_views('marks')} SELECT run_id, step, {', '.join(f'count(*) FILTER (WHERE stage = {k!r}) AS n_{k}' for k in _KINDS)} FROM marks GROUP BY run_id, step")
 QUERIES["a5_latency_summary"] = (of("marks", lambda df: L.latency_summary(df.where("heap_mb is not null").select("run_id", "seq", (F.col("heap_mb") * 100).alias("ms")))), f"{with_views('marks')}, t AS (SELECT run_id, heap_mb * 100 AS ms, row_number() {_W} AS n FROM marks WHERE heap_mb IS NOT NULL) SELECT run_id, max(ms) FILTER (WHERE n = 1) AS cold_ms, count(*) FILTER (WHERE n > 1) AS warm_runs, median(ms) FILTER (WHERE n > 1) AS warm_median_ms, coalesce(median(ms) FILTER (WHERE n > 1) < 1000, false) AS within_gate FROM t GROUP BY run_id")
@@ -60,6 +59,12 @@ def _outcomes(df: DataFrame) -> DataFrame:
 QUERIES["r15_run_outcomes"] = (of("marks", _outcomes), f"""{with_views('marks')}, t AS (SELECT run_id, {_STEP} AS step, seq % 4 AS stage_rank, {_ENDED} AS outcome FROM marks),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step, stage_rank, outcome) AS n FROM t WHERE outcome IS NOT NULL), m AS (SELECT run_id, max(step) AS last FROM t GROUP BY run_id)
 SELECT m.run_id, coalesce(r.outcome, CASE WHEN last >= 25 THEN 'max_steps_reached' END) AS outcome, coalesce(r.step, last) AS step FROM m LEFT JOIN r ON m.run_id = r.run_id AND r.n = 1""")
+_R15 = QUERIES["r15_run_outcomes"][1]
+QUERIES["a3_run_summary"] = (
+    of("marks", lambda df: L.run_summary(df, _outcomes(df)).withColumn("stages", F.array_join("stages", ","))),
+    f"""WITH ended AS ({_R15}), {with_views('marks')[5:]}, a AS (SELECT run_id, max(ts_ms) - min(ts_ms) AS total_ms, max(step) AS total_steps, max(heap_mb) AS peak_heap_mb, count(heap_mb) > 0 AS memory_known, string_agg(stage, ',' ORDER BY seq) AS stages FROM marks GROUP BY run_id)
+SELECT a.*, e.outcome FROM a LEFT JOIN ended e ON a.run_id = e.run_id""",
+)
 _PATCH = "concat('{\"stage\":\"', event_type, '\"', CASE event_id % 4 WHEN 0 THEN ',\"lastError\":null' WHEN 1 THEN concat(',\"lastError\":\"e', CAST(event_id AS STRING), '\"') ELSE '' END, '}')"
 
 

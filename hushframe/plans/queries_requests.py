@@ -104,10 +104,27 @@ p AS (SELECT *, inter / (one + two - inter + 1e-9) AS iou FROM i), g AS (SELECT
 m AS (SELECT image_id, label, count(*) AS matched, max(drift) AS max_drift, max(delta) AS max_score_delta FROM g WHERE ra = 1 AND rb = 1 GROUP BY image_id, label), n AS (SELECT image_id, label, count(*) AS n FROM boxes GROUP BY image_id, label)
 SELECT n.image_id, n.label, coalesce(matched, 0) AS matched, n - coalesce(matched, 0) AS missing, n - coalesce(matched, 0) AS extra, max_drift, max_score_delta FROM n LEFT JOIN m ON n.image_id = m.image_id AND n.label = m.label""")
 _SINGLE = _NMS.replace("FROM boxes)", "FROM boxes WHERE lower(label) IN ('person', 'book'))")
-QUERIES["p4_detector_report"] = (lambda spark, sf: pipelines.detector_report(view(spark, sf, "boxes"), view(spark, sf, "images")), f"""{with_views('boxes', 'images').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_SINGLE}, single AS (SELECT b.* FROM (SELECT unnest(kept) AS k FROM last) x JOIN boxes b ON b.box_idx = x.k.i),
-{_CAPPED.replace('FROM boxes b', 'FROM single b')}, cap AS (SELECT image_id, count(*) AS n FROM s WHERE total IS NULL OR running / total <= 0.65 GROUP BY image_id)
-SELECT a.image_id, a.total, a.after_class, coalesce(c.n, 0) AS after_nms, coalesce(d.n, 0) AS after_cap FROM (SELECT image_id, count(*) AS total, count(*) FILTER (WHERE lower(label) IN ('person', 'book')) AS after_class FROM boxes GROUP BY image_id) a
-LEFT JOIN (SELECT image_id, count(*) AS n FROM single GROUP BY image_id) c ON a.image_id = c.image_id LEFT JOIN cap d ON a.image_id = d.image_id""")
+
+
+def _report(spark: SparkSession, sf: str) -> pipelines.DetectorReport:
+    """The boxes as a detector's anchors in letterboxed pixels, one class score each."""
+    labels = ["person", "Book", "laptop"]
+    half = [f"({a} + {b}) / 2 * 0.5 + {pad}" for a, b, pad in (("xmin", "xmax", 8), ("ymin", "ymax", 16))]
+    scores = F.array(*[F.when(F.col("label") == c, F.col("score")).otherwise(0.0) for c in labels])
+    anchors = view(spark, sf, "boxes").select("image_id", F.col("box_idx").alias("anchor_idx"), F.expr(half[0]).alias("cx"), F.expr(half[1]).alias("cy"), F.expr("(xmax - xmin) * 0.5").alias("w"), F.expr("(ymax - ymin) * 0.5").alias("h"), scores.alias("scores"))
+    images = view(spark, sf, "images").select("*", F.lit(8.0).alias("pad_x"), F.lit(16.0).alias("pad_y"), F.lit(0.5).alias("ratio"))
+    timings = view(spark, sf, "boxes").where("image_id % 5 <> 0").select("image_id", F.col("box_idx").alias("seq"), (F.col("score") * 2000).alias("ms"))
+    return pipelines.detector_report(anchors, images, timings, labels, 0.1, [0.3, 0.5, 0.7])
+
+
+_SOUND = f"""{with_views('boxes', 'images').replace('WITH ', 'WITH RECURSIVE ', 1).replace('boxes AS', 'every AS')}, boxes AS (SELECT * FROM every WHERE score >= 0.1 AND image_id IN (SELECT image_id FROM images))"""
+QUERIES["p4_detector_report"] = (lambda spark, sf: _report(spark, sf).images, f"""{_SOUND}, {_SINGLE}, single AS (SELECT b.* FROM (SELECT unnest(kept) AS k FROM last) x JOIN boxes b ON b.box_idx = x.k.i),
+{_CAPPED.replace('FROM boxes b', 'FROM single b')}, cap AS (SELECT image_id, count(*) AS n FROM s WHERE total IS NULL OR running / total <= 0.65 GROUP BY image_id),
+t AS (SELECT image_id, score * 2000 AS ms, row_number() OVER (PARTITION BY image_id ORDER BY box_idx) AS n FROM every WHERE image_id % 5 <> 0),
+l AS (SELECT image_id, max(ms) FILTER (WHERE n = 1) AS cold_ms, count(*) FILTER (WHERE n > 1) AS warm_runs, median(ms) FILTER (WHERE n > 1) AS warm_median_ms FROM t GROUP BY image_id)
+SELECT a.image_id, a.total, a.after_class, coalesce(c.n, 0) AS after_nms, coalesce(d.n, 0) AS after_cap, l.cold_ms, l.warm_runs, l.warm_median_ms, coalesce(l.warm_median_ms < 1000, false) AS within_gate FROM (SELECT image_id, count(*) AS total, count(*) FILTER (WHERE lower(label) IN ('person', 'book')) AS after_class FROM boxes GROUP BY image_id) a
+LEFT JOIN (SELECT image_id, count(*) AS n FROM single GROUP BY image_id) c ON a.image_id = c.image_id LEFT JOIN cap d ON a.image_id = d.image_id LEFT JOIN l ON a.image_id = l.image_id""")
+QUERIES["p4_threshold_sweep"] = (lambda spark, sf: _report(spark, sf).sweep, QUERIES["a6_threshold_sweep"][1])
 
 _RAW = "text IS NOT NULL AND trim(text) <> ''"
 _LEAKS = f"""rg AS (SELECT *, coalesce(given, CASE WHEN agent_id IS NOT NULL THEN 'dom' ELSE 'vision' END) AS source FROM regions),
@@ -158,8 +175,8 @@ _TOKENS = {"page_id": "n_nationkey", "token": "concat('t', CAST(k AS STRING))",
 def _frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     supplier = spark.read.parquet(f"{sf}/supplier.parquet")
     reports = supplier.selectExpr(*[f"{e} AS {c}" for c, e in _REPORTS.items()])
-    keys = supplier.selectExpr("s_suppkey % 40 AS k").distinct()
-    tokens = spark.read.parquet(f"{sf}/nation.parquet").join(F.broadcast(keys), F.lit(True)).selectExpr(*[f"{e} AS {c}" for c, e in _TOKENS.items()])  # 40 keys
+    known = supplier.selectExpr("s_suppkey % 40 AS k").distinct()
+    tokens = spark.read.parquet(f"{sf}/nation.parquet").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long")))).join(known, "k", "left_semi").selectExpr(*[f"{e} AS {c}" for c, e in _TOKENS.items()])
     iframes = tokens.select("page_id", "token", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), (F.col("page_id") % 3 * 1.0).alias("w"), F.lit(5.0).alias("h"))
     return reports, tokens, iframes
 
