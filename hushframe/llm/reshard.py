@@ -182,7 +182,8 @@ def rewrite(source: str, target: str, plan: DataFrame, key: str = "doc_id") -> l
     """Write to target the shard folders that lose or gain rows under plan (key, old_shard, shard); the others stay as they are.
 
     source has folders old_shard=K of Parquet files. Each row is written once: nulls match nulls, repeated rows are counted
-    off against the plan's. A second run replaces the folders of the first. Returns the new shards that were written.
+    off against the plan's. A second run replaces the folders of the first, also those that it leaves without rows: target holds the
+    rewritten shards of the last run and nothing else. Returns the new shards that gained or lost rows; one without rows has no folder.
     """
     spark = plan.sparkSession
     touched = plan.where(~F.col("old_shard").eqNullSafe(F.col("shard"))).select(F.explode(F.array("old_shard", "shard")).alias("k")).distinct()
@@ -204,7 +205,7 @@ def rewrite(source: str, target: str, plan: DataFrame, key: str = "doc_id") -> l
     for c, i in zip(same, ids, strict=True):
         match = match & docs[c].eqNullSafe(moves[i])
     out = docs.join(moves, match).drop("old_shard", "plan_n", *ids, *[v for k, v in names.items() if k != "shard"])
-    out.repartition(name, F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy(name).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
+    out.repartition(name, F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy(name).option("partitionOverwriteMode", "static").mode("overwrite").parquet(target)
     return shards
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hushframe.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, queries, reshard, suffix_dedup, token_counts
+from hushframe.llm import common, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, queries, reshard, suffix_dedup, token_counts
 from tests.oracle import check
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -115,7 +115,7 @@ def test_rewrite_writes_each_row_once(spark, tmp_path):
     rows = [(k % 20 if k % 7 else None, f"text {k % 3}", k % 3 if k % 5 else None) for k in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, old_shard int")
     docs.write.partitionBy("old_shard").parquet(f"{tmp_path}/old")
-    plan = reshard.reshard(docs, F.col("old_shard"), shards=3).localCheckpoint()
+    plan = common.cut(reshard.reshard(docs, F.col("old_shard"), shards=3))
     for _ in range(2):
         assert reshard.rewrite(f"{tmp_path}/old", f"{tmp_path}/new", plan) == [0, 1, 2]
         new = spark.read.parquet(f"{tmp_path}/new").collect()
@@ -123,6 +123,17 @@ def test_rewrite_writes_each_row_once(spark, tmp_path):
         assert collections.Counter((r.doc_id, r.shard) for r in new) == collections.Counter((r.doc_id, r.shard) for r in plan.collect())
 
 
+def test_a_second_rewrite_leaves_nothing_of_the_first(spark, tmp_path):
+    old = spark.createDataFrame([(k, f"t{k}", k % 4) for k in range(8)], "doc_id long, text string, old_shard int")
+    old.write.partitionBy("old_shard").parquet(f"{tmp_path}/old")
+    for moves, touched in (({0: 1, 2: 3}, [0, 1, 2, 3]), ({0: 1}, [0, 1])):
+        place = F.coalesce(F.create_map(*[F.lit(x) for pair in moves.items() for x in pair])[F.col("old_shard")], F.col("old_shard"))
+        plan = old.select("doc_id", "old_shard", place.alias("shard"))
+        assert reshard.rewrite(f"{tmp_path}/old", f"{tmp_path}/new", plan) == touched
+        rows = sorted((r.doc_id, r.shard) for r in spark.read.parquet(f"{tmp_path}/new").collect())
+        assert rows == sorted((r.doc_id, r.shard) for r in plan.collect() if r.shard in touched)  # the emptied shards 0 and 2 have no rows
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
