@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,8 @@ def columns(prefix: str = "") -> Box:
 
 def is_finite(*values: Column) -> Column:
     """False for null, NaN and infinite values."""
-    out = F.lit(True)
-    for v in values:
-        v = v.cast("double")
-        out = out & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    return F.coalesce(out, F.lit(False))
+    inside = [F.abs(v.cast("double")) < float("inf") for v in values]  # NaN is above all numbers
+    return F.coalesce(reduce(Column.__and__, inside), F.lit(False))
 
 
 def translate(box: Box, dx: Column, dy: Column) -> Box:

@@ -58,13 +58,14 @@ def page_rows(parsed: DataFrame, **inputs: DataFrame | None) -> DataFrame:
     return known.unionByName(parsed.where("page_id is null").withColumns(none))
 
 
-def _put(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is taken once for each row.
+def _put(df: DataFrame, name: str, value: Column, *more: str | Column) -> DataFrame:
+    """df with a column, and further ones as name and value in turn, that are taken once for each row.
 
     The optimizer moves an expression of one use to where it is used, even into a lambda, which then takes it anew for each
     element; it leaves one alone that names its partition.
     """
-    return df.withColumn(name, F.when(F.spark_partition_id() >= 0, value))
+    parts = [name, value, *more]
+    return df.withColumns({n: F.when(F.spark_partition_id() >= 0, v) for n, v in zip(parts[::2], parts[1::2], strict=True)})
 
 
 def _box(n: Column) -> G.Box:
@@ -95,8 +96,8 @@ def with_ids(rows: DataFrame) -> DataFrame:
     old = F.transform(F.filter("_own", lambda m: ~m["new"]), lambda m: F.struct(m["idx"].alias("idx"), m["id"].alias("id")))
     df = df.transform(_put, "_new", new).transform(_put, "_all", F.sort_array(F.concat(old, F.col("_new"))))
     df = df.transform(_put, "_by_id", F.sort_array(F.transform(F.filter("_all", lambda m: m["id"].isNotNull()), lambda m: F.struct(m["id"].alias("id"), (-m["idx"]).alias("back")))))
-    df = df.transform(_put, "last_ids", F.sort_array(F.transform(_changes("_by_id", "id"), lambda m: -m["back"])))
-    return df.transform(_put, "ids", F.transform("_all", lambda m: m["id"])).transform(_put, "n_ids", F.col("_top") + F.size("_new")).drop("_own", "_top", "_new", "_all", "_by_id")
+    last = F.sort_array(F.transform(_changes("_by_id", "id"), lambda m: -m["back"]))
+    return df.transform(_put, "last_ids", last, "ids", F.transform("_all", lambda m: m["id"]), "n_ids", F.col("_top") + F.size("_new")).drop("_own", "_top", "_new", "_all", "_by_id")
 
 
 def with_flags(rows: DataFrame) -> DataFrame:
@@ -165,6 +166,12 @@ def with_frames(rows: DataFrame) -> DataFrame:
     return df.transform(_put, "blind", blind).drop("_bad")
 
 
+def without_frames(rows: DataFrame) -> DataFrame:
+    """rows of pages whose frames nothing is known of, with the columns of with_frames."""
+    moved = f"array<struct<frame_id: bigint, token: string, part: string, agent_id: string, tag: string, role: string, type: string, text: string, pii_type: string, selector: string, {_BOX}>>"
+    return rows.withColumns({"moved": F.array().cast(moved), "merged": F.array().cast("array<string>"), "blind": F.array().cast(f"array<{INPUTS['iframes']}>")})
+
+
 def with_nodes(rows: DataFrame) -> DataFrame:
     """rows with nodes: the snapshot that may be sent, raw, without nodes used before; sensitive is set where a flag names the node."""
     def node(idx: Column) -> Column:
@@ -181,8 +188,7 @@ def with_nodes(rows: DataFrame) -> DataFrame:
         return _node(F.size("elements") + k, r["agent_id"], r["tag"], r["role"], r["type"], r["text"], r)
 
     theirs = F.transform(F.filter("moved", lambda r: r["part"] == "sensitive"), lambda r: r["agent_id"])
-    df = rows.transform(_put, "_flagged", F.array_compact(F.concat(F.transform("flags", lambda f: f["agent_id"]), theirs)))
-    df = df.transform(_put, "_used", F.array_compact(F.transform("acted", lambda a: a["agent_id"])))
+    df = rows.transform(_put, "_flagged", F.array_compact(F.concat(F.transform("flags", lambda f: f["agent_id"]), theirs)), "_used", F.array_compact(F.transform("acted", lambda a: a["agent_id"])))
     every = F.concat(F.transform("last_ids", node), F.transform(F.filter("moved", lambda r: r["part"] == "node"), of_frame))
     return df.transform(_put, "nodes", F.filter(every, lambda n: ~F.coalesce(F.array_contains("_used", n["agent_id"]), F.lit(False)))).drop("_flagged", "_used")
 
@@ -214,8 +220,8 @@ def with_ranks(rows: DataFrame, goal: Column, max_elements: int = R.MAX_ELEMENTS
     free = F.filter(F.transform("nodes", lambda n, k: F.struct((-F.get(F.col("_scores"), k)).alias("less"), n["node_idx"].alias("idx"), n["sensitive"].alias("sensitive"))), lambda s: ~s["sensitive"])
     best = F.transform(F.slice(F.sort_array(free), F.lit(1), F.greatest(F.lit(0), max_elements - held)), lambda s: s["idx"])
     df = df.transform(_put, "_best", F.when(many, best))
-    df = df.transform(_put, "kept", F.transform("nodes", lambda n: ~many | n["sensitive"] | F.coalesce(F.array_contains("_best", n["node_idx"]), F.lit(False))))
-    return df.transform(_put, "scores", F.transform("nodes", lambda n, k: G.js_round(F.get(F.col("_scores"), k), 4))).drop("_base", "_order", "_anchors", "_scores", "_best")
+    kept = F.transform("nodes", lambda n: ~many | n["sensitive"] | F.coalesce(F.array_contains("_best", n["node_idx"]), F.lit(False)))
+    return df.transform(_put, "kept", kept, "scores", F.transform("nodes", lambda n, k: G.js_round(F.get(F.col("_scores"), k), 4))).drop("_base", "_order", "_anchors", "_scores", "_best")
 
 
 def with_regions(rows: DataFrame, scroll: tuple[float, float], dpr: float) -> DataFrame:
@@ -247,19 +253,22 @@ def with_regions(rows: DataFrame, scroll: tuple[float, float], dpr: float) -> Da
         return region(d["kind"], G.scale(moved, F.lit(float(dpr))), d["agent_id"], "dom")
 
     every = F.concat(F.transform(F.sort_array("boxes"), vision), F.transform("_dom", painted))
-    df = df.transform(_put, "regions", F.filter(every, lambda r: r["x"].isNotNull()))
     gone = F.filter("_dom", lambda d: ~G.is_finite(*_box(d)))
-    return df.transform(_put, "unplaced", F.transform(gone, lambda d: F.struct(d["selector"].alias("selector"), d["kind"].alias("type")))).drop("_dom")
+    return df.transform(_put, "regions", F.filter(every, lambda r: r["x"].isNotNull()), "unplaced", F.transform(gone, lambda d: F.struct(d["selector"].alias("selector"), d["kind"].alias("type")))).drop("_dom")
 
 
-def with_leaks(rows: DataFrame) -> DataFrame:
-    """rows with sent (the sanitised nodes: text null where sensitive, and whether each is kept) and leaks: agent ids whose raw text still stands in what is kept."""
+def with_sent(rows: DataFrame) -> DataFrame:
+    """rows with sent: the sanitised nodes, text null where sensitive, and whether each is kept."""
     def clean(n: Column, k: Column) -> Column:
         text = F.when(~n["sensitive"], n["text"])
         return F.struct(*[n[c].alias(c) for c in ("node_idx", "agent_id", "tag", "role", "type")], text.alias("text"), n["sensitive"].alias("sensitive"), F.get(F.col("kept"), k).alias("kept"), F.get(F.col("scores"), k).alias("score"))
 
-    df = rows.transform(_put, "sent", F.transform("nodes", clean))
-    df = df.transform(_put, "_payload", F.to_json(F.transform(F.filter("sent", lambda n: n["kept"]), lambda n: F.struct(*[n[c].alias(c) for c in ("agent_id", "tag", "role", "type", "text")]))))
+    return rows.transform(_put, "sent", F.transform("nodes", clean))
+
+
+def with_leaks(rows: DataFrame) -> DataFrame:
+    """rows with leaks: agent ids whose raw text still stands in what is kept of sent."""
+    df = rows.transform(_put, "_payload", F.to_json(F.transform(F.filter("sent", lambda n: n["kept"]), lambda n: F.struct(*[n[c].alias(c) for c in ("agent_id", "tag", "role", "type", "text")]))))
     held = F.transform(F.filter("nodes", lambda n: n["sensitive"]), lambda n: F.struct(n["agent_id"].alias("id"), X.js_trim(n["text"]).alias("raw")))
 
     def out(v: Column) -> Column:
@@ -286,21 +295,25 @@ def counted(rows: DataFrame) -> Column:
     )
 
 
-def sanitize_rows(
-    rows: DataFrame, goal: str, max_elements: int = R.MAX_ELEMENTS, scroll: tuple[float, float] = (0.0, 0.0), dpr: float = 1.0, viewport: tuple[float, float] = R.VIEWPORT, weights: dict[str, float] = R.WEIGHTS,
-) -> DataFrame:
-    """(page_id, error, sent, regions, unplaced, leaks, counts) of page rows, each in its row.
+def ranked_rows(rows: DataFrame, goal: str, max_elements: int = R.MAX_ELEMENTS, viewport: tuple[float, float] = R.VIEWPORT, weights: dict[str, float] = R.WEIGHTS, frames: bool = True) -> DataFrame:
+    """Page rows scanned, flagged, merged with their frames and ranked. Without frames the rows' reports and iframes are known to be empty."""
+    df = with_places(with_flags(with_ids(rows)))
+    df = with_nodes(with_frames(df) if frames else without_frames(df))
+    return with_ranks(df, F.array_distinct(X.tokenize(F.lit(goal))), max_elements, weights, viewport)
+
+
+def finished_rows(ranked: DataFrame, scroll: tuple[float, float] = (0.0, 0.0), dpr: float = 1.0) -> DataFrame:
+    """(page_id, error, sent, regions, unplaced, leaks, counts) of ranked rows.
 
     Nodes of merged frames come after the page's own; what a frame's report could not be merged for, and what no scan can see into, becomes a
     region of type other. A page that could not be parsed has its error and nothing else: nothing of it is sent.
     """
-    df = with_nodes(with_frames(with_places(with_flags(with_ids(rows)))))
-    df = with_leaks(with_regions(with_ranks(df, F.array_distinct(X.tokenize(F.lit(goal))), max_elements, weights, viewport), scroll, dpr))
+    df = with_leaks(with_sent(with_regions(ranked, scroll, dpr)))
     return df.select("page_id", "error", "sent", "regions", "unplaced", "leaks", counted(df).alias("counts"))
 
 
 def sent_nodes(rows: DataFrame) -> DataFrame:
-    """Node rows of sanitize_rows: what is kept may leave; the rest shows what was dropped, dropped its number on the page."""
+    """Node rows of pages with sent: what is kept may leave; the rest shows what was dropped, dropped its number on the page."""
     dropped = F.size(F.filter("sent", lambda n: ~n["kept"])).cast("long")
     return rows.select("page_id", dropped.alias("dropped"), F.explode("sent").alias("n")).select("page_id", *[F.col(f"n.{c}").alias(c) for c in ("node_idx", "agent_id", "tag", "role", "type", "text", "sensitive", "kept")], "dropped")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -34,17 +34,23 @@ class SanitizedPages:
     """nodes: ranked and sanitised nodes, of which those marked kept may leave; regions: what is to be painted over, screenshot
     pixels; leaks: (page_id, agent_id) whose raw value still stands in its page's outgoing nodes, none if all is well;
     unplaced: (page_id, selector, type) of what ought to be painted over but has no place: the screenshots of these pages must
-    not leave; counts: one row of named counts for each page."""
+    not leave; counts: one row of named counts for each page. Each is planned where it is asked for; rows has all of them at once."""
 
-    rows: DataFrame
+    ranked: DataFrame
+    scroll: tuple[float, float]
+    dpr: float
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return W.finished_rows(self.ranked, self.scroll, self.dpr)
 
     @property
     def nodes(self) -> DataFrame:
-        return W.sent_nodes(self.rows)
+        return W.sent_nodes(W.with_sent(self.ranked))
 
     @property
     def regions(self) -> DataFrame:
-        return W.region_rows(self.rows)
+        return W.region_rows(W.with_regions(self.ranked, self.scroll, self.dpr))
 
     @property
     def leaks(self) -> DataFrame:
@@ -73,7 +79,9 @@ def sanitize_pages(
     """
     boxes = None if boxes is None else boxes.withColumnRenamed("image_id", "page_id")
     rows = W.page_rows(H.parse_pages(pages), layout=layout, acted=acted, boxes=boxes, reports=reports, tokens=tokens, iframes=iframes)
-    return SanitizedPages(W.sanitize_rows(rows, goal, max_elements, scroll, dpr))
+    if not 0 < dpr < float("inf"):
+        raise ValueError("dpr must be finite and above 0")
+    return SanitizedPages(W.ranked_rows(rows, goal, max_elements, frames=any(x is not None for x in (reports, tokens, iframes))), scroll, dpr)
 
 
 def admit_requests(requests: DataFrame) -> DataFrame:

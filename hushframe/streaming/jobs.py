@@ -45,7 +45,7 @@ def stream_pii(texts: DataFrame) -> DataFrame:
 
 def stream_pages(pages: DataFrame, goal: str, max_elements: int = R.MAX_ELEMENTS) -> DataFrame:
     """Node rows of arriving pages (page_id, html), scanned, flagged, ranked and sanitised, each page in its row: no state, no shuffle, append mode."""
-    return W.sent_nodes(W.sanitize_rows(W.page_rows(H.parse_pages(pages)), goal, max_elements))
+    return W.sent_nodes(W.with_sent(W.ranked_rows(W.page_rows(H.parse_pages(pages)), goal, max_elements, frames=False)))
 
 
 def run_to_files(stream: DataFrame, folder: str) -> DataFrame:

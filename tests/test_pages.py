@@ -88,7 +88,7 @@ def test_rows_equal_table_operators(spark, sf_dir):
     nodes = J.flag_sensitive(nodes, flagged)
     wanted = R.rank_elements(nodes, F.array_distinct(X.tokenize(F.lit(goal))), 5).select("page_id", "node_idx", "agent_id", "kept", "score", "dropped")
     layout = elements.select("page_id", "node_idx", *[((F.col("node_idx") * k) % 900).cast("double").alias(c) for k, c in ((37, "x"), (53, "y"), (7, "w"), (11, "h"))])
-    got = W.sanitize_rows(W.page_rows(parsed, layout=layout), goal, 5)
+    got = W.with_sent(W.ranked_rows(W.page_rows(parsed, layout=layout), goal, 5))
     got = got.select("page_id", F.size(F.filter("sent", lambda n: ~n["kept"])).cast("long").alias("dropped"), F.explode("sent").alias("n")).select("page_id", "n.node_idx", "n.agent_id", "n.kept", "n.score", "dropped")
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
 
