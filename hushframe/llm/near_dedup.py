@@ -399,7 +399,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     hash, of repeated rows one. Rows without doc_id stay."""
     rows = cut(_classes(docs).where("doc_id is not null").select("doc_id", "node", "class"))
     first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    gone = rows.join(first, "class").where(F.struct("doc_id", "node") != F.col("first")).select("doc_id", "node").distinct()
+    gone = rows.join(first, "class").where(F.struct("doc_id", "node") != F.col("first")).select("doc_id", "node")  # nothing after this join asks for a class in one task
     twice = rows.groupBy("doc_id", "node").count().where("count > 1").isEmpty()
     key = fresh(docs, "near_node", "gone_id", "gone_node")
     node, gone_id, gone_node = key["near_node"], key["gone_id"], key["gone_node"]
