@@ -220,7 +220,7 @@ def _clean(batches: Iterator[pa.RecordBatch], seeds: Seeds, copy: float) -> Iter
 def seed_blocks(docs: DataFrame, benchmark: DataFrame, copy: float) -> Iterator[Broadcast]:
     """The seeds of the benchmark's items that are rare in docs, block by block."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-size // (5 * BLOCK_WORDS)))
     for k in range(blocks):
@@ -237,8 +237,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, copy: float = COPY) -> Dat
 
     score: the best passage's alignment score over the item's number of words, 1 for a verbatim copy. n_places: passages
     of the item in the document; last_word: where the best ends, in words. Null texts are empty; items of fewer than
-    SEED_WORDS words are found where they stand whole, items without words never. Repeated rows of docs give repeated rows. Items of one text are
-    each found. Empty tables give no rows. Extra columns are ignored.
+    SEED_WORDS words are found where they stand whole, items without words never. Repeated rows of docs give repeated rows, those of
+    benchmark count once. Items of one text are each found. Empty tables give no rows. Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     found = [docs.mapInArrow(lambda b, s=seeds: _verify(b, s.value, copy), LEAKS) for seeds in seed_blocks(docs, benchmark, copy)]

@@ -889,3 +889,11 @@ def test_pipeline(spark, sf_dir):
     assert len(classes_by_pairs(list(left.items()), near_dedup.SIMILARITY)) == len(set(classes_by_pairs(list(left.items()), near_dedup.SIMILARITY).values()))
     assert not any(i.text in t for i in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() for t in left.values())
     pieces_hold(corpus_pipeline.run(spark, sf_dir).collect(), token_ids(left.items()))
+
+
+def test_repeated_benchmark_rows_count_once(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing of the kind is said here at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text)] * 20_000 + [(8, text), (9, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.score, r.n_places) for r in decontaminate.find_leaks(docs, items).collect()) == [(1, 7, 1.0, 1), (1, 8, 1.0, 1)]
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()] == [2]
