@@ -72,7 +72,9 @@ for _n, _k, _f in (("c4_is_email", "email", X.is_email), ("c5_is_aadhaar", "aadh
     add(_n, table("documents"), lambda df, f=_f: df.select("doc_id", f(F.col("text")).alias("hit")), f"SELECT doc_id, {has(_k)} AS hit FROM documents")
 _LIST = f"list_filter([{', '.join(f'CASE WHEN {has(k)} THEN {k!r} END' for k in RULES)}], lambda x: x IS NOT NULL)"
 add("c8_text_pii_types", table("documents"), lambda df: df.select("doc_id", F.array_join(X.text_pii_types(F.col("text")), ",").alias("types")), f"SELECT doc_id, array_to_string({_LIST}, ',') AS types FROM documents")
-add("c8_conversation_pii", table("conversations"), lambda df: df.select("conv_id", "turn", F.explode(X.text_pii_types(F.col("text"))).alias("pii_type")), f"SELECT conv_id, turn, unnest({_LIST}) AS pii_type FROM conversations")
+#: Some turns end with an address or a number of the speaker.
+_TOLD = "concat(coalesce(text, ''), CASE turn % 4 WHEN 0 THEN concat(' write to u', CAST(conv_id AS STRING), '@example.org') WHEN 1 THEN concat(' call +91 98765', CAST(43000 + conv_id % 1000 AS STRING)) WHEN 2 THEN concat(' my card is ABCDE', CAST(1000 + conv_id % 9000 AS STRING), 'F') ELSE '' END)"
+add("c8_conversation_pii", table("conversations"), lambda df: df.select("conv_id", "turn", F.expr(_TOLD).alias("told")).select("conv_id", "turn", F.explode(X.text_pii_types(F.col("told"))).alias("pii_type")), f"WITH t AS (SELECT conv_id, turn, {_TOLD} AS told FROM conversations) SELECT conv_id, turn, unnest({_LIST.replace('regexp_matches(text', 'regexp_matches(told')}) AS pii_type FROM t")
 
 _ROLE = "CASE WHEN role <> '' THEN role WHEN tag = 'a' THEN CASE WHEN href IS NOT NULL THEN 'link' END WHEN tag = 'input' THEN CASE WHEN lower(coalesce(kind, 'text')) = 'checkbox' THEN 'checkbox' ELSE 'textbox' END WHEN lower(tag) = 'button' THEN 'button' WHEN tag = 'select' THEN 'combobox' END"
 add("c14_implicit_role", fields, lambda df: df.select("id", X.implicit_role(*map(F.col, ("tag", "role", "href", "kind"))).alias("role")), f"{FIELDS} SELECT id, {_ROLE} AS role FROM fields")
