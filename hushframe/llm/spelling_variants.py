@@ -183,13 +183,14 @@ def _meet(postings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
-    """word, form, root, n, n_near, form_n of distinct words (word, n) of MIN_CHARS characters or more.
+    """word, form, root, n, n_near, form_n of words (word, n) of MIN_CHARS characters or more.
 
     n_near counts a word's near words (one edit away); form is the near word of largest n, of equal ones the smallest, if it
-    has at least ratio (over 1) times the word's n; root is the last word that forms lead to. Shorter words are refused by no test, but some
-    of their near words may be missed. An empty table gives no rows.
+    has at least ratio (over 1) times the word's n; root is the last word that forms lead to. Rows without word or n and shorter words are
+    left out; what repeated rows of a word count adds up. An empty table gives no rows; other columns are ignored.
     """
-    words = cut(words.select("word", "n"))
+    words = words.where(F.col("n").isNotNull() & (F.length("word") >= MIN_CHARS))
+    words = cut(words.groupBy("word").agg(F.sum("n").cast("long").alias("n")))
     pairs = cut(near_pairs(words))
     both = pairs.select(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("form"), F.col("b_n").alias("form_n"))
     both = both.union(pairs.select("b", "b_n", "a", "a_n"))

@@ -196,3 +196,10 @@ def test_words_of_odd_rows(spark):
     assert empty.count() == 0 and spelling_variants.group_variants(empty).count() == 0
     typo = {r.word for r in spelling_variants.count_words(spark.createDataFrame([(k, "abcdefgh") for k in range(3000)], "doc_id long, text string"), 199, 1).collect()}
     assert typo == {"abcdefgh"} | {spelling_variants.with_typo("abcdefgh", h, 199) for k in range(3000) if (h := zlib.crc32(f"{k}:abcdefgh".encode())) % 199 == 0}
+
+
+def test_odd_word_rows(spark):
+    rows = [("abcdef", 3), ("abcdef", 4), (None, 9), ("abcdeg", None), ("abcdex", 35), ("short", 900), ("", 5), ("x" * 5000, 1), ("x" * 4999, 5)]
+    df = spark.createDataFrame(rows, "word string, n long").withColumn("gram", F.lit("clash")).withColumn("form", F.lit("clash"))
+    long = {("x" * 5000, "x" * 4999, "x" * 4999, 1, 1, 5), ("x" * 4999, None, "x" * 4999, 5, 1, None)}
+    assert set(as_rows(spelling_variants.group_variants(df))) == {("abcdef", "abcdex", "abcdex", 7, 1, 35), ("abcdex", None, "abcdex", 35, 1, None)} | long
