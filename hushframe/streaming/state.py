@@ -9,8 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,10 +33,8 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 
 
 class Keyed(StatefulProcessor):
-    """Rows of a key in the order of ORDER, and one timer a key."""
-
-    ORDER: tuple[str, ...] = ("ts",)
-    COLUMNS: dict[str, str] = {}
+    """Rows of a key, and one timer for each key with state. A call to the state store costs more than the work on a row, so that
+    state is read once and what has changed is written once for a key's rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,24 +43,22 @@ class Keyed(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _due(self, at: int | None) -> None:
-        """The key's only timer is at that time; none if it is null."""
-        for old in list(self.handle.listTimers()):
-            if old != at:
-                self.handle.deleteTimer(old)
-        if at is not None:
+    def _due(self, at: int, had_state: bool) -> None:
+        """The key's only timer is at that time; a key without state has none yet."""
+        old = list(self.handle.listTimers()) if had_state else []
+        for t in old:
+            if t != at:
+                self.handle.deleteTimer(t)
+        if at not in old:
             self.handle.registerTimer(at)
 
-    def _table(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=list(self.COLUMNS)).astype(self.COLUMNS)
-
-    @staticmethod
-    def _rows(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
-        return pd.concat(list(batches)).sort_values(list(order), kind="stable")
+    def _idle(self, rows: list[Row], timerValues, had_state: bool) -> None:
+        self._due(max(max(r.us for r in rows) // 1000, timerValues.getCurrentWatermarkInMs()) + IDLE_MS, had_state)
 
 
-def _ms(t: pd.Timestamp) -> int:
-    return int(t.value // 1_000_000)
+def timed(rows: DataFrame, late: str) -> DataFrame:
+    """rows with the watermark on ts, and us, the microseconds of ts. Rows without a time are taken as the oldest."""
+    return rows.withWatermark("ts", late).withColumn("us", F.coalesce(F.unix_micros("ts"), F.lit(0)))
 
 
 def repeated_period(recent: list[str]) -> int | None:
@@ -77,31 +72,31 @@ def repeated_period(recent: list[str]) -> int | None:
 class Stalls(Keyed):
     """recent: a list of the last signatures; run: the last step, and whether the run has stalled already."""
 
-    COLUMNS = {"run_id": "int64", "step": "int64", "period": "int32"}
-
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.recent, self.run = handle.getListState("recent", "sig string"), handle.getValueState("run", "last long, stopped boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, stopped = self.run.get() if self.run.exists() else (-1, False)
-        recent, out, batch = [s for (s,) in self.recent.get()] if self.recent.exists() else [], [], self._rows(rows, "step")
-        for step, sig in zip(batch["step"], batch["sig"], strict=True):
-            if stopped or step <= last:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, out, batch = self.run.get(), [], sorted(rows, key=lambda r: r.step)
+        last, stopped = held or (-1, False)
+        known = recent = [s for (s,) in self.recent.get()] if held else []
+        for r in batch:
+            if stopped or r.step <= last:
                 continue
-            last, recent = int(step), [*recent, sig][-KEPT:]
+            last, recent = r.step, [*recent, r.sig][-KEPT:]
             if p := repeated_period(recent):
                 stopped = True
-                out.append((key[0], last, p))
-        self.run.update((last, stopped))
-        if recent:
+                out.append(Row(run_id=key[0], step=last, period=p))
+        if held != (last, stopped):
+            self.run.update((last, stopped))
+        if recent != known:
             self.recent.put([(s,) for s in recent])
-        self._due(max(_ms(batch["ts"].max()), timerValues.getCurrentWatermarkInMs()) + IDLE_MS)
-        yield self._table(out)
+        self._idle(batch, timerValues, held is not None)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.run.clear()
         self.recent.clear()
-        yield self._table([])
+        yield from ()
 
 
 def stream_stalls(actions: DataFrame) -> DataFrame:
@@ -111,61 +106,60 @@ def stream_stalls(actions: DataFrame) -> DataFrame:
     the watermark, LATE behind the newest event, is IDLE_MS past its last one.
     """
     sig = F.concat_ws(":", F.coalesce("action", F.lit("")), F.coalesce("target_id", F.lit("")), F.coalesce("value", F.lit("")))
-    rows = actions.where("action <> 'done'").select("run_id", "step", "ts", sig.alias("sig")).withWatermark("ts", LATE)
-    return rows.groupBy("run_id").transformWithStateInPandas(Stalls(), "run_id long, step long, period int", "Append", "EventTime")
+    rows = actions.where("action <> 'done'").select("run_id", "step", "ts", sig.alias("sig"))
+    return timed(rows, LATE).groupBy("run_id").transformWithState(Stalls(), "run_id long, step long, period int", "Append", "EventTime")
 
 
 class Runs(Keyed):
     """fields: a run's fields by name, as JSON; a field that was cleared holds null."""
 
-    COLUMNS = {"run_id": "int64", "kind": "object", "seq": "int64", "state": "object"}
-
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.fields = handle.getMapState("fields", "name string", "value string")
 
-    def _set(self, patch: dict) -> None:
-        for name, value in patch.items():
-            self.fields.updateValue((name,), (json.dumps(value),))
-
-    def _get(self, name: str):
-        return json.loads(self.fields.getValue((name,))[0]) if self.fields.exists() and self.fields.containsKey((name,)) else None
-
-    def _apply(self, text: str | None) -> bool:
-        """Whether the patch was taken: it is an object, and a run is active or it starts one."""
+    @staticmethod
+    def _applied(state: dict, text: str | None) -> dict | None:
+        """The fields after the patch; null if it is refused: it is no object, or no run is active and it starts none."""
         try:
             patch = json.loads(text) if text is not None else None
         except ValueError:
-            return False
+            return None
         if not isinstance(patch, dict):
-            return False
+            return None
         kind = patch.pop("kind", "progress")
         if kind == "start":
-            self.fields.clear()
-            self._set({**patch, "active": True, "stopRequested": False})
-        elif not self._get("active"):
-            return False
-        elif kind == "stop":
-            self._set({"stopRequested": True})
-        elif kind == "finish":
-            self._set({**patch, "outcome": patch.get("outcome", self._get("outcome")), "active": False})
-        else:
-            self._set(patch)
-        return True
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch, out = self._rows(rows, "seq"), []
-        for seq, text in zip(batch["seq"], batch["patch"], strict=True):
-            if not self._apply(text):
-                out.append((key[0], "refused", int(seq), text))
-        if self.fields.exists():
-            state = {k: json.loads(v) for (k,), (v,) in self.fields.iterator()}
-            out.append((key[0], "state", int(batch["seq"].iloc[-1]), json.dumps(state, sort_keys=True)))
-        self._due(max(_ms(batch["ts"].max()), timerValues.getCurrentWatermarkInMs()) + IDLE_MS)
-        yield self._table(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            return {**patch, "active": True, "stopRequested": False}
+        if not state.get("active"):
+            return None
+        if kind == "stop":
+            return {**state, "stopRequested": True}
+        if kind == "finish":
+            return {**state, **patch, "outcome": patch.get("outcome", state.get("outcome")), "active": False}
+        return {**state, **patch}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        batch, out = sorted(rows, key=lambda r: r.seq), []
+        held = {k: v for (k,), (v,) in self.fields.iterator()} if self.fields.exists() else {}
+        state = {k: json.loads(v) for k, v in held.items()}
+        for r in batch:
+            after = self._applied(state, r.patch)
+            if after is None:
+                out.append(Row(run_id=key[0], kind="refused", seq=r.seq, state=r.patch))
+            else:
+                state = after
+        if state:
+            kept = {k: json.dumps(v) for k, v in state.items()}
+            for name in held.keys() - kept.keys():
+                self.fields.removeKey((name,))
+            for name, value in kept.items():
+                if held.get(name) != value:
+                    self.fields.updateValue((name,), (value,))
+            out.append(Row(run_id=key[0], kind="state", seq=batch[-1].seq, state=json.dumps(state, sort_keys=True)))
+            self._idle(batch, timerValues, bool(held))
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.fields.clear()
-        yield self._table([])
+        yield from ()
 
 
 def stream_run_state(patches: DataFrame) -> DataFrame:
@@ -175,14 +169,14 @@ def stream_run_state(patches: DataFrame) -> DataFrame:
     field, a null clears it. A patch without an active run, one that is no JSON object and a null one are refused; no patch stops the
     stream. A run that was never started has no state.
     """
-    rows = patches.select("run_id", "seq", "ts", "patch").withWatermark("ts", LATE)
-    return rows.groupBy("run_id").transformWithStateInPandas(Runs(), "run_id long, kind string, seq long, state string", "Append", "EventTime")
+    rows = timed(patches.select("run_id", "seq", "ts", "patch"), LATE)
+    return rows.groupBy("run_id").transformWithState(Runs(), "run_id long, kind string, seq long, state string", "Append", "EventTime")
 
 
 class Tokens(Keyed):
     """life: when a token was first announced and acknowledged, how often it was announced until then, and whether its frame was merged."""
 
-    COLUMNS = {"page_id": "int64", "token": "object", "announced": "int32", "frame_id": "Int64", "redact_whole": "bool", "reason": "object"}
+    NAMES = ("page_id", "token", "announced", "frame_id", "redact_whole", "reason")
     RANK = {"announce": 0, "ack": 1, "report": 2, "detach": 3}
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -192,15 +186,19 @@ class Tokens(Keyed):
     def _deadline(first: int, acked: int | None, merged: bool) -> int:
         return first + ANNOUNCED_MS if merged or acked is None else acked + REPORT_MS
 
-    @staticmethod
-    def _expired(key: tuple, acked: int | None, announced: int) -> tuple:
-        return (*key, announced, None, True, "never_acknowledged" if acked is None else "report_timeout")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        life, out, batch = self.life.get() if self.life.exists() else None, [], pd.concat(list(rows))
-        batch = batch.assign(rank=batch["kind"].map(self.RANK)).sort_values(["ts", "rank"], kind="stable")
-        for ts, kind, frame_id in zip(batch["ts"], batch["kind"], batch["frame_id"], strict=True):
-            now = _ms(ts)
+    @classmethod
+    def _told(cls, *values) -> Row:
+        return Row(**dict(zip(cls.NAMES, values, strict=True)))
+
+    @classmethod
+    def _expired(cls, key: tuple, acked: int | None, announced: int) -> Row:
+        return cls._told(*key, announced, None, True, "never_acknowledged" if acked is None else "report_timeout")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = life = self.life.get()
+        out = []
+        for r in sorted(rows, key=lambda r: (r.us, self.RANK[r.kind])):
+            now, kind = r.us // 1000, r.kind
             if life is not None and now > self._deadline(life[0], life[1], life[3]):
                 if not life[3]:
                     out.append(self._expired(key, life[1], life[2]))
@@ -212,23 +210,27 @@ class Tokens(Keyed):
             elif kind == "ack":
                 life = (life[0], now, life[2], False) if life[1] is None else life
             elif kind == "detach":
-                out.append((*key, life[2], None, True, "detached"))
+                out.append(self._told(*key, life[2], None, True, "detached"))
                 life = None
             elif kind == "report" and life[1] is not None:  # without an acknowledged token a report counts for nothing
-                out.append((*key, life[2], int(frame_id), False, None))
+                out.append(self._told(*key, life[2], r.frame_id, False, None))
                 life = (*life[:3], True)
-        if life is None:
+        old, new = (None if x is None else self._deadline(x[0], x[1], x[3]) for x in (held, life))
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if life is None and held is not None:
             self.life.clear()
-            self._due(None)
-        else:
+        elif life is not None and life != held:
             self.life.update(life)
-            self._due(self._deadline(life[0], life[1], life[3]))
-        yield self._table(out)
+        if new is not None and new != old:
+            self.handle.registerTimer(new)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        life = self.life.get() if self.life.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        life = self.life.get()
         self.life.clear()
-        yield self._table([] if life is None or life[3] else [self._expired(key, life[1], life[2])])
+        if life is not None and not life[3]:
+            yield self._expired(key, life[1], life[2])
 
 
 def stream_token_life(events: DataFrame, late: str = "6 seconds") -> DataFrame:
@@ -240,8 +242,8 @@ def stream_token_life(events: DataFrame, late: str = "6 seconds") -> DataFrame:
     Rows without page, token or a known kind are left out.
     """
     known = events.where("page_id is not null and token is not null").where(F.col("kind").isin(*Tokens.RANK))
-    rows = known.select("page_id", "token", "ts", "kind", F.col("frame_id").cast("long").alias("frame_id")).withWatermark("ts", late)
-    return rows.groupBy("page_id", "token").transformWithStateInPandas(Tokens(), "page_id long, token string, announced int, frame_id long, redact_whole boolean, reason string", "Append", "EventTime")
+    rows = known.select("page_id", "token", "ts", "kind", F.col("frame_id").cast("long").alias("frame_id"))
+    return timed(rows, late).groupBy("page_id", "token").transformWithState(Tokens(), "page_id long, token string, announced int, frame_id long, redact_whole boolean, reason string", "Append", "EventTime")
 
 
 def run_split_state(states: DataFrame, state_folder: str, refused_folder: str, checkpoint: str):
