@@ -35,3 +35,86 @@ def test_plain_and_odd_values_of_one_list_are_read_alike(spark):
     first, second = out[1].parsed.domSnapshot
     assert first == second and first.sensitive and tuple(first.bbox) == (1.0, 2.5, 1.0, 100.0)
     assert out[1].parsed.redactedRegions[0] == out[1].parsed.redactedRegions[1]
+
+
+def test_covered_nodes_in_cells_are_those_of_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from hushframe.functions import geometry as G
+
+    rng = random.Random(5)
+    sizes = [0.0, 1.0, 7.5, 40.0, 130.0, 3000.0]
+
+    def box(far):
+        at = [rng.choice([0.0, -300.0, 64.0, rng.uniform(-200, 900), 3e9 if far else 5.0]) for _ in range(2)]
+        return (*at, rng.choice(sizes), rng.choice(sizes))
+
+    nodes = spark.createDataFrame([(k % 2, k, f"a{k}", "t", *box(k % 10 == 0), False) for k in range(400)], "request_id long, node_idx int, agent_id string, text string, x double, y double, w double, h double, sensitive boolean")
+    regions = [(k % 2, k, *box(k % 7 == 0), None, "dom") for k in range(400)] + [(0, 900, 0.0, 0.0, float("inf"), 50.0, None, "dom")]
+    regions = spark.createDataFrame(regions, "request_id long, region_idx int, x double, y double, w double, h double, agent_id string, source string")
+    r = regions.select("request_id", "region_idx", *[F.col(c).alias("r_" + c) for c in "xywh"])
+    pairs = nodes.join(r, "request_id").where(G.overlap_ratio(G.columns("r_"), G.columns()) > Q.COVERED).groupBy("request_id", "agent_id").agg(F.min("region_idx").alias("region_idx")).collect()
+    assert len(pairs) > 100
+    assert {(x.request_id, x.agent_id, x.region_idx) for x in Q.find_leaks(nodes, regions).collect()} == {(x.request_id, x.agent_id, x.region_idx) for x in pairs}
+
+
+def _made(plan_of):
+    """Rows that the joins of an executed plan made, by the places that the stages finished at."""
+    out, stack = 0, [plan_of]
+    while stack:
+        p = stack.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            stack.append(p.plan())
+            continue
+        if "Join" in name and p.metrics().contains("numOutputRows"):
+            out += p.metrics().apply("numOutputRows").value()
+        children = p.children()
+        stack += [children.apply(k) for k in range(children.size())]
+    return out
+
+
+def test_leaks_of_a_large_request_do_not_compare_all_pairs(spark):
+    n = 4000
+    nodes = spark.range(n).selectExpr("0L AS request_id", "CAST(id AS INT) AS node_idx", "concat('a', id) AS agent_id", "'t' AS text", "id % 80 * 30D AS x", "floor(id / 80) * 20D AS y", "25D AS w", "15D AS h", "false AS sensitive")
+    regions = nodes.selectExpr("request_id", "node_idx AS region_idx", "x", "y", "w", "h", "CAST(NULL AS STRING) AS agent_id", "'dom' AS source")
+    df = Q.find_leaks(nodes, regions)
+    assert df.where("CAST(substr(agent_id, 2) AS INT) = region_idx").count() == n
+    df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell" in plan and _made(df._jdf.queryExecution().executedPlan()) < n * n / 10
+
+
+def test_nearest_anchors_are_those_of_all_pairs(spark):
+    import math
+    import random
+
+    from hushframe.operators import rank as R
+
+    rng = random.Random(3)
+    places = [(p, k, rng.choice([5.0, rng.uniform(-50, 1600), 1e7, rng.uniform(0, 9)]), rng.choice([5.0, rng.uniform(-50, 1200), rng.uniform(0, 9)])) for p in range(3) for k in range(300)] + [(7, 0, 1.0, 1.0), (8, 0, 1.0, 1.0), (8, 1, 9e6, 4.0)]
+    points = spark.createDataFrame(places, "page_id long, node_idx int, _cx double, _cy double")
+    anchors = points.where("node_idx % 5 = 0 or page_id > 6").toDF("page_id", "_a", "_ax", "_ay")
+    held = [t for t in places if t[1] % 5 == 0 or t[0] > 6]
+    wanted = {}
+    for p, k, x, y in places:
+        d = [math.hypot(x - a, y - b) for q, m, a, b in held if q == p and m != k]
+        if d:
+            wanted[p, k] = min(d)
+    got = {(r.page_id, r.node_idx): r._d for r in R.nearest(points, anchors).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) <= 1e-9 * (1 + wanted[k]) for k in got)
+
+
+def test_nearest_anchors_of_a_large_page_do_not_compare_all_pairs(spark):
+    from hushframe.operators import rank as R
+
+    n = 4000
+    points = spark.range(n).selectExpr("0L AS page_id", "CAST(id AS INT) AS node_idx", "id % 80 * 20D AS _cx", "floor(id / 80) * 20D AS _cy")
+    df = R.nearest(points, points.toDF("page_id", "_a", "_ax", "_ay"))
+    assert {r._d for r in df.collect()} == {20.0}
+    assert _made(df._jdf.queryExecution().executedPlan()) < n * n / 20
