@@ -118,3 +118,10 @@ def test_nearest_anchors_of_a_large_page_do_not_compare_all_pairs(spark):
     df = R.nearest(points, points.toDF("page_id", "_a", "_ax", "_ay"))
     assert {r._d for r in df.collect()} == {20.0}
     assert _made(df._jdf.queryExecution().executedPlan()) < n * n / 20
+
+
+def test_tokens_of_many_pages_are_dealt_to_as_many_tasks_as_the_pages(spark):
+    from hushframe.sources import tokens as K
+
+    pages = spark.range(100).selectExpr("id AS page_id", "'<p>x</p>' AS html").repartition(37)
+    assert K.native_elements(pages).rdd.getNumPartitions() == 37
