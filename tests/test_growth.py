@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
+
 from hushframe import views
 from hushframe.operators import requests as Q
 from hushframe.plans import queries_admission as A
+from hushframe.plans import queries_pages as QP
 
 
 def test_sound_requests_are_not_found_by_a_condition_on_the_body(spark, sf_dir):
@@ -125,3 +128,48 @@ def test_tokens_of_many_pages_are_dealt_to_as_many_tasks_as_the_pages(spark):
 
     pages = spark.range(100).selectExpr("id AS page_id", "'<p>x</p>' AS html").repartition(37)
     assert K.native_elements(pages).rdd.getNumPartitions() == 37
+
+
+@pytest.mark.parametrize("name", ["a4_page_counts", "p1_page_regions"])
+def test_what_comes_from_the_page_itself_is_not_joined_to_it(spark, sf_dir, name):
+    plan = QP.QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan
+
+
+def test_inputs_by_table_and_by_column_are_alike(spark):
+    from pyspark.sql import functions as F
+
+    from hushframe.plans import pipelines
+
+    html = "<body><a href=x>one</a><input type=email value=a@example.org><p>b@example.org</p><div><template shadowrootmode=closed></template></div></body>"
+    pages = spark.createDataFrame([(1, html), (2, html), (None, html), (3, None), (3, "<p>c@example.org</p>")], "page_id long, html string")
+    box = "struct<node_idx: int, x: double, y: double, w: double, h: double>"
+    column = F.transform("elements", lambda e: F.struct(e["node_idx"].alias("node_idx"), *[(e["node_idx"] * k).cast("double").alias(c) for k, c in enumerate("xywh", 1)]))
+    table = spark.range(1, 4).select(F.col("id").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("node_idx")).select("page_id", "node_idx", *[(F.col("node_idx") * k).cast("double").alias(c) for k, c in enumerate("xywh", 1)])
+    acted = spark.createDataFrame([(1, "agent-1")], "page_id long, agent_id string")
+    by_row = F.when(F.col("page_id") == 1, F.array(F.struct(F.lit("agent-1").alias("agent_id"))))
+    known = pages.where("page_id is not null")
+    outs = [pipelines.sanitize_pages(known, "go", layout=a, acted=b) for a, b in ((table, acted), (column, by_row), (table, by_row), (column, acted))]
+    for part in ("regions", "nodes", "unplaced", "counts"):
+        first, *rest = (sorted(map(str, getattr(out, part).collect())) for out in outs)
+        assert first and all(x == first for x in rest) or part == "unplaced" and not any([first, *rest])
+    alone = pipelines.sanitize_pages(pages, "go", layout=F.array().cast(f"array<{box}>"), acted=by_row)
+    assert alone.counts.count() == 5 and alone.regions.count() == 0
+
+
+def test_rules_find_in_odd_texts_what_they_find_alone(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from hushframe.functions import text as X
+
+    rng = random.Random(7)
+    parts = ["a", "Ab", "@", ".", "+", "-", "(", ")", " ", " ", "١٢٣", "＠", "1", "91", "987", "9876", "98765", "ABCDE", "1234F", "x.co"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20000)] + ["+1 22 333 4444", "+1(22)3334444", "+122333444", "ABCDE1234F", "1234-5678-9012", "a@b.c", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rules = {"email": X.is_email, "pan": X.is_pan, "aadhaar": X.is_aadhaar, "tel": X.is_phone}
+    plain = F.array_compact(F.array(*[F.when(rule(F.col("t")), F.lit(k)) for k, rule in rules.items()]))
+    out = df.select(X.text_pii_types(F.col("t")).alias("got"), plain.alias("wanted")).collect()
+    assert all(r.got == r.wanted for r in out) and {k for r in out for k in r.got} == set(rules)
+    assert "[0-9]{3}" in df.select(X.text_pii_types(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
