@@ -173,3 +173,31 @@ def test_rules_find_in_odd_texts_what_they_find_alone(spark):
     out = df.select(X.text_pii_types(F.col("t")).alias("got"), plain.alias("wanted")).collect()
     assert all(r.got == r.wanted for r in out) and {k for r in out for k in r.got} == set(rules)
     assert "[0-9]{3}" in df.select(X.text_pii_types(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["r11_scanner_ordinals", "c12_scan_pii"])
+def test_pages_are_parsed_once_and_not_dealt_again(spark, sf_dir, name):
+    plan = QP.QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_scans_in_the_row_equal_those_of_tables(spark, sf_dir):
+    from hushframe.operators import page_rows as W
+    from hushframe.operators import pages as P
+    from hushframe.sources import html as H
+
+    odd = [
+        '<body><input id=a data-agent-id="agent-7" type=email value="x@example.org 9876543210"><input id=a type=email value="y@example.org"><p data-agent-id="own">a@example.org</p><p>ABCDE1234F b@example.org</p></body>',
+        "<form><input type=hidden value=c@example.org><textarea autocomplete='cc-number'>1234 5678 9012</textarea><SELECT><option>none<option selected>+91 98765 43210</select></form><p hidden>d@example.org</p>",
+        "<div>  e@example.org  <template shadowrootmode=open><p>9876543210</p><input type=tel></template><b>f@example.org</b> 1234 5678 9012</div>", "", "<p>plain 123", None,
+    ]
+    pages = spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id + 100 AS page_id", f"{QP.FORMS} AS html"))
+    parsed = H.parse_pages(pages).cache()
+    table = P.scan_pii(H.extract_elements(parsed), H.extract_text_nodes(parsed))
+    for start, wanted in ((None, table), (100, P.scanner_ordinals(table, 100)), (0, P.scanner_ordinals(table))):
+        got = QP._scanned(parsed, start)
+        assert got.columns == wanted.columns
+        rows = sorted(map(str, got.collect()))
+        assert rows == sorted(map(str, wanted.collect())) and len(rows) > 10
+    assert {r.agent_id for r in QP._scanned(parsed, 5).where("page_id = 0").collect()} >= {"agent-7", "own", "agent-6"}
+    assert W.flag_rows(W.with_flags(W.with_written_ids(parsed.where("false")))).count() == 0
