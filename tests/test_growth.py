@@ -175,7 +175,7 @@ def test_rules_find_in_odd_texts_what_they_find_alone(spark):
     assert "[0-9]{3}" in df.select(X.text_pii_types(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["r11_scanner_ordinals", "c12_scan_pii"])
+@pytest.mark.parametrize("name", ["r11_scanner_ordinals", "c13_unscannable", "c12_scan_pii"])
 def test_pages_are_parsed_once_and_not_dealt_again(spark, sf_dir, name):
     plan = QP.QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan and "Window" not in plan
