@@ -7,6 +7,7 @@ import pytest
 from hushframe import views
 from hushframe.operators import requests as Q
 from hushframe.plans import queries_admission as A
+from hushframe.plans import queries_logs as QL
 from hushframe.plans import queries_pages as QP
 
 
@@ -123,6 +124,14 @@ def test_nearest_anchors_of_a_large_page_do_not_compare_all_pairs(spark):
     assert _made(df._jdf.queryExecution().executedPlan()) < n * n / 20
 
 
+@pytest.mark.parametrize("name", ["r4_proximity", "r5_rank_elements", "k2_score_listing"])
+def test_cells_of_nodes_do_not_pass_through_the_driver(spark, sf_dir, name):
+    df = QL.QUERIES[name][0](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_tokens_of_many_pages_are_dealt_to_as_many_tasks_as_the_pages(spark):
     from hushframe.sources import tokens as K
 
